@@ -73,18 +73,15 @@ def pooled(net: Net, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, n
     for j in range(1, ids.shape[1]):
         x = x + net.E[ids[:, j]]
     n, maxima, where = len(x), [], []
-    seg = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+    ends = np.append(starts[1:], n)
     for w, W in net.W.items():
-        y = np.broadcast_to(net.b[w], (n, W.shape[2])).copy()
-        for k in range(w):
+        y = x @ W[0] + net.b[w]
+        for k in range(1, w):
             y[: n - k] += x[k:] @ W[k]
-        m = np.maximum.reduceat(y, starts, axis=0)
-        hit = y == m[seg]
-        first = np.full(m.shape, n, np.int64)
-        at, f = np.nonzero(hit)
-        np.minimum.at(first, (seg[at], f), at)
-        maxima.append(m)
-        where.append(np.minimum(first, n - w))
+        at = np.stack([s + y[s:e].argmax(axis=0) for s, e in zip(starts, ends, strict=True)])
+        at = np.minimum(at, n - w)
+        maxima.append(y[at, np.arange(y.shape[1])])
+        where.append(at)
     return np.maximum(np.hstack(maxima), 0), np.hstack(where), x
 
 

@@ -10,8 +10,6 @@ batches: a filter's response is a sum of table look-ups by byte pair.
 
 from __future__ import annotations
 
-import base64
-import math
 import pickle
 from collections.abc import Iterator
 
@@ -27,8 +25,8 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 #: Documents of each language that the fit uses, and windows of each document.
-FIT_DOCS, FIT_WINDOWS = 400, 6
-EPOCHS, BATCH, RATE = 12, 32, 0.08
+FIT_DOCS, FIT_WINDOWS = 300, 4
+EPOCHS, BATCH, RATE = 5, 32, 0.08
 UNDETERMINED = "und"
 
 
@@ -92,22 +90,25 @@ class Scorer:
             two = [(one[k][:, None, :] + one[k + 1][None, :, :]).reshape(65536, -1) for k in range(0, w - 1, 2)]
             self.tables[w] = (two, one[-1] if w % 2 else None)
 
-    def window_probabilities(self, x: np.ndarray, step: int = 128) -> np.ndarray:
+    def window_probabilities(self, x: np.ndarray, step: int = 64) -> np.ndarray:
+        """Class probabilities of windows; positions run along the first axis, so pooling is contiguous."""
         out = np.empty((len(x), len(self.labels)), np.float32)
+        n = x.shape[1]
+        buffers = np.empty((2, n, step, FILTERS), np.float32)
         for i in range(0, len(x), step):
-            part = x[i : i + step]
-            pad = np.zeros((len(part), max(WIDTHS) - 1), part.dtype)
-            z = np.hstack([part, pad]).astype(np.int32)
-            pair = z[:, :-1] * 256 + z[:, 1:]
+            part = x[i : i + step].T
+            z = np.zeros((n + max(WIDTHS), part.shape[1]), np.intp)
+            z[:n] = part
+            pair = z[:-1] * 256 + z[1:]
+            y, more = buffers[:, :, : part.shape[1]] if part.shape[1] == step else np.empty((2, n, part.shape[1], FILTERS), np.float32)
             h = []
             for w, (two, one) in self.tables.items():
-                n = part.shape[1]
-                y = two[0].take(pair[:, :n], axis=0)
+                two[0].take(pair[:n], axis=0, out=y, mode="clip")
                 for k in range(1, len(two)):
-                    y += two[k].take(pair[:, 2 * k : 2 * k + n], axis=0)
+                    y += two[k].take(pair[2 * k : 2 * k + n], axis=0, out=more, mode="clip")
                 if one is not None:
-                    y += one.take(z[:, w - 1 : w - 1 + n], axis=0)
-                h.append(y.max(axis=1) + self.net.b[w])
+                    y += one.take(z[w - 1 : w - 1 + n], axis=0, out=more, mode="clip")
+                h.append(y.max(axis=0) + self.net.b[w])
             out[i : i + step] = softmax(np.maximum(np.hstack(h), 0) @ self.net.V + self.net.c)
         return out
 
