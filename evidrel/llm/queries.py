@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidrel.llm import langid, linededup
+from evidrel.llm import langid, linededup, toxicity
 from evidrel.llm.common import fold, table
 
 
@@ -19,6 +19,15 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.coalesce(fold("doc_id", 5), F.lit(1)) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of rows whose fold of 3 is not 1 train the network."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold("doc_id", 3) != 1)
+    model = toxicity.fit(docs, labels)
+    out = toxicity.score(docs, model, columns=[F.col("doc_id")])
+    return out.select("doc_id", (F.coalesce(fold("doc_id", 3), F.lit(0)) == 1).alias("held_out"), "score", "predicted")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of 40 code points that 5 documents hold stay in the largest of them only."""
     out = linededup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -40,6 +49,7 @@ FROM l LEFT JOIN f ON l.k = f.k GROUP BY l.doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
+    "op5_toxicity": op5_toxicity,
     "op7_line_dedup": op7_line_dedup,
 }
 
