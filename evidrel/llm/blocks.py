@@ -1,0 +1,64 @@
+"""Searches of a stated query set against all vectors, in blocks.
+
+Vectors are dealt to shards and queries to blocks, both of bounded size, by a
+hash of the id; a (block, shard) pair is one task's work, and each task returns
+at most k rows for each of its queries. A query's final k come from a window
+over shards * k rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from evidrel.llm.common import arrow_rows
+
+#: Vectors of a shard and queries of a block.
+SHARD_ROWS, BLOCK_ROWS = 16_384, 2_048
+
+
+def usable(vectors: DataFrame, id_col: str, vec_col: str, zero: bool) -> DataFrame:
+    """(vec_id, v) of rows whose vector has only finite components; with zero, also all-zero ones."""
+    v = F.col(vec_col).cast("array<double>")
+    ok = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    if not zero:
+        ok = ok & F.exists(v, lambda x: x != 0)
+    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & ok)
+
+
+def matrix(column: pd.Series) -> np.ndarray:
+    return np.vstack(column.to_numpy()) if len(column) else np.zeros((0, 1))
+
+
+def search(vectors: DataFrame, queries: Column, k: int, schema: str, work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The k best rows of each query: query_id, rank, vec_id and what schema adds.
+
+    work(queries, shard) gets (vec_id, v) frames and returns (query_id, vec_id,
+    score); schema is the type of score. Vectors of another length than a
+    query's are not its candidates.
+    """
+    spark = vectors.sparkSession
+    arrow_rows(spark)
+    sized = vectors.withColumn("dim", F.size("v"))
+    asked = sized.where(queries)
+    n, q = sized.count(), asked.count()
+    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-q // block_rows))
+    right = sized.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    left = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
+    left = left.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    keys = ["block", "shard", "dim"]
+
+    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        return work(a, b)
+
+    part = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, f"query_id long, vec_id long, score {schema}")
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

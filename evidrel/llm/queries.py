@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidrel.llm import jaccard, langid, linededup, toxicity
+from evidrel.llm import ann, jaccard, langid, linededup, topk, toxicity
+from evidrel.llm.blocks import usable
 from evidrel.llm.common import fold, table
 
 
@@ -42,6 +43,26 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b)
 """
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest integer inner products of every twentieth vector."""
+    v = usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", zero=True)
+    v = v.withColumn("v", F.transform("v", lambda x: F.floor(x * 64).cast("double")))
+    out = topk.top_k(v, F.col("vec_id") % 20 == 0, 20)
+    return out.withColumn("score", F.col("score").cast("long"))
+
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; labels of rows whose fold of 3 is not 1 train the network."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -51,6 +72,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.coalesce(fold("doc_id", 3), F.lit(0)) == 1).alias("held_out"), "score", "predicted")
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About the 20 nearest vectors of every twentieth vector."""
+    v = usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", zero=False)
+    return ann.nearest(v, F.col("vec_id") % 20 == 0, 20)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of 40 code points that 5 documents hold stay in the largest of them only."""
     out = linededup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -73,11 +100,14 @@ FROM l LEFT JOIN f ON l.k = f.k GROUP BY l.doc_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_exact_topk": op3_exact_topk,
     "op5_toxicity": op5_toxicity,
+    "op6_ann": op6_ann,
     "op7_line_dedup": op7_line_dedup,
 }
 
 ORACLE: dict[str, str] = {
     "op2_jaccard_join": OP2_SQL,
+    "op3_exact_topk": OP3_SQL,
     "op7_line_dedup": OP7_SQL,
 }
