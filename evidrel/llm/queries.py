@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidrel.llm import ann, jaccard, langid, linededup, topk, toxicity
+from evidrel.llm import ann, jaccard, langid, linededup, topk, toxicity, webpage
 from evidrel.llm.blocks import usable
 from evidrel.llm.common import fold, table
 
@@ -84,6 +84,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return webpage.main_text(table(spark, sf_dir, "pages"))
+
+
 OP7_SQL = r"""
 WITH l AS (
   SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_ann": op6_ann,
     "op7_line_dedup": op7_line_dedup,
+    "op10_html": op10_html,
 }
 
 ORACLE: dict[str, str] = {
