@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidrel.llm import ann, jaccard, langid, linededup, topk, toxicity, webpage
+from evidrel.llm import ann, jaccard, langid, linededup, mixing, pieces, topk, toxicity, webpage
 from evidrel.llm.blocks import usable
 from evidrel.llm.common import fold, table
 
@@ -63,6 +64,20 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+#: The model file of op4 and of the pipeline; set EVIDREL_PIECES to use another.
+PIECE_MODEL = os.environ.get("EVIDREL_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document: their number, the digest of their ids, and whether decoding gives the text back."""
+    model = pieces.read_model(PIECE_MODEL)
+    docs = table(spark, sf_dir, "documents")
+    ids = pieces.encode(docs, model, columns=[F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")])
+    out = pieces.decode(ids, model)
+    digest = F.sha2(F.array_join("piece_ids", ",").cast("binary"), 256)
+    return out.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), digest.alias("ids_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; labels of rows whose fold of 3 is not 1 train the network."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -84,6 +99,23 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+#: Parts of all tokens that the domains of the labels shall have.
+DOMAIN_WEIGHTS = {"clean": 0.95, "poor": 0.03, "toxic": 0.02}
+
+
+def label_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, domain) of the labelled documents."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "clean").when(F.col("quality") == 0, "poor")
+    return table(spark, sf_dir, "labels").select("doc_id", domain.alias("domain")).where("doc_id is not null and domain is not null")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain posteriors, fitted rate and copies of every document."""
+    out = mixing.mix(table(spark, sf_dir, "documents"), label_domains(spark, sf_dir), DOMAIN_WEIGHTS)
+    p = [F.element_at("p", k + 1).alias(f"p_{d}") for k, d in enumerate(sorted(DOMAIN_WEIGHTS))]
+    return out.select("doc_id", "tokens", *p, "rate", "copies")
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return webpage.main_text(table(spark, sf_dir, "pages"))
@@ -106,9 +138,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_exact_topk": op3_exact_topk,
+    "op4_pieces": op4_pieces,
     "op5_toxicity": op5_toxicity,
     "op6_ann": op6_ann,
     "op7_line_dedup": op7_line_dedup,
+    "op8_mixing": op8_mixing,
     "op10_html": op10_html,
 }
 
