@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidrel.llm import ann, jaccard, langid, linededup, mixing, pieces, topk, toxicity, webpage
+from evidrel.llm import ann, jaccard, langid, linededup, mixing, pieces, pii, topk, toxicity, webpage
 from evidrel.llm.blocks import usable
 from evidrel.llm.common import fold, table
 
@@ -116,6 +116,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "tokens", *p, "rate", "copies")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans and what the field adds."""
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs), columns=[F.col("doc_id")])
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return webpage.main_text(table(spark, sf_dir, "pages"))
@@ -143,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ann": op6_ann,
     "op7_line_dedup": op7_line_dedup,
     "op8_mixing": op8_mixing,
+    "op9_pii": op9_pii,
     "op10_html": op10_html,
 }
 
