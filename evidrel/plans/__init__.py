@@ -1 +1,6 @@
+"""Registered query plans over the driver's tables."""
 
+from evidrel.plans import curation, language, market, search
+from evidrel.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "curation", "language", "market", "search"]
