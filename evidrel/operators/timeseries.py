@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-BY = W.partitionBy("symbol").orderBy("trade_date")
 RETURN_DAYS = (3, 5, 10, 20)
 TRADING_DAYS = 252
 
@@ -21,8 +20,12 @@ def usable(prices: DataFrame) -> DataFrame:
     return prices.where("close is not null and symbol is not null and trade_date is not null")
 
 
+def by_day() -> W:
+    return W.partitionBy("symbol").orderBy("trade_date")
+
+
 def last(p: int) -> W:
-    return BY.rowsBetween(-(p - 1), 0)
+    return by_day().rowsBetween(-(p - 1), 0)
 
 
 def full(c: Column, p: int) -> Column:
@@ -36,13 +39,13 @@ def sma(p: int) -> Column:
 
 def n_day_return(n: int) -> Column:
     """Percent change to the close n rows before; null without it or if it is 0."""
-    before = F.lag("close", n).over(BY)
+    before = F.lag("close", n).over(by_day())
     return F.when(before != 0, F.round((F.col("close") - before) / F.abs(before) * 100, 4))
 
 
 def with_changes(prices: DataFrame) -> DataFrame:
     """close minus the previous close, and the simple return on its absolute value."""
-    before = F.lag("close").over(BY)
+    before = F.lag("close").over(by_day())
     out = prices.withColumn("delta", F.col("close") - before)
     return out.withColumn("ret", F.when(before != 0, F.col("delta") / F.abs(before)))
 
@@ -119,7 +122,7 @@ def latest_macd(prices: DataFrame, fast: int = 12, slow: int = 26, signal: int =
 
 def fill_pct_change(rows: DataFrame) -> DataFrame:
     """pct_change_1d from the previous close where it is missing and both closes are usable."""
-    before = F.lag("close").over(BY)
+    before = F.lag("close").over(by_day())
     filled = F.when((before != 0) & F.col("close").isNotNull(), F.round((F.col("close") - before) / before * 100, 4))
     return rows.withColumn("pct_change_1d", F.coalesce("pct_change_1d", filled))
 
