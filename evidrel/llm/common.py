@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept(df: DataFrame, columns: list, made: list[str]) -> list[Column]:
+    """The columns to pass through: those named, else all but such as an operator makes under the same name."""
+    taken = {c.lower() for c in made}
+    return [F.col(c) if isinstance(c, str) else c for c in columns] or [F.col(f"`{c}`") for c in df.columns if c.lower() not in taken]
+
+
 def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Keeps the Arrow batches of Python stages small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -90,12 +96,10 @@ def hashed_sample(df: DataFrame, key: str, by: Column, rows: int, classes: int =
     each value's share. Only the fit of a classifier on a bounded sample uses it.
     The ``classes`` most frequent values are kept.
     """
-    spark = df.sparkSession
     counts = df.select(by.alias("v")).where("v is not null").groupBy("v").count()
     counts = counts.orderBy(F.desc("count"), "v").limit(classes).collect()
     if not counts:
         return df.withColumn("class_value", by.cast("string")).limit(0)
     share = F.create_map(*[F.lit(x) for r in counts for x in (str(r["v"]), min(1.0, rows / r["count"]))])
     h = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    del spark
     return df.withColumn("class_value", by.cast("string")).where(h < F.element_at(share, F.col("class_value")))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidrel.llm.common import arrow_rows, byte_buffer, hashed_sample
+from evidrel.llm.common import arrow_rows, byte_buffer, hashed_sample, kept
 from evidrel.llm.convnet import AdaGrad, Net, new_net, softmax, train_step
 
 WINDOW = 256
@@ -158,7 +158,7 @@ def identify(docs: DataFrame, model: bytes | None, text_col: str = "text", colum
     """
     spark = docs.sparkSession
     arrow_rows(spark)
-    keep = list(columns) or [F.col(f"`{c}`") for c in docs.columns]
+    keep = kept(docs, columns, ["lang_pred", "score"])
     base = docs.select(*keep)
     text = F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col))
     rows = docs.select(*keep, text.alias("__text"))

@@ -29,7 +29,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidrel.llm.common import arrow_rows
+from evidrel.llm.common import arrow_rows, kept
 
 MARK = "▁"
 #: How far below the worst piece a character without a piece scores.
@@ -164,7 +164,7 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", columns: list[
     """
     spark = docs.sparkSession
     arrow_rows(spark)
-    keep = list(columns) or [F.col(f"`{c}`") for c in docs.columns if c != out]
+    keep = kept(docs, columns, [out])
     schema = docs.select(*keep).withColumn(out, F.array().cast("array<int>")).schema
     shared, names = spark.sparkContext.broadcast(model), [f.name for f in schema]
 
@@ -181,7 +181,7 @@ def decode(pieces: DataFrame, model: bytes, ids_col: str = "piece_ids", columns:
     """``columns`` and the text of each array of piece ids; null and empty arrays give an empty text."""
     spark = pieces.sparkSession
     arrow_rows(spark)
-    keep = list(columns) or [F.col(f"`{c}`") for c in pieces.columns if c != out]
+    keep = kept(pieces, columns, [out])
     schema = pieces.select(*keep).withColumn(out, F.lit("")).schema
     shared, names = spark.sparkContext.broadcast(model), [f.name for f in schema]
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidrel.llm.common import arrow_rows
+from evidrel.llm.common import arrow_rows, kept
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1  # 0 is no entity
@@ -290,7 +290,7 @@ def find(docs: DataFrame, model: bytes, text_col: str = "text", columns: list[st
     """
     spark = docs.sparkSession
     arrow_rows(spark)
-    keep = list(columns) or [F.col(f"`{c}`") for c in docs.columns]
+    keep = kept(docs, columns, [*[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"])
     base = docs.select(*keep)
     counts = {f"n_{k}": F.lit(0).cast("long") for k in KINDS}
     schema = base.withColumns(counts | {"base_sha256": F.lit(""), "spans": F.lit(""), "n_added": F.lit(0).cast("long")}).schema
