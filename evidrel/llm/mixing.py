@@ -1,7 +1,7 @@
 """Mixing sources to target weights with soft domain membership.
 
 A labelled table says for some documents which domain they belong to. A naive
-Bayes classifier over hashed words, counted from all labelled documents, gives
+Bayes classifier over hashed words, counted from a bounded sample of them, gives
 every document a posterior over the domains. Document rates r >= 0 are then
 fitted so that the expected tokens of each domain, the sum of r * tokens *
 posterior, meet the target totals: least squares by projected gradient steps
@@ -22,12 +22,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidrel.llm.common import written
+from evidrel.llm.common import hashed_sample, written
 
 #: Hashed words of the classifier.
 WORDS = 4096
 #: Steps at most, and the relative miss of the targets that ends the fit.
 STEPS, CLOSE = 40, 1e-3
+#: Labelled documents of each domain that the word weights are counted from (4 times that at most).
+FIT_DOCS = 8000
 #: Weight of a pseudo-count of each word in each domain.
 SMOOTH = 1.0
 
@@ -43,12 +45,13 @@ def constant_array(values: list[float]) -> Column:
     return F.from_json(F.lit(json.dumps(values)), "array<double>")
 
 
-def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str, text_col: str) -> tuple[list[list[float]], list[float]]:
-    """Log weights of each word bucket and prior logs, by domain, from all labelled documents."""
+def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str, text_col: str, sample: int = FIT_DOCS) -> tuple[list[list[float]], list[float]]:
+    """Log weights of each word bucket from about ``sample`` labelled documents of each domain, and prior logs from all labels."""
     known = labelled.select(F.col(id_col), F.col("domain")).where(F.col("domain").isin(domains))
-    # narrow rows are shuffled: the buckets of a labelled document, not its text
-    words = docs.select(F.col(id_col), word_buckets(F.col(text_col)).alias("words"))
-    seen = words.join(known, id_col).select("domain", F.explode("words").alias("w")).groupBy("domain", "w").count()
+    chosen = hashed_sample(known, id_col, F.col("domain"), sample).select(id_col, "domain")
+    # 4 * sample narrow rows of each domain at most: texts are not shuffled
+    words = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select("domain", F.explode(word_buckets(F.col(text_col))).alias("w"))
+    seen = words.groupBy("domain", "w").count()
     counts = {d: [SMOOTH] * WORDS for d in domains}
     for r in seen.collect():  # at most WORDS rows for each domain
         counts[r["domain"]][r["w"] - 1] += r["count"]
