@@ -1,48 +1,56 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-A document is the set of its distinct word n-grams, each a 64-bit hash; sets are
-ordered by hash, which is the same for all documents. Two sets with a similarity
-of at least t share at least m tokens among the first p + m - 1 of each, where
-p = n - ceil(t * n) + 1 and m is any number from 1 on. The join
-
-1. collapses equal sets to their smallest document;
-2. counts, over all documents, how many base prefixes (m = 1) hold each token;
-   tokens in more than HOT of them are hot;
-3. lengthens each document's prefix by its estimated candidate cost: to the
-   smallest m with more than ``need`` cold tokens to be matched, where need
-   grows with the summed counts of its cold tokens. A pair must then share at
-   least need cold tokens, and hot tokens raise no candidates at all. Documents
-   whose prefixes are hot beyond MOST keep their hot tokens too, among themselves;
-4. raises candidates from tokens that two documents hold. In each token's group
-   one central document is compared with the others (a group of near copies
+A document is the set of its distinct word n-grams, each a 64-bit hash. All
+documents order their tokens alike: by how many documents hold them, as a
+fixed-size sketch over the whole corpus estimates it, then by hash. Two sets
+with a similarity of at least t share at least m tokens among the first
+p + m - 1 of each, where p = n - ceil(t * n) + 1 and m is any number from 1 on;
+of the smaller set the shorter index prefix is enough, where 2 t / (1 + t) takes
+the place of t. The join
+
+1. counts tokens of all documents in a sketch of BUCKETS counters;
+2. chooses each document's m by its estimated candidate cost, the summed counts
+   of its base prefix: the dearer, the longer its prefix and the more shared
+   prefix tokens its pairs must show. Documents that hold too few tokens which
+   are not hot (boilerplate) also raise their hot tokens, among themselves;
+3. collapses equal sets to their smallest document;
+4. raises candidates from tokens that two documents hold, the smaller of them in
+   its index prefix, among documents of like size. In each such group one
+   central document is compared with the others (a group of near copies
    costs as many comparisons as it has members); what is left apart is compared
    again around another centre, and after ROUNDS turns all pairs of the group
    that are still in different components are;
-5. verifies candidates: first the number of shared prefix tokens, then the
-   exact similarity of the whole sets.
+5. verifies candidates: an upper bound of the overlap from token counts by hash
+   range, then the number of shared prefix tokens, then the exact similarity of
+   the whole sets. Only texts of candidates are read again for their sets.
 
 Every link between different sets that could join two components is verified,
-so components are those of the full link graph.
+so components are those of the full link graph. The sketch only steers cost.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidrel.llm.common import arrow_rows, byte_buffer, mix64, written
+from evidrel.llm.common import arrow_rows, byte_buffer, drop_scratch, mix64, written
 from evidrel.llm.graph import components
 
-#: A token in more base prefixes than this is hot.
-HOT = 48
-#: The longest extension of a prefix: need and hot tokens together.
-MOST = 24
-#: Summed counts of a document's cold tokens from which two or three matches are asked for.
-COSTLY = (400, 4000)
+#: Counters of the token sketch: its size does not depend on the corpus.
+BUCKETS = 1 << 20
+#: A token whose counter lies this far above the mean counter is hot.
+HOT = 64
+#: Summed counts above the mean of a base prefix from which two or three matches are asked for.
+COSTLY = (2000, 20000)
+LONGEST = len(COSTLY) + 1
+#: Hash ranges whose token counts bound the overlap of two sets.
+RANGES = 64
 #: Turns with one centre for each token before all pairs that are left.
 ROUNDS = 2
 
@@ -97,21 +105,82 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
     return out
 
 
-def prefix_size(n: int | Column, percent: int) -> int | Column:
+def prefix_size(n: int, percent: int) -> int:
     """Tokens of the base prefix: n - ceil(n * percent / 100) + 1."""
-    if isinstance(n, Column):
-        return n - F.ceil(n * F.lit(percent) / 100) + 1
     return n - -(-n * percent // 100) + 1
 
 
-def _lists(sets: list[np.ndarray]) -> pa.Array:
-    flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+def index_size(n: int, percent: int) -> int:
+    """Tokens of the index prefix: n - ceil(n * 2 t / (1 + t)) + 1."""
+    return n - -(-n * 2 * percent // (100 + percent)) + 1
+
+
+def _lists(sets: list[np.ndarray], kind: pa.DataType | None = None) -> pa.Array:
+    flat = np.concatenate([np.zeros(0, sets[0].dtype if sets else np.uint64), *sets])
+    flat = flat.view(np.int64) if flat.dtype == np.uint64 else flat
     ends = np.cumsum([0, *map(len, sets)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(kind.to_pandas_dtype()) if kind else flat))
+
 
+def token_counts(docs: DataFrame, n: int) -> np.ndarray:
+    """Over all documents, how many hold a token of each of BUCKETS hash values."""
 
-def sketches(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, n, s1, s2, pool): set size, 128 bits of the set, its longest possible prefix."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            sets = shingle_sets(*byte_buffer(b.column("text")), n)
+            total += np.bincount((np.concatenate(sets) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        parts = total.reshape(64, -1)
+        yield pa.record_batch([pa.array(range(64), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())], names=["part", "counts"])
+
+    def add(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in f["counts"])
+        return pd.DataFrame({"part": [key[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
+
+    schema = "part int, counts binary"
+    rows = docs.select("text").mapInArrow(count, schema)
+    got = rows.withColumn("some", F.pmod(F.xxhash64("counts"), F.lit(16))).groupBy("part", "some").applyInPandas(lambda key, f: add(key, f), schema)
+    got = got.groupBy("part").applyInPandas(lambda key, f: add(key, f), schema).orderBy("part").collect()  # 64 rows
+    if not got:
+        return np.zeros(BUCKETS, np.int64)
+    return np.concatenate([np.frombuffer(zlib.decompress(r["counts"]), np.int64) for r in got])
+
+
+def ordered(s: np.ndarray, excess: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``most`` tokens of a set in the common order, and their counts above the mean."""
+    c = excess[(s % np.uint64(BUCKETS)).astype(np.int64)]
+    key = (c.astype(np.uint64) << np.uint64(40)) | (s >> np.uint64(24))
+    if most < len(s):
+        keep = np.argpartition(key, most - 1)[:most]
+        # equal keys at the edge are told apart by the whole hash
+        edge = key[keep].max()
+        keep = np.flatnonzero(key <= edge)
+        s, key, c = s[keep], key[keep], c[keep]
+    at = np.lexsort((s, key))[:most]
+    return s[at], c[at]
+
+
+def adapted(s: np.ndarray, excess: np.ndarray, percent: int) -> tuple[int, int, bool, np.ndarray, np.ndarray]:
+    """Of one set: base prefix length p, m, whether it is boilerplate, its prefix of p + m - 1 tokens, which are hot."""
+    if not len(s):
+        return 0, 1, False, s, np.zeros(0, bool)
+    p = prefix_size(len(s), percent)
+    t, c = ordered(s, excess, min(len(s), p + LONGEST - 1))
+    hot = c > HOT
+    m = 1 + sum(int(c[:p].sum()) > x for x in COSTLY)
+    boiler = bool(hot[:p].any())
+    while m > 1 and hot[: p + m - 1].any():
+        m -= 1
+    m = LONGEST if boiler else m
+    return p, m, boiler, t[: p + m - 1], hot[: p + m - 1]
+
+
+def sketches(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
+    """(doc_id, n, s1, s2, shape, raised, indexed, cold): set size, 128 bits of the set, token counts by hash range, the tokens that raise candidates, and how many of them, the first, are in the index prefix and are not hot.
+
+    A hot token that boilerplate raises is marked by other bits, so it meets only its like.
+    """
+    excess = docs.sparkSession.sparkContext.broadcast(_excess(counts))  # BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,71 +188,103 @@ def sketches(docs: DataFrame, n: int, percent: int) -> DataFrame:
             size = np.array([len(s) for s in sets], np.int64)
             s1 = np.array([mix64(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             s2 = np.array([mix64(s ^ _ODD[14]).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-            pool = _lists([s[: prefix_size(len(s), percent) + MOST] for s in sets])
-            yield pa.record_batch([b.column("doc_id"), pa.array(size), pa.array(s1), pa.array(s2), pool], names=["doc_id", "n", "s1", "s2", "pool"])
+            raised, indexed, cold = [], [], []
+            for s in sets:
+                p, m, boiler, t, h = adapted(s, excess.value, percent)
+                marked = np.where(h, t ^ _ODD[13], t)
+                # hot tokens come last in the order; boilerplate raises those of its base prefix only, and all its cold ones are found
+                k, first = int((~h).sum()), index_size(len(s), percent) if len(s) else 0
+                raised.append(marked[: max(k, p)] if boiler else marked)
+                indexed.append(max(first, k) if boiler else first + m - 1)
+                cold.append(k)
+            shape = _lists([np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=RANGES) if len(s) else np.zeros(RANGES, np.int64) for s in sets], pa.int32())
+            yield pa.record_batch([b.column("doc_id"), pa.array(size), pa.array(s1), pa.array(s2), shape, _lists(raised), pa.array(indexed, pa.int32()), pa.array(cold, pa.int32())], names=["doc_id", "n", "s1", "s2", "shape", "raised", "indexed", "cold"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, pool array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, shape array<int>, raised array<long>, indexed int, cold int")
 
 
-def full_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, grams): the whole sets."""
+def _excess(counts: np.ndarray) -> np.ndarray:
+    return np.clip(counts - int(counts.mean()), 0, (1 << 23) - 1).astype(np.int32)
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
+    """(doc_id, p, m, boiler, prefix, grams) of at least the documents in ``wanted`` (doc_id).
+
+    A bitmap of hashed ids, 1 to 16 MB, tells the tasks which texts to read; an
+    id that shares its bit with a wanted one is read as well.
+    """
+    spark = docs.sparkSession
+    bits = 1 << min(27, max(23, 4 + wanted.count().bit_length()))
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(bits)) + 1
+    parts = wanted.select(h.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
+    bitmap = np.zeros(bits // 8 + 4096, np.uint8)
+    for r in parts:
+        at = (r["k"] - 1) * 4096
+        bitmap[at : at + 4096] |= np.frombuffer(bytes(r["bits"]), np.uint8)
+    # the number of a bucket and a bit are Spark's own functions of the value, computed there
+    shared, excess = spark.sparkContext.broadcast(bitmap), spark.sparkContext.broadcast(_excess(counts))
+    rows = docs.select("doc_id", ((F.bitmap_bucket_number(h) - 1) * 32768 + F.bitmap_bit_position(h)).alias("bit"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column("doc_id"), _lists(shingle_sets(*byte_buffer(b.column("text")), n))], names=["doc_id", "grams"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, grams array<long>")
-
-
-def _postings(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(token, hot, doc_id, n) of tokens that raise candidates, and (doc_id, need, m, score, prefix) of their documents."""
-    base = reps.select("doc_id", "n", F.posexplode(F.slice("pool", 1, prefix_size(F.col("n"), percent).cast("int"))).alias("at", "token"))
-    shared = base.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = written(shared, "tokens")
-    live = base.join(shared.hint("merge"), "token").select("doc_id", "n", "at", "token", "df")
-    live = written(live, "live")
-    cold = F.when(F.col("df") <= HOT, F.col("df")).otherwise(0)
-    cost = live.groupBy("doc_id").agg(F.sum(cold).alias("cost"), F.max("df").alias("top"), F.sum("df").alias("score"))
-    cost = cost.withColumn("need", F.lit(1) + sum((F.col("cost") > c).cast("int") for c in COSTLY))
-    docs = reps.join(cost, "doc_id").select("doc_id", "n", "pool", "top", "score", "need")
-    docs = written(docs, "prefixes")
-    # hot tokens among the longest possible prefixes of the documents that need more than one token
-    longer = docs.where((F.col("top") > HOT) | (F.col("need") > 1))
-    hot = shared.where(F.col("df") > HOT).select("token")
-    at = longer.select("doc_id", F.posexplode("pool").alias("at", "token")).join(hot.hint("merge"), "token")
-    at = at.groupBy("doc_id").agg(F.collect_list("at").alias("hot_at"))
-    docs = docs.join(at, "doc_id", "left").withColumn("hot_at", F.coalesce("hot_at", F.array().cast("array<int>")))
-    p = prefix_size(F.col("n"), percent)
-    enough = F.filter(F.sequence(F.lit(1), F.lit(MOST)), lambda m: m - F.size(F.filter("hot_at", lambda x: x < p + m - 1)) >= F.col("need"))
-    docs = docs.withColumn("m", F.coalesce(F.get(enough, F.lit(0)), F.lit(0))).withColumn("boiler", F.col("m") == 0)
-    docs = docs.withColumn("m", F.when(F.col("boiler"), F.lit(MOST)).otherwise(F.col("m")))
-    docs = docs.withColumn("need", F.when(F.col("boiler"), F.lit(1)).otherwise(F.col("need")))
-    size = (p + F.col("m") - 1).cast("int")
-    docs = docs.withColumn("prefix", F.slice("pool", 1, size)).withColumn("base", p.cast("int"))
-    docs = written(docs.select("doc_id", "n", "m", "need", "score", "boiler", "prefix", "hot_at", "base"), "adapted")
-    tokens = docs.select("doc_id", "n", "score", "boiler", "base", "hot_at", F.posexplode("prefix").alias("at", "token"))
-    tokens = tokens.withColumn("hot", F.array_contains("hot_at", F.col("at")))
-    # cold tokens of everyone; hot tokens of base prefixes only among documents that have little else
-    raised = tokens.where(~F.col("hot") | (F.col("boiler") & (F.col("at") < F.col("base")))).select("token", "hot", "doc_id", "n", "score")
-    pairs = raised.groupBy("token", "hot").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token", "hot")
-    raised = written(raised.join(pairs.hint("merge"), ["token", "hot"]), "postings")
-    return raised, docs.select("doc_id", "m", "need", "prefix", "base", "boiler")
-
-
-def _verified(pairs: DataFrame, prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar enough; prefix matches are counted before whole sets are read."""
-    side = lambda x: prefixes.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("m", "need", "prefix", "base", "boiler")])
-    near = pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a")
-    m = F.least("m_a", "m_b")
-    need = F.when(F.col("m_a") < F.col("m_b"), F.col("need_a")).when(F.col("m_b") < F.col("m_a"), F.col("need_b")).otherwise(F.greatest("need_a", "need_b"))
-    need = F.when(F.col("boiler_a") & F.col("boiler_b"), 1).otherwise(need)
-    common = F.size(F.array_intersect(F.slice("prefix_a", F.lit(1), F.col("base_a") + m - 1), F.slice("prefix_b", F.lit(1), F.col("base_b") + m - 1)))
-    near = written(near.where(common >= need).select("a", "b"), "candidates")
-    whole = near.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("grams_b")).hint("merge"), "b")
-    whole = whole.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("grams_a")).hint("merge"), "a")
+            bit = b.column("bit").to_numpy()
+            b = b.filter(pa.array((shared.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1))
+            if b.num_rows:
+                sets = shingle_sets(*byte_buffer(b.column("text")), n)
+                made = [adapted(s, excess.value, percent) for s in sets]
+                p, m, boiler, prefix, _ = zip(*made, strict=True)
+                yield pa.record_batch([b.column("doc_id"), pa.array(p, pa.int32()), pa.array(m, pa.int32()), pa.array(boiler), _lists(list(prefix)), _lists(sets)], names=["doc_id", "p", "m", "boiler", "prefix", "grams"])
+
+    return rows.mapInArrow(run, "doc_id long, p int, m int, boiler boolean, prefix array<long>, grams array<long>")
+
+
+def _postings(reps: DataFrame, percent: int) -> DataFrame:
+    """(token, size, doc_id, n, index, hot, score): groups of documents that a token and a size may join.
+
+    hot is 0 for a cold token; for a hot one, how many tokens of the document
+    are hot: boilerplate has all its cold tokens among those raised, so a pair
+    that meets in no cold token shares hot ones at most. A document probes in the group of its size class and of the one below, and
+    is found, where the token is in its index prefix, in its own. score: how
+    many tokens of a document another one raises too.
+    """
+    raised = reps.select(F.posexplode("raised").alias("at", "token"), "doc_id", "n", "indexed", "cold")
+    # one number holds the size, the number of hot tokens and whether the token is in the index prefix
+    hot = F.when(F.col("at") >= F.col("cold"), F.col("n") - F.col("cold")).otherwise(0)
+    raised = raised.select("token", "doc_id", (F.shiftleft("n", 33) + hot * 2 + (F.col("at") < F.col("indexed")).cast("long")).alias("x"))
+    shared = raised.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.max(F.col("x") % 2).alias("i")).where("k > 1 and i = 1").select("token")
+    live = written(raised.join(shared.hint("merge"), "token"), "live")
+    score = live.groupBy("doc_id").agg(F.count(F.lit(1)).alias("score"))
+    # classes a little wider than the largest step between the sizes of a pair, so it spans two at most
+    own = F.floor(F.log(F.col("n")) / float(-np.log(percent / 100) * (1 + 1e-6))).cast("int")
+    rows = live.select("token", "doc_id", F.shiftright("x", 33).alias("n"), (F.col("x") % 2 == 1).alias("index"), F.shiftright("x", 1).bitwiseAND(F.lit((1 << 32) - 1)).alias("hot"))
+    rows = rows.withColumn("size", F.explode(F.array(own, own - 1))).withColumn("index", F.col("index") & (F.col("size") == own))
+    some = rows.groupBy("token", "size").agg(F.count(F.lit(1)).alias("k"), F.bool_or("index").alias("i")).where("k > 1 and i").select("token", "size")
+    out = rows.join(some.hint("merge"), ["token", "size"]).join(score.hint("merge"), "doc_id")
+    out = written(out, "postings")
+    drop_scratch(live)
+    return out
+
+
+def _verified(pairs: DataFrame, shapes: DataFrame, docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar enough; whole sets are made for documents only that pass the bound."""
+    shape = lambda x: shapes.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("shape").alias(f"shape_{x}"))
+    near = pairs.join(shape("b").hint("merge"), "b").join(shape("a").hint("merge"), "a")
+    most = F.aggregate(F.zip_with("shape_a", "shape_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x).cast("long")
+    near = written(near.where(most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent).select("a", "b"), "candidates")
+    if near.isEmpty():
+        return near
+    wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = written(full_sets(docs, written(wanted, "wanted"), counts, n, percent), "sets")
+    side = lambda x: sets.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("p", "m", "boiler", "prefix", "grams")])
+    whole = near.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a")
+    m = F.when(F.col("boiler_a") & F.col("boiler_b"), 1).otherwise(F.least("m_a", "m_b"))
+    cut = lambda x: F.slice(f"prefix_{x}", F.lit(1), F.col(f"p_{x}") + m - 1)
+    matched = F.size(F.array_intersect(cut("a"), cut("b"))) >= m
     both = F.size(F.array_intersect("grams_a", "grams_b"))
     union = F.size("grams_a") + F.size("grams_b") - both
-    return written(whole.where(both * 100 >= union * percent).select("a", "b"), "verified")
+    out = written(whole.where(matched & (both * 100 >= union * percent)).select("a", "b"), "verified")
+    drop_scratch(sets)
+    return out
 
 
 def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
@@ -198,34 +299,40 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     arrow_rows(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    sketch = written(sketches(docs, n, percent), "sketches")
-    classes = sketch.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("class_id"))
+    counts = token_counts(docs, n)
+    wide = written(sketches(docs, counts, n, percent), "sketches")
+    classes = wide.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("class_id"))
     classes = written(classes, "classes")
-    reps = sketch.join(classes.select(F.col("class_id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
-    postings, prefixes = _postings(reps, percent)
-    wanted = postings.select("doc_id").distinct()
-    sets = written(full_sets(docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), n), "sets")
-
-    links, groups, comp = None, postings, None
+    reps = wide.select("doc_id", "n", "shape", "raised", "indexed", "cold").join(classes.select(F.col("class_id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+    reps = written(reps, "representatives")
+    sketch = written(wide.select("doc_id", "n", "s1", "s2"), "documents")
+    drop_scratch(wide)
+    groups, shapes = _postings(reps, percent).withColumn("comp", F.col("doc_id")), reps.select("doc_id", "n", "shape")
+
+    key, links, comp = ["token", "size"], None, None
+    side = lambda x: groups.select(*key, *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "index", "hot", "comp")])
     for turn in range(ROUNDS + 1):
         if turn < ROUNDS:
-            centre = groups.groupBy("token", "hot").agg(F.max(F.struct("score", -F.col("doc_id"), "n")).alias("c"))
-            centre = centre.select("token", "hot", (-F.col("c.col2")).alias("a"), F.col("c.n").alias("n_a"))
-            pairs = groups.join(centre.hint("merge"), ["token", "hot"]).where("doc_id != a")
-            pairs = pairs.select("a", F.col("doc_id").alias("b"), "n_a", F.col("n").alias("n_b"))
+            # the most central of those that can be found
+            best = F.max(F.struct("index", "score", (-F.col("doc_id")).alias("minus"), "n", "hot", "comp")).alias("c")
+            centre = groups.groupBy(*key).agg(best).select(*key, (-F.col("c.minus")).alias("doc_id_a"), F.col("c.n").alias("n_a"), F.col("c.index").alias("index_a"), F.col("c.hot").alias("hot_a"), F.col("c.comp").alias("comp_a"))
+            pairs = centre.join(side("b").hint("merge"), key)
         else:
-            left, right = groups.select("token", "hot", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("ca")), groups.select("token", "hot", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("cb"))
-            pairs = left.join(right.hint("merge"), ["token", "hot"]).where("a < b and ca != cb").select("a", "b", "n_a", "n_b")
+            pairs = side("a").where("index_a").join(side("b").hint("merge"), key)
         fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-        found = _verified(pairs.where(fits).select("a", "b").distinct(), prefixes, sets, percent)
+        meet = (F.col("index_a") & (F.col("n_a") <= F.col("n_b"))) | (F.col("index_b") & (F.col("n_b") <= F.col("n_a")))
+        enough = (F.col("hot_a") == 0) | (F.least("hot_a", "hot_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
+        pairs = pairs.where(fits & meet & enough & (F.col("comp_a") != F.col("comp_b")))
+        pairs = pairs.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
+        found = _verified(pairs, shapes, docs, counts, n, percent)
         links = found if links is None else links.unionByName(found)
         comp = written(components(links), "components")
         if turn < ROUNDS:
             # the centre is done with; what stays are groups whose other members lie in several components
-            rest = groups.drop("comp").join(centre.select("token", "hot", "a").hint("merge"), ["token", "hot"]).where("doc_id != a").drop("a")
+            rest = groups.drop("comp").join(centre.select(*key, "doc_id_a").hint("merge"), key).where("doc_id != doc_id_a").drop("doc_id_a")
             rest = rest.join(comp.hint("merge"), rest["doc_id"] == comp["node"], "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("node", "component")
-            apart = rest.groupBy("token", "hot").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token", "hot")
-            groups = written(rest.join(apart.hint("merge"), ["token", "hot"]), "groups")
+            apart = rest.groupBy(*key).agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.bool_or("index").alias("i")).where("x != y and i").select(*key)
+            groups = written(rest.join(apart.hint("merge"), key), "groups")
             if groups.isEmpty():
                 break
     out = sketch.select("doc_id", "n", "s1", "s2").join(classes.hint("merge"), ["s1", "s2", "n"], "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
