@@ -43,9 +43,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeat, stay or go as their fitted rates say."""
+    """Documents repeat, stay or go as their fitted rates say; one that is most probably clean stays at least once."""
     mixed = mixing.mix(docs, label_domains(spark, sf_dir), DOMAIN_WEIGHTS)
-    copies = mixed.groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("copies")).where("copies > 0")
+    clean = F.element_at("p", sorted(DOMAIN_WEIGHTS).index("clean") + 1) >= F.array_max("p")
+    copies = F.when(clean, F.greatest("copies", F.lit(1))).otherwise(F.col("copies"))
+    copies = mixed.groupBy(F.col("doc_id").alias("id")).agg(F.max(copies).alias("copies")).where("copies > 0")
     out = docs.select(*COLUMNS).join(copies.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")))
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 

@@ -100,7 +100,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Parts of all tokens that the domains of the labels shall have.
-DOMAIN_WEIGHTS = {"clean": 0.95, "poor": 0.03, "toxic": 0.02}
+DOMAIN_WEIGHTS = {"clean": 0.88, "poor": 0.04, "toxic": 0.08}
 
 
 def label_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
