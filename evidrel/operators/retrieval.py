@@ -1,15 +1,17 @@
 """Retrieval: TF-IDF scan, predicates, ranking, selection and near-duplicate groups.
 
-Queries and documents are tables; one request is one row. Grams are the join
-key, so the scan is an equi-join whose size follows shared grams; weights are
-summed map-side before the shuffle.
+Queries and documents are tables; one request is one row. The scan reads the
+documents twice: once to count the documents of each gram, once to multiply
+their weights with those of the queries.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -17,6 +19,10 @@ from pyspark.sql import Window as W
 from evidrel.functions.text import word_bound_grams
 
 DOCUMENT_SOURCES = ["news", "announcement", "faq", "product_doc", "research_note"]
+#: Documents and queries multiplied at a time, and grams that a task counts before it sums them.
+DOCUMENT_BLOCK, QUERY_BLOCK, GRAMS_HELD = 128, 256, 4_000_000
+#: A key that no gram has.
+DOCUMENTS = 0x1FFFFE << 42
 LEAST_SCORE = {"news": 0.02, "announcement": 0.02, "research_note": 0.05, "faq": 0.05, "product_doc": 0.05}
 
 
@@ -25,26 +31,115 @@ def gram_counts(texts: DataFrame, key: str, text: Column) -> DataFrame:
     return texts.select(key, F.explode(word_bound_grams(text)).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def vocabulary(tf: DataFrame, key: str) -> DataFrame:
-    """(gram, idf): smoothed inverse document frequency ln((1 + N) / (1 + df)) + 1."""
-    n = tf.agg(F.count_distinct(key).alias("n"))
-    return tf.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+def spaced(text: Column) -> Column:
+    """Lower-cased words between single spaces, one at either end; null without words."""
+    words = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    return F.when(words != "", F.concat(F.lit(" "), words, F.lit(" ")))
 
 
-def unit_weights(tf: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """(key, gram, w): tf * idf of known grams, each key's vector of length 1."""
-    raw = tf.join(idf, "gram").select(key, "gram", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, key).select(key, "gram", (F.col("w") / F.col("norm")).alias("w"))
+def gram_keys(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The word-bound 2- to 4-grams of a spaced text as sorted 64-bit keys, and how often each is there.
 
-
-def cosine(queries: DataFrame, docs: DataFrame, query_text: Column, doc_text: Column, query_key: str = "query_id", doc_key: str = "doc_id") -> DataFrame:
-    """(query, doc, cosine) of pairs that share a gram; grams that no document holds count for nothing."""
-    tf = gram_counts(docs, doc_key, doc_text)
-    idf = vocabulary(tf, doc_key)
-    d = unit_weights(tf, idf, doc_key)
-    q = unit_weights(gram_counts(queries, query_key, query_text), idf, query_key).withColumnRenamed("w", "qw")
-    return q.join(d, "gram").groupBy(query_key, doc_key).agg(F.sum(F.col("qw") * F.col("w")).alias("cosine"))
+    A gram lies in a padded word if no space is inside it. Keys of 2 and 3
+    characters are exact, those of 4 are hashes of 63 bits.
+    """
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    inner = c != 32
+    two = (c[:-1] << np.uint64(21)) | c[1:]  # a code point has 21 bits and is below 0x110000
+    three = ((two[:-1] << np.uint64(21)) | c[2:])[inner[1:-1]]
+    four = ((two[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (two[2:] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9)))[inner[1:-2] & inner[2:-1]]
+    four ^= four >> np.uint64(29)
+    four = (four * np.uint64(0xBF58476D1CE4E5B9)) | np.uint64(1 << 63)
+    return np.unique(np.concatenate([two | np.uint64(0x1FFFFF << 42), three, four]).view(np.int64), return_counts=True)
+
+
+def document_counts(texts: DataFrame) -> DataFrame:
+    """(key, df) of the grams of spaced texts, and the number of texts at DOCUMENTS; each task sums before it hands on."""
+
+    def summed(held: list[np.ndarray]) -> pd.DataFrame:
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        return pd.DataFrame({"key": keys, "df": n})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for f in frames:
+            held.append(np.full(len(f), DOCUMENTS))
+            for t in f["text"]:
+                held.append(gram_keys(t)[0])
+                size += len(held[-1])
+                if size >= GRAMS_HELD:
+                    yield summed(held)
+                    held, size = [], 0
+        if held:
+            yield summed(held)
+
+    return texts.mapInPandas(run, "key long, df long").groupBy("key").agg(F.sum("df").alias("df"))
+
+
+def cosine(queries: DataFrame, docs: DataFrame, query_text: Column, doc_text: Column, query_key: str = "query_id", doc_key: str = "doc_id", least: float = 0.0, top: int | None = None) -> DataFrame:
+    """(query, doc, cosine) of pairs that share a gram, with a cosine of at least ``least``.
+
+    Grams that no document holds count for nothing. top: hits that cannot be
+    among a query's best ``top`` by cosine to four places may be left out.
+    Queries are few (requests of one run) and go to every task, as do the
+    document counts of grams that several documents hold; documents stay where
+    they are read, so pairs with common grams need no join.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(F.col(doc_key).alias("doc"), spaced(doc_text).alias("text")).where("text is not null")
+    asked = queries.select(F.col(query_key).alias("query"), spaced(query_text).alias("text")).where("text is not null").toArrow().to_pydict()
+    grams = [gram_keys(t) for t in asked["text"]]
+    wanted = np.unique(np.concatenate([np.array([DOCUMENTS]), *[k for k, _ in grams]]))
+    mine = spark.createDataFrame(pa.table({"key": wanted, "asked": np.ones(len(wanted), bool)}))
+    common = document_counts(texts.select("text")).join(F.broadcast(mine), "key", "left").where("df > 1 or asked").select("key", "df").toArrow().sort_by("key")
+    known, df = common["key"].to_numpy(), common["df"].to_numpy()
+    i, here = places(known, np.array([DOCUMENTS]))
+    total = int(df[i[0]]) if here.any() else 0
+    idf = lambda n: np.log((1 + total) / (1 + n)) + 1
+    known_idf = idf(df)
+    blocks = []
+    for at in range(0, len(grams), QUERY_BLOCK):
+        part = grams[at : at + QUERY_BLOCK]
+        own = np.intersect1d(np.concatenate([k for k, _ in part]), known)
+        table = np.zeros((len(own), len(part)))
+        for j, (k, n) in enumerate(part):
+            i, here = places(known, k)
+            table[np.searchsorted(own, k[here]), j] = n[here] * known_idf[i[here]]
+        norm = np.sqrt((table * table).sum(axis=0))
+        blocks.append((own, table / np.where(norm > 0, norm, 1), np.array(asked["query"][at : at + QUERY_BLOCK])))
+    shared = spark.sparkContext.broadcast((known, known_idf.astype(np.float64), float(idf(1.0)), blocks))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, known_idf, single, blocks = shared.value
+        for f in frames:
+            for at in range(0, len(f), DOCUMENT_BLOCK):
+                part = f.iloc[at : at + DOCUMENT_BLOCK]
+                rows = [np.zeros((len(part), len(own))) for own, _, _ in blocks]
+                for r, text in enumerate(part["text"]):
+                    keys, n = gram_keys(text)
+                    i, here = places(known, keys)
+                    w = n * np.where(here, known_idf[i], single)
+                    w /= np.sqrt(w @ w)
+                    for (own, _, _), out in zip(blocks, rows, strict=True):
+                        i, here = places(own, keys)
+                        out[r, i[here]] = w[here]
+                for (_, table, ids), weights in zip(blocks, rows, strict=True):
+                    got = weights @ table
+                    keep = (got > 0) & (got >= least)
+                    if top is not None and len(part) > top:
+                        keep &= got >= np.partition(got, len(part) - top, axis=0)[len(part) - top] - 1e-4
+                    d, q = np.nonzero(keep)
+                    yield pd.DataFrame({query_key: ids[q], doc_key: part["doc"].to_numpy()[d], "cosine": got[d, q]})
+
+    kinds = {query_key: queries.schema[query_key].dataType.simpleString(), doc_key: docs.schema[doc_key].dataType.simpleString()}
+    return texts.mapInPandas(run, f"{query_key} {kinds[query_key]}, {doc_key} {kinds[doc_key]}, cosine double")
+
+
+def places(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where keys would be in a sorted table, and which are there."""
+    i = np.searchsorted(table, keys)
+    i[i == len(table)] = 0
+    return i, table[i] == keys if len(table) else np.zeros(len(keys), bool)
 
 
 def allowed_sources(plan: Column) -> Column:

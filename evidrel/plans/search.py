@@ -34,20 +34,21 @@ COSINE_SQL = f"""WITH {TITLES}, {QS},
  c AS (SELECT qw.query_id, dw.doc_id, sum(qw.w / qn.n * dw.w / dn.n) AS cosine FROM qw JOIN qn ON qn.query_id = qw.query_id JOIN dw ON dw.gram = qw.gram JOIN dn ON dn.doc_id = dw.doc_id GROUP BY 1, 2)"""
 
 
-def title_cosines(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", F.substring(F.substring_index("text", "\n", 1), 1, 120).alias("title"))
-    q = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
-    return R.cosine(q, d, F.col("query"), F.col("title"))
+def cosines(spark, sf, **limits):
+    """Whole benchmark texts against title, summary and body of every document."""
+    e = evidence(spark, sf).select("doc_id", F.concat_ws(" ", "title", "summary", "body").alias("t"))
+    q = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return R.cosine(q, e, F.col("text"), F.col("t"), **limits)
 
 
 @query("ir1_ir3_cosine", COSINE_SQL + " SELECT query_id, doc_id, round(cosine, 4) AS score FROM c WHERE cosine >= 0.3")
 def ir3(spark, sf):
-    return title_cosines(spark, sf).where("cosine >= 0.3").select("query_id", "doc_id", F.round("cosine", 4).alias("score"))
+    return cosines(spark, sf, least=0.3).select("query_id", "doc_id", F.round("cosine", 4).alias("score"))
 
 
 @query("ir4_t1_top_hits", COSINE_SQL + ", r AS (SELECT query_id, doc_id, round(cosine, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 4) DESC, doc_id) AS position FROM c WHERE round(cosine, 4) >= 0.02) SELECT * FROM r WHERE position <= 10")
 def ir4(spark, sf):
-    hits = title_cosines(spark, sf).withColumn("score", F.round("cosine", 4)).where("score >= 0.02")
+    hits = cosines(spark, sf, least=0.0199, top=10).withColumn("score", F.round("cosine", 4)).where("score >= 0.02")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return hits.withColumn("position", F.row_number().over(w)).where("position <= 10").select("query_id", "doc_id", "score", "position")
 
