@@ -71,10 +71,9 @@ PAIRS = f"""{EVIDENCE}, {REQUESTS}, p AS (SELECT r.query_id, r.source_plan, e.do
 
 
 def pairs(spark, sf):
-    r, e = requests(spark, sf), evidence(spark, sf)
-    r = r.withColumn("k", F.col("query_id") % 20)
-    p = e.withColumn("k", F.col("doc_id") % 20).join(r, "k")
-    return p.withColumn("score", ((F.col("doc_id") * 7919 + F.col("query_id") * 104729) % 997).cast("double") / 997)
+    """Requests with every document that shares a gram; score is the cosine to four places."""
+    hits = cosines(spark, sf).select("query_id", "doc_id", F.round("cosine", 4).alias("score"))
+    return hits.join(evidence(spark, sf), "doc_id").join(requests(spark, sf), "query_id")
 
 
 @query("pf7_least_score", f"WITH {PAIRS} SELECT query_id, doc_id FROM p WHERE score >= CASE WHEN source_type IN ('news', 'announcement') THEN 0.02 ELSE 0.05 END")
@@ -156,7 +155,7 @@ ITEMS = f"""{PAIRS}, i AS (SELECT query_id, doc_id, CASE WHEN doc_id % 2 = 0 THE
 def items(spark, sf):
     other = F.element_at(F.array(*map(F.lit, ["market_api", "fundamental_sql", "fund_nav", "macro_sql", "index_valuation", "policy_event", "fund_fee"])), (F.col("doc_id") % 7).cast("int") + 1)
     even = F.col("doc_id") % 2 == 0
-    return pairs(spark, sf).where("doc_id % 9 < 2").select("query_id", "doc_id", F.when(even, F.col("source_type")).otherwise(other).alias("source_type"), even.alias("is_document"))
+    return pairs(spark, sf).select("query_id", "doc_id", F.when(even, F.col("source_type")).otherwise(other).alias("source_type"), even.alias("is_document"))
 
 
 def cover_sql(kind: dict[str, list[str]]) -> str:

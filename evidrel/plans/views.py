@@ -42,7 +42,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """benchmark items as queries with the first three words as keywords and a plan of three sources."""
     b = read(spark, sf_dir, "benchmark")
     every = F.array(*map(F.lit, SOURCES))
-    return b.select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"), F.slice(F.split("text", " "), 1, 3).alias("keywords"), F.slice(every, F.pmod("item_id", F.lit(3)).cast("int") + 1, 3).alias("source_plan"))
+    return b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.slice(F.split("text", " "), 1, 3).alias("keywords"), F.slice(every, F.pmod("item_id", F.lit(3)).cast("int") + 1, 3).alias("source_plan"))
 
 
 REQUESTS = """requests AS (

@@ -52,3 +52,14 @@ def test_retrieval_reads_whole_texts(spark, tmp_path):
         ranked = sorted((-round(v, 4), d) for (k, d), v in want.items() if k == q and round(v, 4) >= 0.02)[:10]
         assert [r.doc_id for r in sorted(hits, key=lambda r: r.position) if r.query_id == q] == [d for _, d in ranked]
     assert {r.doc_id % 5 for r in hits if r.query_id == 0 and r.position <= 5} == {0}
+
+
+def test_pairs_are_the_hits_of_the_retrieval(spark, tmp_path):
+    sf = tables(spark, tmp_path, documents=documents(SEARCHED, 3), benchmark=(list(enumerate(ASKED)), "item_id long, text string"))
+    want = {k: round(v, 4) for k, v in cosines(dict(enumerate(ASKED)), dict(enumerate(SEARCHED, 3))).items() if v > 0}
+    least = [0.02, 0.02, 0.05, 0.05, 0.05]
+    got = {(r.query_id, r.doc_id) for r in plans.QUERIES["pf7_least_score"](spark, sf).collect()}
+    assert got == {(q, d) for (q, d), v in want.items() if v >= least[(d - 3) % 20 % 5]}
+    got = {(r.query_id, r.doc_id) for r in plans.QUERIES["f9_term_bonus"](spark, sf).collect()}
+    assert got == want.keys() and {d for q, d in got if q == 0} == set(range(3, 28))
+    assert all(r.risk for r in plans.QUERIES["a1_coverage"](spark, sf).collect())
