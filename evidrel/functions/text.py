@@ -15,6 +15,10 @@ KEYWORDS = ["下跌", "上涨", "原因", "持有", "风险", "估值", "新闻"
 ADVICE_WORDS = ["值得", "能买吗", "买吗", "买入", "卖出", "上车", "止盈", "止损", "持有", "拿吗", "还能拿吗", "值不值得拿"]
 COMPARE_WORDS = ["比", "相比", "哪个", "谁更", "更稳", "更好", "有什么区别", "有何区别", "有什么不同", "差别"]
 WHY_WORDS = ["为什么", "为啥", "咋", "咋回事"]
+ZH_STOPWORDS = "的 了 是 在 和 有 就 不 也 都 被 把 对 与 及 而 或 但 所 为 从 到 要 会 能 个 以".split()
+EN_STOPWORDS = "the is are was were has have had been this that these those with from after before will would could should may might shall can not but and for its his her their our".split()
+# Characters of a class of a regular expression.
+ZH_PUNCT, EN_PUNCT = "。！？；：、，'《》（）【】…—～", ".!?;:\"'()\\-"
 FORECAST_WORDS = ["未来", "接下来", "后市"]
 PATTERN_REWRITES = [
     (r"(?i)\bwhat(?:'s| is) the difference between\s+(.+?)\s+and\s+(.+?)(?:\?|$)", "$1和$2有什么区别"),
@@ -136,10 +140,20 @@ def count_of(text: Column, char_class: str) -> Column:
 
 
 def detect_language(text: Column) -> Column:
-    """zh, en, mixed or unknown by the parts of CJK and Latin letters above a tenth."""
+    """zh, en, mixed or unknown by the parts of CJK and Latin letters above a tenth.
+
+    Without such a part, by twice the stopwords that the text holds and its
+    punctuation, of which the larger must be two at least.
+    """
     total = F.length(F.trim(text))
-    zh, en = count_of(text, CJK) / total > 0.10, count_of(text, "A-Za-z") / total > 0.10
-    return F.when(F.coalesce(total, F.lit(0)) == 0, "unknown").when(zh & en, "mixed").when(zh, "zh").when(en, "en").otherwise("unknown")
+    cjk, latin = count_of(text, CJK) / total, count_of(text, "A-Za-z") / total
+    zh, en = cjk > 0.10, latin > 0.10
+    held = lambda t, words: sum(F.contains(t, F.lit(w)).cast("int") for w in words)
+    zh_signal = held(text, ZH_STOPWORDS) * 2 + count_of(text, ZH_PUNCT)
+    en_signal = held(F.lower(text), EN_STOPWORDS) * 2 + count_of(text, EN_PUNCT)
+    both = (latin > 0.05) & (cjk > 0.05)
+    signal = F.when((zh_signal > en_signal) & (zh_signal >= 2), F.when(both, "mixed").otherwise("zh")).when((en_signal > zh_signal) & (en_signal >= 2), F.when(both, "mixed").otherwise("en")).otherwise("unknown")
+    return F.when(F.coalesce(total, F.lit(0)) == 0, "unknown").when(zh & en, "mixed").when(zh, "zh").when(en, "en").otherwise(signal)
 
 
 def chat_language(text: Column) -> Column:

@@ -23,13 +23,13 @@ CJK = "[^\\x{4e00}-\\x{9fff}]"
   SELECT id::BIGINT AS id, CASE WHEN n = 0 THEN 'unknown' WHEN z / n::DOUBLE > 0.1 AND l / n::DOUBLE > 0.1 THEN 'mixed' WHEN z / n::DOUBLE > 0.1 THEN 'zh' WHEN l / n::DOUBLE > 0.1 THEN 'en' ELSE 'unknown' END AS lang,
   CASE WHEN z > 0 AND z >= greatest(2, l * 0.4) THEN 'zh' WHEN l > 0 THEN 'en' ELSE 'zh' END AS chat, CASE WHEN l > z THEN 'en' ELSE 'zh' END AS eval FROM c""")
 def s20(spark, sf):
-    a = fixture(spark).select(F.col("id").cast("long").alias("id"), "t").unionByName(read(spark, sf, "documents").select((F.col("doc_id") + 100).alias("id"), F.substring("text", 1, 200).alias("t")))
+    a = fixture(spark).select(F.col("id").cast("long").alias("id"), "t").unionByName(read(spark, sf, "documents").select((F.col("doc_id") + 100).alias("id"), F.col("text").alias("t")))
     return a.select("id", X.detect_language(F.col("t")).alias("lang"), X.chat_language(F.col("t")).alias("chat"), X.eval_language(F.col("t")).alias("eval"))
 
 
 @query("s24_sentences", f"WITH {EVIDENCE} SELECT doc_id, len(s) AS n, s[1] AS head FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(summary, '([.!?])\\s+', '\\1\x01', 'g'), '\x01'), lambda x: trim(x)), lambda x: x <> '') AS s FROM evidence)")
 def s24(spark, sf):
-    s = X.sentences_en(F.col("summary"))
+    s = X.sentences_en(F.col("body"))
     return evidence(spark, sf).select("doc_id", F.size(s).cast("long").alias("n"), F.get(s, F.lit(0)).alias("head"))
 
 
@@ -53,7 +53,7 @@ def s16(spark, sf):
 
 @query("s29_s32_clean", f"WITH {EVIDENCE} SELECT doc_id, trim(regexp_replace(summary, '\\s+', ' ', 'g')) AS clean, substr(trim(regexp_replace(title, '[^A-Za-z0-9_.:-]+', '_', 'g'), '_'), 1, 160) AS safe FROM evidence")
 def s29(spark, sf):
-    return evidence(spark, sf).select("doc_id", X.clean(F.col("summary")).alias("clean"), X.safe_id(F.col("title")).alias("safe"))
+    return evidence(spark, sf).select("doc_id", X.clean(F.col("body")).alias("clean"), X.safe_id(F.col("title")).alias("safe"))
 
 
 @query("s33_s34_symbols", """WITH c AS (SELECT c_custkey, lpad(CAST((c_custkey * 7919) % 1000000 AS VARCHAR), 6, '0') AS code FROM customer)
