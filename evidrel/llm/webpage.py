@@ -358,8 +358,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Null and empty pages, and pages without main text, give an empty text. A
     null or odd url counts as a host of its own name. Rows that repeat an id are
     pages of their own. Pages of a host are read in the order of their ids,
-    ALIGNED at a time, so a host of any size needs bounded memory; hosts with
-    more than one of HOT_PART pages are dealt to several tasks. Other columns
+    ALIGNED at a time, so a host of any size needs bounded memory; the last two
+    batches are of even size, so that only hosts with fewer than SAME_PAGES
+    pages go without alignment. Hosts with more than one of HOT_PART pages are
+    dealt to several tasks. Other columns
     are not read; an empty table gives an empty table.
     """
     spark = pages.sparkSession
@@ -381,19 +383,29 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         z = zstandard.ZstdDecompressor()
         at, buffer = None, []
 
-        def done() -> pd.DataFrame:
+        def done(buffer: list) -> pd.DataFrame:
             texts = extract([z.decompress(h).decode() for *_, h in buffer])
             return pd.DataFrame({"page_id": [b[0] for b in buffer], "url": [b[1] for b in buffer], "text": texts, "n_chars": [len(t) for t in texts]}).astype({"page_id": "Int64"})
 
+        def rest() -> Iterator[pd.DataFrame]:
+            """What a host's full batches leave, in two even ones if it is more than one."""
+            half = len(buffer) if len(buffer) <= ALIGNED else len(buffer) // 2
+            yield done(buffer[:half])
+            if half < len(buffer):
+                yield done(buffer[half:])
+
         for f in frames:
             for page, url, host_name, salted, packed in zip(f["page_id"], f["url"], f["host"], f["salt"], f["html"], strict=True):
-                if buffer and ((host_name, salted) != at or len(buffer) >= ALIGNED):
-                    yield done()
+                if buffer and (host_name, salted) != at:
+                    yield from rest()
                     buffer = []
+                elif len(buffer) >= 2 * ALIGNED:
+                    yield done(buffer[:ALIGNED])
+                    buffer = buffer[ALIGNED:]
                 at = (host_name, salted)
                 buffer.append((None if pd.isna(page) else int(page), url, bytes(packed)))
         if buffer:
-            yield done()
+            yield from rest()
 
     packed = rows.withColumn("salt", salt).mapInPandas(pack, "page_id long, url string, html binary, host string, salt int")
     dealt = packed.repartition("host", "salt").sortWithinPartitions("host", "salt", "page_id", "url")
