@@ -192,7 +192,7 @@ def a4(spark, sf):
 
 @query("a5_executed_sources", f"WITH {ITEMS}, o AS (SELECT query_id, source_type, min((NOT is_document)::INT * 1000000 + doc_id) AS o FROM i GROUP BY 1, 2) SELECT query_id, string_agg(source_type, ',' ORDER BY o) AS executed FROM o GROUP BY 1")
 def a5(spark, sf):
-    first = items(spark, sf).groupBy("query_id", "source_type").agg(F.min((~F.col("is_document")).cast("int") * 1000000 + F.col("doc_id")).alias("o"))
+    first = items(spark, sf).groupBy("query_id", "source_type").agg(F.min(F.struct(~F.col("is_document"), F.col("doc_id"))).alias("o"))
     out = first.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("o", "source_type"))).alias("x"))
     return out.select("query_id", F.array_join(F.col("x.source_type"), ",").alias("executed"))
 

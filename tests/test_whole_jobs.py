@@ -63,3 +63,9 @@ def test_pairs_are_the_hits_of_the_retrieval(spark, tmp_path):
     got = {(r.query_id, r.doc_id) for r in plans.QUERIES["f9_term_bonus"](spark, sf).collect()}
     assert got == want.keys() and {d for q, d in got if q == 0} == set(range(3, 28))
     assert all(r.risk for r in plans.QUERIES["a1_coverage"](spark, sf).collect())
+
+
+def test_documents_come_before_structured_items_at_any_id(spark, tmp_path):
+    rows = [(7, *documents(["alike"])[0][0][1:]), (2_000_000, *documents(["alike too"])[0][0][1:])]
+    sf = tables(spark, tmp_path, documents=(rows, documents([])[1]), benchmark=([(1, "alike")], "item_id long, text string"))
+    assert [r.executed for r in plans.QUERIES["a5_executed_sources"](spark, sf).collect()] == ["news,market_api"]
