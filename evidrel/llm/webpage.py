@@ -49,6 +49,11 @@ NAMES = frozenset(
     sponsored subscribe subscription teaser toolbar topbar widget widgets""".split()
 )
 
+#: Of them the parts that may be longer than the main text.
+LONG = frozenset("comment comments commentlist disqus recommend recommended recommendations related replies reply respond".split())
+#: Before a name: the element has such a part, or not, beside or in it.
+MODIFIERS = frozenset("has no with without".split())
+
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>?|[^<]++|<""",
     re.S,
@@ -119,8 +124,13 @@ def _close(stack: list[Node], tags: tuple[str, ...], stop: tuple[str, ...]) -> N
             return
 
 
-def declared(node: Node, inside: bool) -> bool:
-    """Whether markup says that a node is no main text; inside: within an article."""
+def declared(node: Node, inside: bool, kept: frozenset[int] | set[int] = frozenset()) -> bool:
+    """Whether markup says that a node is no main text; inside: within an article; kept: ids of nodes whose names don't count."""
+    return stated(node, inside) or id(node) not in kept and bool(named(node))
+
+
+def stated(node: Node, inside: bool) -> bool:
+    """By element, role, or because it is hidden."""
     tag, a = node.tag, node.attrs
     if tag in DROPPED or tag == "header" and not inside:
         return True
@@ -128,10 +138,65 @@ def declared(node: Node, inside: bool) -> bool:
         return False
     if a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
         return True
-    if "style" in a and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a["style"], re.I):
-        return True
-    names = a.get("class", "") + " " + a.get("id", "")
-    return any(p.lower() in NAMES for p in _PART.findall(names))
+    return "style" in a and bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a["style"], re.I))
+
+
+def named(node: Node) -> set[str]:
+    """The NAMES that a class or id has; what follows a modifier (has-, no-, with-) says what a wrapper is next to."""
+    a = node.attrs
+    if not a or node.tag in ("html", "body", "main", "article", "#root"):
+        return set()
+    found = set()
+    for name in f"{a.get('class', '')} {a.get('id', '')}".split():
+        for part in map(str.lower, _PART.findall(name)):
+            if part in MODIFIERS:
+                break
+            if part in NAMES:
+                found.add(part)
+    return found
+
+
+def is_main(node: Node) -> bool:
+    return node.tag in ("article", "main") or "articlebody" in node.attrs.get("itemprop", "").lower() or node.attrs.get("role", "").lower() == "main"
+
+
+def wrappers(root: Node, dropped: set[int]) -> set[int]:
+    """Ids of nodes that are named as another part but hold the page's main text.
+
+    Such a node holds more than half of the varying text of the article or main
+    element around it. Where no such element with text lies outside such nodes,
+    it holds one, or more than half of the page's. Comments and related pages
+    may be longer than the main text, and hold articles, and stay declared.
+    """
+    inner: set[int] = set()
+    outside = False
+    kept: set[int] = set()
+
+    def look(node: Node, hidden: bool, within: list[list]) -> tuple[int, bool]:
+        """The varying text below a node, and whether a main element is there."""
+        nonlocal outside
+        if stated(node, len(within) > 1) or id(node) in dropped:
+            return 0, False
+        names = named(node)
+        if names & LONG:
+            return 0, False
+        main = is_main(node)
+        scope = [*within, []] if main else within
+        size, has = 0, main
+        for x in node.kids:
+            got = (len(x.strip()), False) if isinstance(x, str) else look(x, hidden or bool(names), scope)
+            size, has = size + got[0], has or got[1]
+        if names:
+            scope[-1].append((node, size))
+            if has:
+                inner.add(id(node))
+        outside |= main and not hidden and size > 0
+        if main or node is root and not outside:
+            kept.update(id(x) for x, n in scope[-1] if 2 * n > size)
+        return size, has
+
+    look(root, False, [[]])
+    return kept | (set() if outside else inner)
 
 
 def plain(node: Node | str) -> str:
@@ -262,13 +327,13 @@ def template(pages: list[Folded]) -> list[set[int]]:
     return out
 
 
-def region(root: Node, dropped: set[int]) -> list[Node]:
+def region(root: Node, dropped: set[int], kept: frozenset[int] | set[int] = frozenset()) -> list[Node]:
     """Where the main text is: articles, else main, else the subtree that gathers most of the varying text."""
     found: dict[str, list[Node]] = {"article": [], "body": [], "main": []}
     sizes: dict[int, int] = {}
 
     def look(node: Node) -> int:
-        if declared(node, False) or id(node) in dropped:
+        if declared(node, False, kept) or id(node) in dropped:
             return 0
         if node.tag == "article":
             found["article"].append(node)
@@ -295,7 +360,7 @@ def region(root: Node, dropped: set[int]) -> list[Node]:
         node = top
 
 
-def blocks(node: Node, dropped: set[int], guessed: bool) -> list[str]:
+def blocks(node: Node, dropped: set[int], guessed: bool, kept: frozenset[int] | set[int] = frozenset()) -> list[str]:
     """The blocks of a subtree in page order; guessed: without blocks that are mostly links."""
     out: list[str] = []
     run: list[str] = []
@@ -321,7 +386,7 @@ def blocks(node: Node, dropped: set[int], guessed: bool) -> list[str]:
                 flush()
             else:
                 inside_a -= 1
-        elif x is not node and (id(x) in dropped or declared(x, True)):
+        elif x is not node and (id(x) in dropped or declared(x, True, kept)):
             if x.tag not in INLINE:
                 flush()
         elif x.tag == "br":
@@ -346,9 +411,10 @@ def extract(pages: list[str]) -> list[str]:
     drops = template([Folded(r) for r in roots]) if len(roots) >= SAME_PAGES else [set() for _ in roots]
     out = []
     for root, dropped in zip(roots, drops, strict=True):
-        parts = region(root, dropped)
+        kept = wrappers(root, dropped)
+        parts = region(root, dropped, kept)
         guessed = parts[0].tag not in ("article", "main") and "itemprop" not in parts[0].attrs
-        out.append("\n\n".join(b for part in parts for b in blocks(part, dropped, guessed)))
+        out.append("\n\n".join(b for part in parts for b in blocks(part, dropped, guessed, kept)))
     return out
 
 

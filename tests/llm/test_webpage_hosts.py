@@ -10,3 +10,23 @@ def test_last_pages_of_a_host_are_aligned(spark, n):
     rows = [(i, f"http://h.example/{i}", f"<body><div>Terms of this site</div><section><p>Page {i} says {i * 7919}</section>") for i in range(n)]
     got = webpage.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in got} == {i: f"Page {i} says {i * 7919}" for i in range(n)}
+
+
+TEXT = "<p>Main text of the page, which is long enough.<p>More of it."
+MAIN = "Main text of the page, which is long enough.\n\nMore of it."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body><div class="has-sidebar"><article>{TEXT}</article></div>',
+        f'<body><div class="layout no-sidebar"><div>{TEXT}</div></div>',
+        f'<body><div id="content-with-ads"><div>{TEXT}</div></div><div class="ad">Buy</div>',
+        f'<body><div class="sidebar-layout"><div>{TEXT}</div><div class="sidebar">Side</div></div>',
+        f'<body><div class="headerLayout"><article>{TEXT}<div class="comments">{TEXT * 3}</div></article></div><div class="related"><article>Other</article></div>',
+        f'<body><main><div class="widget-page"><div>{TEXT}</div></div></main><div class="notice">We use cookies</div>',
+        f'<body><article>{TEXT}<div class="share">Share this</div></article><div class="sidebar"><article>{TEXT * 3}</article></div>',
+    ],
+)
+def test_wrappers_keep_their_text_and_declared_parts_go(page):
+    assert webpage.extract([page]) == [MAIN]
