@@ -2,10 +2,10 @@
 
 A run is a table of line keys sorted by hash: (h1, h2, n_docs, keeper), where
 keeper is the largest doc_id that holds the line. Batches of documents arrive
-one after another, those with the largest ids first. A batch's keys are first
+one after another, dealt by a hash of the id. A batch's keys are first
 reduced to one row each, then merge-anti-joined with the runs: keys that no run
 holds are new and form the batch's own run at level 0 together with the counts
-that the batch adds to known keys. When a level holds ``fanout`` runs they are
+that the batch adds to known keys, so the run holds the whole batch. When a level holds ``fanout`` runs they are
 compacted into one sorted run of the next level. The last compaction leaves
 each key once, with its number of documents and its keeper.
 
