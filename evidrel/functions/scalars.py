@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evidrel.functions.text import gram_jaccard
+
 # What sources answer an intent, and days of a time scope.
 INTENT_SOURCES = {
     "market_explanation": ["news", "market_api", "industry_sql"],
@@ -150,3 +152,38 @@ def hash_split(key: Column) -> Column:
     total = F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(39)), lambda i: F.conv(F.substring(h, i, F.lit(1)), 16, 10).cast("int")), F.lit(0), lambda s, x: s + x)
     r = (6 * total + F.conv(F.substring(h, 40, 1), 16, 10).cast("int")) % 10
     return F.when(r == 8, "valid").when(r == 9, "test").otherwise("train")
+
+
+FEATURE_NAMES = [
+    "lexical_score", "trigram_similarity", "entity_exact_match", "alias_match", "title_hit", "keyword_coverage", "intent_compatibility", "topic_compatibility",
+    "product_type_match", "source_credibility", "recency_score", "is_primary_disclosure", "doc_length", "time_window_match", "ticker_hit",
+]
+
+
+def lexical_similarity(query: Column, text: Column) -> Column:
+    return gram_jaccard(query, text)
+
+
+def ranking_features(as_of: Column) -> dict[str, Column]:
+    """The fifteen features of a candidate row.
+
+    Columns of the request: query, keywords, entity_names, symbols,
+    intent_labels, topic_labels, time_scope, wanted (product type); of the
+    document: title, body, source_type, entity_symbols, product_type,
+    publish_time, credibility_score; and retrieval_score. Null texts count as
+    empty, null lists as without members.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    listed = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    content = F.concat_ws(" ", text("title"), text("body"))
+    held = lambda words, where: F.exists(words, lambda w: F.contains(where, w)).cast("int").cast("double")
+    keywords, names, symbols = listed("keywords"), listed("entity_names"), listed("symbols")
+    covered = F.size(F.filter(keywords, lambda w: F.contains(content, w))) / F.greatest(F.size(keywords), F.lit(1))
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int").cast("double")
+    return dict(zip(FEATURE_NAMES, [
+        F.coalesce("retrieval_score", F.lit(0.0)), gram_jaccard(text("query"), text("title")), flag(F.arrays_overlap(symbols, listed("entity_symbols"))), held(names, content),
+        held(F.concat(keywords, names), text("title")), F.round(covered, 4), intent_match(listed("intent_labels"), F.col("source_type")), topic_match(listed("topic_labels"), content),
+        flag(F.col("product_type") == F.col("wanted")), F.coalesce("credibility_score", F.lit(0.5)), recency(F.col("publish_time"), as_of), flag(F.col("source_type").isin("announcement", "product_doc")),
+        F.round(F.least(F.length(content) / 5000, F.lit(1.0)), 4), window_match(F.col("publish_time"), as_of, F.col("time_scope")),
+        held(F.transform(symbols, lambda s: F.substring_index(s, ".", 1)), content),
+    ], strict=True))

@@ -101,14 +101,20 @@ def slots(text: Column) -> dict[str, Column]:
 
 def char_grams(text: Column, n: int = 3) -> Column:
     """Distinct character n-grams; a shorter text is its own; an empty one has none."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+
+    def of(chars: Column) -> Column:  # bound once: a text is cut into characters in one pass
+        starts = F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0)))
+        return F.transform(starts, lambda i: F.concat_ws("", *[F.get(chars, i + k) for k in range(n)]))
+
+    grams = F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))), of), F.lit(0))
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
 
 
 def gram_jaccard(a: Column, b: Column, n: int = 3) -> Column:
-    x, y = char_grams(a, n), char_grams(b, n)
-    none = (F.size(x) == 0) | (F.size(y) == 0)
-    return F.when(none, 0.0).otherwise(F.round(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)), 4))
+    """Common part of the distinct n-grams of two texts; 0 where one is empty."""
+    sets = F.transform(F.array(F.struct(char_grams(a, n).alias("x"), char_grams(b, n).alias("y"))), lambda s: F.struct(F.size(s["x"]).alias("x"), F.size(s["y"]).alias("y"), F.size(F.array_intersect(s["x"], s["y"])).alias("both")))
+    like = F.transform(sets, lambda s: F.when((s["x"] == 0) | (s["y"] == 0), 0.0).otherwise(F.round(s["both"] / (s["x"] + s["y"] - s["both"]), 4)))
+    return F.get(like, F.lit(0))
 
 
 def word_bound_grams(text: Column, low: int = 2, high: int = 4) -> Column:

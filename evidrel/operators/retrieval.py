@@ -8,6 +8,8 @@ their weights with those of the queries.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,8 +21,10 @@ from pyspark.sql import Window as W
 from evidrel.functions.text import word_bound_grams
 
 DOCUMENT_SOURCES = ["news", "announcement", "faq", "product_doc", "research_note"]
-#: Documents and queries multiplied at a time, and grams that a task counts before it sums them.
-DOCUMENT_BLOCK, QUERY_BLOCK, GRAMS_HELD = 128, 256, 4_000_000
+#: Documents and queries multiplied at a time, queries sent to the tasks at a time, and grams that a task counts before it sums them.
+DOCUMENT_BLOCK, QUERY_BLOCK, MOST_QUERIES, GRAMS_HELD = 128, 256, 8192, 4_000_000
+#: Gram counts sent to the tasks at most (16 bytes each); beyond them document norms come from a join.
+MOST_GRAMS = 8_000_000
 #: A key that no gram has.
 DOCUMENTS = 0x1FFFFE << 42
 LEAST_SCORE = {"news": 0.02, "announcement": 0.02, "research_note": 0.05, "faq": 0.05, "product_doc": 0.05}
@@ -76,63 +80,220 @@ def document_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, "key long, df long").groupBy("key").agg(F.sum("df").alias("df"))
 
 
-def cosine(queries: DataFrame, docs: DataFrame, query_text: Column, doc_text: Column, query_key: str = "query_id", doc_key: str = "doc_id", least: float = 0.0, top: int | None = None) -> DataFrame:
-    """(query, doc, cosine) of pairs that share a gram, with a cosine of at least ``least``.
+@dataclass
+class Asked:
+    """What a scan sends to its tasks: idf of the grams that several documents or a query hold, and blocks of query vectors."""
 
-    Grams that no document holds count for nothing. top: hits that cannot be
-    among a query's best ``top`` by cosine to four places may be left out.
-    Queries are few (requests of one run) and go to every task, as do the
-    document counts of grams that several documents hold; documents stay where
-    they are read, so pairs with common grams need no join.
-    """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(doc_key).alias("doc"), spaced(doc_text).alias("text")).where("text is not null")
-    asked = queries.select(F.col(query_key).alias("query"), spaced(query_text).alias("text")).where("text is not null").toArrow().to_pydict()
-    grams = [gram_keys(t) for t in asked["text"]]
+    known: np.ndarray
+    idf: np.ndarray
+    single: float  # idf of a gram that one document holds
+    blocks: list[tuple[np.ndarray, np.ndarray, list[int]]]  # grams, (gram, query) weights, places of the queries
+    norms: DataFrame | None = None  # (doc, norm), where the counts of all grams are too many to send
+
+    def with_norms(self, texts: DataFrame, key: str = "doc") -> DataFrame:
+        """texts with a column norm: null where tasks can tell it from the counts they have."""
+        return texts.withColumn("norm", F.lit(None).cast("double")) if self.norms is None else texts.join(self.norms.withColumnRenamed("doc", key), key, "left")
+
+    def sent(self) -> Asked:
+        return Asked(self.known, self.idf, self.single, self.blocks)
+
+
+def document_norms(texts: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """(doc, norm) of the TF-IDF vectors of spaced texts (doc, text), joined gram by gram with their counts (key, df)."""
+
+    def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for doc, text in zip(f["doc"], f["text"], strict=True):
+                keys, n = gram_keys(text)
+                yield pd.DataFrame({"doc": doc, "key": keys, "tf": n})
+
+    rows = texts.select("doc", "text").mapInPandas(grams, f"doc {texts.schema['doc'].dataType.simpleString()}, key long, tf long")
+    w = F.col("tf") * (F.log((1 + F.lit(total)) / (1 + F.coalesce("df", F.lit(1)))) + 1)
+    return rows.join(counts, "key", "left").groupBy("doc").agg(F.sqrt(F.sum(w * w)).alias("norm"))
+
+
+def asked_vectors(texts: DataFrame, asked: list[str]) -> Asked:
+    """Unit TF-IDF vectors of spaced queries over the grams of spaced documents (text)."""
+    spark = texts.sparkSession
+    grams = [gram_keys(t) for t in asked]
     wanted = np.unique(np.concatenate([np.array([DOCUMENTS]), *[k for k, _ in grams]]))
     mine = spark.createDataFrame(pa.table({"key": wanted, "asked": np.ones(len(wanted), bool)}))
-    common = document_counts(texts.select("text")).join(F.broadcast(mine), "key", "left").where("df > 1 or asked").select("key", "df").toArrow().sort_by("key")
+    counts = document_counts(texts.select("text")).join(F.broadcast(mine), "key", "left").where("df > 1 or asked").persist()
+    few = counts.count() <= MOST_GRAMS
+    common = (counts if few else counts.where("asked")).select("key", "df").toArrow().sort_by("key")
     known, df = common["key"].to_numpy(), common["df"].to_numpy()
     i, here = places(known, np.array([DOCUMENTS]))
     total = int(df[i[0]]) if here.any() else 0
     idf = lambda n: np.log((1 + total) / (1 + n)) + 1
-    known_idf = idf(df)
-    blocks = []
+    out = Asked(known, idf(df).astype(np.float64), float(idf(1.0)), [], None if few else document_norms(texts, counts.select("key", "df"), total))
+    if few:
+        counts.unpersist()
     for at in range(0, len(grams), QUERY_BLOCK):
         part = grams[at : at + QUERY_BLOCK]
         own = np.intersect1d(np.concatenate([k for k, _ in part]), known)
         table = np.zeros((len(own), len(part)))
         for j, (k, n) in enumerate(part):
             i, here = places(known, k)
-            table[np.searchsorted(own, k[here]), j] = n[here] * known_idf[i[here]]
+            table[np.searchsorted(own, k[here]), j] = n[here] * out.idf[i[here]]
         norm = np.sqrt((table * table).sum(axis=0))
-        blocks.append((own, table / np.where(norm > 0, norm, 1), np.array(asked["query"][at : at + QUERY_BLOCK])))
-    shared = spark.sparkContext.broadcast((known, known_idf.astype(np.float64), float(idf(1.0)), blocks))
+        out.blocks.append((own, table / np.where(norm > 0, norm, 1), list(range(at, at + len(part)))))
+    return out
+
+
+def block_cosines(asked: Asked, texts: list[str | None], norms: np.ndarray) -> Iterator[tuple[list[int], np.ndarray]]:
+    """For each block of queries their places and the (text, query) cosines; a text without words has 0."""
+    rows = [np.zeros((len(texts), len(own))) for own, _, _ in asked.blocks]
+    for r, text in enumerate(texts):
+        if not text:
+            continue
+        keys, n = gram_keys(text)
+        i, here = places(asked.known, keys)
+        w = n * np.where(here, asked.idf[i], asked.single)
+        w /= np.sqrt(w @ w) if np.isnan(norms[r]) else norms[r]
+        for (own, _, _), out in zip(asked.blocks, rows, strict=True):
+            i, here = places(own, keys)
+            out[r, i[here]] = w[here]
+    for (_, table, at), weights in zip(asked.blocks, rows, strict=True):
+        yield at, weights @ table
+
+
+def query_groups(queries: DataFrame) -> Iterator[DataFrame]:
+    """The queries in groups of about MOST_QUERIES, so what goes to every task is bounded."""
+    groups = max(1, -(-queries.count() // MOST_QUERIES))
+    for g in range(groups):
+        yield queries if groups == 1 else queries.where(F.pmod(F.xxhash64(*queries.columns[:1]), F.lit(groups)) == g)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, known_idf, single, blocks = shared.value
-        for f in frames:
-            for at in range(0, len(f), DOCUMENT_BLOCK):
-                part = f.iloc[at : at + DOCUMENT_BLOCK]
-                rows = [np.zeros((len(part), len(own))) for own, _, _ in blocks]
-                for r, text in enumerate(part["text"]):
-                    keys, n = gram_keys(text)
-                    i, here = places(known, keys)
-                    w = n * np.where(here, known_idf[i], single)
-                    w /= np.sqrt(w @ w)
-                    for (own, _, _), out in zip(blocks, rows, strict=True):
-                        i, here = places(own, keys)
-                        out[r, i[here]] = w[here]
-                for (_, table, ids), weights in zip(blocks, rows, strict=True):
-                    got = weights @ table
-                    keep = (got > 0) & (got >= least)
-                    if top is not None and len(part) > top:
-                        keep &= got >= np.partition(got, len(part) - top, axis=0)[len(part) - top] - 1e-4
-                    d, q = np.nonzero(keep)
-                    yield pd.DataFrame({query_key: ids[q], doc_key: part["doc"].to_numpy()[d], "cosine": got[d, q]})
 
+def cosine(queries: DataFrame, docs: DataFrame, query_text: Column, doc_text: Column, query_key: str = "query_id", doc_key: str = "doc_id", least: float = 0.0, top: int | None = None) -> DataFrame:
+    """(query, doc, cosine) of pairs that share a gram, with a cosine of at least ``least``.
+
+    Grams that no document holds count for nothing. top: hits that cannot be
+    among a query's best ``top`` by cosine to four places may be left out.
+    Queries go to every task, MOST_QUERIES at a time, as do the document counts
+    of grams that several documents hold; documents stay where they are read,
+    so pairs with common grams need no join.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(F.col(doc_key).alias("doc"), spaced(doc_text).alias("text")).where("text is not null")
     kinds = {query_key: queries.schema[query_key].dataType.simpleString(), doc_key: docs.schema[doc_key].dataType.simpleString()}
-    return texts.mapInPandas(run, f"{query_key} {kinds[query_key]}, {doc_key} {kinds[doc_key]}, cosine double")
+    schema, parts = f"{query_key} {kinds[query_key]}, {doc_key} {kinds[doc_key]}, cosine double", []
+    for group in query_groups(queries.select(F.col(query_key).alias("query"), spaced(query_text).alias("text")).where("text is not null")):
+        asked = group.toArrow().to_pydict()
+        vectors = asked_vectors(texts, asked["text"])
+        shared = spark.sparkContext.broadcast((vectors.sent(), np.array(asked["query"])))
+
+        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            vectors, ids = shared.value
+            for f in frames:
+                for at in range(0, len(f), DOCUMENT_BLOCK):
+                    part = f.iloc[at : at + DOCUMENT_BLOCK]
+                    for mine, got in block_cosines(vectors, part["text"].tolist(), part["norm"].to_numpy(float)):
+                        keep = (got > 0) & (got >= least)
+                        if top is not None and len(part) > top:
+                            keep &= got >= np.partition(got, len(part) - top, axis=0)[len(part) - top] - 1e-4
+                        d, q = np.nonzero(keep)
+                        yield pd.DataFrame({query_key: ids[mine][q], doc_key: part["doc"].to_numpy()[d], "cosine": got[d, q]})
+
+        parts.append(vectors.with_norms(texts).mapInPandas(run, schema))
+    return reduce(DataFrame.unionByName, parts)
+
+
+class Rules:
+    """The predicates and bonus of a block of requests against a block of documents, as matrices (document, request)."""
+
+    def __init__(self, requests: list[dict]):
+        self.plans = np.array([[r["source_plan"] is None or s in r["source_plan"] for r in requests] for s in DOCUMENT_SOURCES], bool).reshape(len(DOCUMENT_SOURCES), len(requests))
+        self.symbols, self.terms = {}, {}
+        for j, r in enumerate(requests):
+            for s in r["symbols"] or []:
+                self.symbols.setdefault(s, []).append(j)
+            for t in [*(r["industry_terms"] or []), *(r["keywords"] or []), *(r["entity_names"] or [])]:
+                if t is not None and len(t.strip()) >= 2:
+                    self.terms.setdefault(t, []).append(j)
+        self.about = np.array([bool(r["symbols"]) for r in requests])
+        self.bound = np.array([self.skips_bound(r) for r in requests])
+
+    @staticmethod
+    def skips_bound(r: dict) -> bool:
+        """Whether a request without symbols passes over documents about an entity."""
+        intents, topics = set(r["intent_labels"] or []), set(r["topic_labels"] or [])
+        if r["product_type"] in ("stock", "index", "generic_market"):
+            return not (r["industry_terms"] or "industry" in topics)
+        return r["product_type"] in ("fund", "etf") and bool(intents & {"product_info", "trading_rule_fee"} or "product_mechanism" in topics)
+
+    def allowed(self, kinds: np.ndarray, symbols: list) -> np.ndarray:
+        """Which documents a request may take: their source is planned, and their entities suit it."""
+        n = len(kinds)
+        known = kinds >= 0
+        ok = np.zeros((n, len(self.about)), bool)
+        ok[known] = self.plans[kinds[known]]
+        meets, has = np.zeros_like(ok), np.zeros(n, bool)
+        for d, own in enumerate(symbols):
+            for s in own if own is not None else []:
+                has[d] = True
+                meets[d, self.symbols.get(s, [])] = True
+        strict = np.isin(kinds, [DOCUMENT_SOURCES.index(s) for s in ("news", "announcement", "research_note")])
+        ok &= ~(strict[:, None] & self.about & ~meets)
+        return ok & ~(~self.about & has[:, None] & self.bound)
+
+    def bonus(self, texts: list[str]) -> np.ndarray:
+        """.06 for each term of two characters or more that the whole text holds, at most .18; repeated terms count again."""
+        hits = np.zeros((len(texts), len(self.about)), np.int64)
+        for term, who in self.terms.items():
+            there = np.fromiter((term in t for t in texts), bool, len(texts))
+            for j in who:
+                hits[there, j] += 1
+        return np.minimum(0.06 * hits, 0.18)
+
+
+REQUEST_FIELDS = ["keywords", "entity_names", "symbols", "industry_terms", "source_plan", "product_type", "intent_labels", "topic_labels"]
+
+
+def scan(requests: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, source_type, score): candidates of each request, its best k of each source at least.
+
+    requests: query_id, query and REQUEST_FIELDS; docs: doc_id, source_type,
+    title, summary, body, entity_symbols. The score is the cosine of the request
+    (query, entity names, keywords, symbols) and the whole document plus the
+    term bonus, to four places. A document counts where the plan names its
+    source (a null plan: all five), where news, announcements and research notes
+    share a symbol with a request that has some, where it is not bound to an
+    entity that the request is not about, and where the score reaches its
+    source's least. Every document is scored where it is read; a task hands on
+    the best k of each request and source of a block of documents.
+    """
+    spark = docs.sparkSession
+    whole = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")), F.coalesce("body", F.lit("")))
+    rows = docs.select("doc_id", "source_type", "entity_symbols", whole.alias("whole"), spaced(whole).alias("text"))
+    words = lambda c: F.coalesce(F.array_join(c, " "), F.lit(""))
+    text = spaced(F.concat_ws(" ", F.coalesce("query", F.lit("")), words("entity_names"), words("keywords"), words("symbols")))
+    schema, parts = "query_id long, doc_id long, source_type string, score double", []
+    for group in query_groups(requests.select("query_id", text.alias("text"), *REQUEST_FIELDS).where("text is not null")):
+        asked = group.toArrow().to_pylist()
+        vectors = asked_vectors(rows.where("text is not null").withColumnRenamed("doc_id", "doc"), [r["text"] for r in asked])
+        shared = spark.sparkContext.broadcast((vectors.sent(), np.array([r["query_id"] for r in asked]), [Rules([asked[j] for j in at]) for *_, at in vectors.blocks]))
+
+        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            vectors, ids, rules = shared.value
+            least = np.array([LEAST_SCORE[s] for s in DOCUMENT_SOURCES])
+            code = {s: i for i, s in enumerate(DOCUMENT_SOURCES)}
+            for f in frames:
+                for at in range(0, len(f), DOCUMENT_BLOCK):
+                    part = f.iloc[at : at + DOCUMENT_BLOCK]
+                    kinds = np.array([code.get(s, -1) for s in part["source_type"]])
+                    for (mine, got), rule in zip(block_cosines(vectors, part["text"].tolist(), part["norm"].to_numpy(float)), rules, strict=True):
+                        score = np.round(np.maximum(got + rule.bonus(part["whole"].tolist()), 0), 4)
+                        score[~rule.allowed(kinds, part["entity_symbols"].tolist())] = -1
+                        score[score < least[kinds][:, None]] = -1
+                        for kind in np.unique(kinds[kinds >= 0]):
+                            rows = np.flatnonzero(kinds == kind)
+                            own = score[rows]
+                            edge = np.partition(own, len(rows) - k, axis=0)[len(rows) - k] if len(rows) > k else np.zeros(own.shape[1])
+                            d, q = np.nonzero((own >= 0) & (own >= edge))
+                            yield pd.DataFrame({"query_id": ids[mine][q], "doc_id": part["doc_id"].to_numpy()[rows[d]], "source_type": DOCUMENT_SOURCES[kind], "score": own[d, q]})
+
+        parts.append(vectors.with_norms(rows, "doc_id").mapInPandas(run, schema))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def places(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,17 +364,23 @@ def selected(ranked: DataFrame, k: int, plan: Column | None = None) -> DataFrame
     return out.where(F.col("position") <= k).drop("__p")
 
 
-def pair_cosines(rows: DataFrame, group: str, key: str, text: Column, least: float) -> DataFrame:
-    """(group, a, b) with a cosine of at least ``least`` between texts of one group; weights are of that group alone."""
-    tf = rows.select(group, key, F.explode(word_bound_grams(text)).alias("gram")).groupBy(group, key, "gram").agg(F.count(F.lit(1)).alias("tf"))
-    n = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    df = tf.groupBy(group, "gram").agg(F.count(F.lit(1)).alias("df")).join(n, group)
-    raw = tf.join(df, [group, "gram"]).select(group, key, "gram", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
-    norm = raw.groupBy(group, key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = raw.join(norm, [group, key]).select(group, key, "gram", (F.col("w") / F.col("norm")).alias("w"))
-    left, right = unit.select(group, F.col(key).alias("a"), "gram", F.col("w").alias("wa")), unit.select(group, F.col(key).alias("b"), "gram", F.col("w").alias("wb"))
-    pairs = left.join(right, [group, "gram"]).where("a != b").groupBy(group, "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
-    return pairs.where(F.col("cosine") >= least).select(group, "a", "b")
+def text_cosines(texts: list[str | None]) -> np.ndarray:
+    """Cosines of all pairs of a few spaced texts; the weights are of these texts alone. A text without words is like none."""
+    made = [gram_keys(t) if t else (np.zeros(0, np.int64), np.zeros(0, np.int64)) for t in texts]
+    vocabulary, df = np.unique(np.concatenate([np.zeros(0, np.int64), *[k for k, _ in made]]), return_counts=True)
+    idf = np.log((1 + len(texts)) / (1 + df)) + 1
+    out, vectors = np.eye(len(texts)), []
+    for keys, n in made:
+        at = np.searchsorted(vocabulary, keys)
+        w = n * idf[at]
+        vectors.append((at, w / np.sqrt(w @ w) if len(w) else w))
+    row = np.zeros(len(vocabulary))
+    for i, (at, w) in enumerate(vectors):
+        row[at] = w
+        for j in range(i):
+            out[i, j] = out[j, i] = row[vectors[j][0]] @ vectors[j][1]
+        row[at] = 0
+    return out
 
 
 def near_duplicate_groups(ranked: DataFrame, least: float = 0.85, most_per_source: int = 3) -> DataFrame:
@@ -224,28 +391,24 @@ def near_duplicate_groups(ranked: DataFrame, least: float = 0.85, most_per_sourc
     opens a group and takes in later ones that are alike; at most
     ``most_per_source`` of a source type stay.
     """
-    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))
-    pairs = pair_cosines(ranked, "query_id", "position", text, least)
-    alike = pairs.where("b > a").groupBy("query_id", F.col("a").alias("position")).agg(F.collect_list("b").alias("alike"))
-    rows = ranked.join(alike, ["query_id", "position"], "left").select("query_id", "position", "evidence_id", "source_type", "alike")
+    text = spaced(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))))
+    rows = ranked.select("query_id", "position", "evidence_id", "source_type", text.alias("text"))
 
     def greedy(f: pd.DataFrame) -> pd.DataFrame:
-        f, gone, counts, out = f.sort_values("position"), set(), {}, []
-        names = dict(zip(f["position"], f["evidence_id"], strict=True))
-        for q, p, e, s, near in f.itertuples(index=False):
-            if p in gone:
+        f, counts, out = f.sort_values("position").reset_index(drop=True), {}, []
+        like, left = text_cosines(f["text"].tolist()) >= least, np.ones(len(f), bool)
+        for i in range(len(f)):
+            if not left[i]:
                 continue
-            if counts.get(s, 0) >= most_per_source:
-                gone.add(p)
+            left[i], source = False, f["source_type"][i]
+            if counts.get(source, 0) >= most_per_source:
                 continue
-            counts[s] = counts.get(s, 0) + 1
-            near = [] if near is None or isinstance(near, float) else sorted(np.asarray(near).tolist())
-            taken = [x for x in near if x not in gone]
-            gone.update(taken)
-            members = [e, *[names[x] for x in taken]]
-            out.append((q, e, f"group_{e}", "news_cluster" if len(members) > 1 else "single", members))
+            counts[source] = counts.get(source, 0) + 1
+            taken = np.flatnonzero(like[i] & left)
+            left[taken] = False
+            e = f["evidence_id"][i]
+            members = [e, *f["evidence_id"][taken]]
+            out.append((f["query_id"][i], e, f"group_{e}", "news_cluster" if len(members) > 1 else "single", members))
         return pd.DataFrame(out, columns=["query_id", "evidence_id", "group_id", "group_type", "members"])
 
     return rows.groupBy("query_id").applyInPandas(greedy, "query_id long, evidence_id string, group_id string, group_type string, members array<string>")
-
-

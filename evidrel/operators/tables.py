@@ -79,10 +79,39 @@ def with_ordinal_suffix(df: DataFrame, key: str, *order: Column | str) -> DataFr
     return df.withColumn(key, F.when(n == 1, F.col(key)).otherwise(F.concat_ws("_", key, n.cast("string"))))
 
 
-def positional_split(df: DataFrame, *order: Column | str) -> DataFrame:
-    """By place modulo 10: 0 and 1 test, 2 and 3 valid, else train."""
-    i = (F.row_number().over(W.orderBy(*order)) - 1) % 10
-    return df.withColumn("split", F.when(i < 2, "test").when(i < 4, "valid").otherwise("train"))
+#: Rows that one task numbers, and stretches of a numeric key at most.
+STRETCH, MOST_STRETCHES = 1_000_000, 4096
+
+
+def numbered(df: DataFrame, key: str, name: str = "place", stretch: int = STRETCH) -> DataFrame:
+    """df with the 0-based place of each row in the order of a numeric key without repeats.
+
+    The key's range is cut at quantiles into stretches of about ``stretch`` rows;
+    each is numbered on its own and starts behind the rows of those before it,
+    whose counts (MOST_STRETCHES at most) the driver adds up.
+    """
+    parts = min(MOST_STRETCHES, -(-df.count() // stretch))
+    cuts = sorted(set(df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(key))) if cuts else F.lit(0)
+    rows, before, start = df.withColumn("__part", part), {}, 0
+    for r in sorted(rows.groupBy("__part").count().collect()):
+        before[r["__part"]], start = start, start + r["count"]
+    first = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("__part")) if before else F.lit(0)
+    place = F.row_number().over(W.partitionBy("__part").orderBy(key)) - 1 + first
+    return rows.withColumn(name, place.cast("long")).drop("__part")
+
+
+def positional_split(df: DataFrame, key: str) -> DataFrame:
+    """By place modulo 10 in the order of a numeric key: 0 and 1 test, 2 and 3 valid, else train."""
+    i = F.col("__place") % 10
+    return numbered(df, key, "__place").withColumn("split", F.when(i < 2, "test").when(i < 4, "valid").otherwise("train")).drop("__place")
+
+
+def adjacent(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value, following): each row's value and the next one's in the order of a numeric key; null for the last."""
+    rows = numbered(df.select(key, value), key, "__place")
+    after = rows.select((F.col("__place") - 1).alias("__place"), F.col(value).alias("following"))
+    return rows.join(after, "__place", "left").drop("__place")
 
 
 def unpivot_sources(df: DataFrame, sources: list[str], planned: Column) -> DataFrame:
@@ -107,13 +136,13 @@ def cyclic_negatives(queries: DataFrame, docs: DataFrame, positives: DataFrame,
 
     Only as many places are looked at as k and the query's positives need.
     """
-    ranked = docs.select("doc_id").distinct().withColumn("place", F.row_number().over(W.orderBy("doc_id")) - 1)
+    ranked = numbered(docs.select("doc_id").distinct(), "doc_id")
     n = ranked.agg(F.count(F.lit(1)).alias("n"))
-    have = positives.groupBy("query_id").agg(F.count(F.lit(1)).alias("have"))
+    have = positives.distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("have"))
     q = queries.join(have, "query_id", "left").crossJoin(F.broadcast(n)).where("n > 0")
     look = F.least(F.lit(k) + F.coalesce("have", F.lit(0)), F.col("n"))
     q = q.withColumn("start", sha1_mod(F.col("query"), F.col("n"))).withColumn("step", F.explode(F.sequence(F.lit(0).cast("bigint"), look - 1)))
-    q = q.withColumn("place", F.pmod(F.col("start") + F.col("step"), F.col("n")).cast("int"))
+    q = q.withColumn("place", F.pmod(F.col("start") + F.col("step"), F.col("n")).cast("long"))
     out = q.join(ranked, "place").select("query_id", "doc_id", "step").join(positives.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     out = out.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("step")))
     return out.where(F.col("rank") <= k).select("query_id", "doc_id", "rank")

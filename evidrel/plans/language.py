@@ -16,18 +16,26 @@ def fixture(spark):
     return spark.createDataFrame(list(enumerate(ZH)), "id int, t string")
 
 
-CJK = "[^\\x{4e00}-\\x{9fff}]"
+def kept_length(char_class: str, text: str = "t") -> str:
+    """DuckDB: how many characters of a class a text has."""
+    return f"length(regexp_replace({text}, '[^{char_class}]', '', 'g'))".replace("'《", "''《").replace("\"'(", "\"''(")
 
 
-@query("s20_language", f"""WITH v(id, t) AS (VALUES {VALUES}), a AS (SELECT id, t FROM v UNION ALL SELECT doc_id + 100, substr(text, 1, 200) FROM documents), c AS (SELECT id, t, length(trim(t)) AS n, length(regexp_replace(t, '{CJK}', '', 'g')) AS z, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS l FROM a)
-  SELECT id::BIGINT AS id, CASE WHEN n = 0 THEN 'unknown' WHEN z / n::DOUBLE > 0.1 AND l / n::DOUBLE > 0.1 THEN 'mixed' WHEN z / n::DOUBLE > 0.1 THEN 'zh' WHEN l / n::DOUBLE > 0.1 THEN 'en' ELSE 'unknown' END AS lang,
+def held(words: list[str], text: str) -> str:
+    return "(" + " + ".join(f"contains({text}, '{w}')::INT" for w in words) + ")"
+
+
+@query("s20_language", f"""WITH v(id, t) AS (VALUES {VALUES}), a AS (SELECT id, t FROM v UNION ALL SELECT doc_id + 100, text FROM documents),
+  c AS (SELECT id, t, length(trim(t)) AS n, {kept_length(X.CJK)} AS z, {kept_length('A-Za-z')} AS l, 2 * {held(X.ZH_STOPWORDS, 't')} + {kept_length(X.ZH_PUNCT)} AS zs, 2 * {held(X.EN_STOPWORDS, 'lower(t)')} + {kept_length(X.EN_PUNCT)} AS es FROM a)
+  SELECT id::BIGINT AS id, CASE WHEN n = 0 THEN 'unknown' WHEN z / n::DOUBLE > 0.1 AND l / n::DOUBLE > 0.1 THEN 'mixed' WHEN z / n::DOUBLE > 0.1 THEN 'zh' WHEN l / n::DOUBLE > 0.1 THEN 'en'
+    WHEN greatest(zs, es) < 2 OR zs = es THEN 'unknown' WHEN l / n::DOUBLE > 0.05 AND z / n::DOUBLE > 0.05 THEN 'mixed' WHEN zs > es THEN 'zh' ELSE 'en' END AS lang,
   CASE WHEN z > 0 AND z >= greatest(2, l * 0.4) THEN 'zh' WHEN l > 0 THEN 'en' ELSE 'zh' END AS chat, CASE WHEN l > z THEN 'en' ELSE 'zh' END AS eval FROM c""")
 def s20(spark, sf):
     a = fixture(spark).select(F.col("id").cast("long").alias("id"), "t").unionByName(read(spark, sf, "documents").select((F.col("doc_id") + 100).alias("id"), F.col("text").alias("t")))
     return a.select("id", X.detect_language(F.col("t")).alias("lang"), X.chat_language(F.col("t")).alias("chat"), X.eval_language(F.col("t")).alias("eval"))
 
 
-@query("s24_sentences", f"WITH {EVIDENCE} SELECT doc_id, len(s) AS n, s[1] AS head FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(summary, '([.!?])\\s+', '\\1\x01', 'g'), '\x01'), lambda x: trim(x)), lambda x: x <> '') AS s FROM evidence)")
+@query("s24_sentences", f"WITH {EVIDENCE} SELECT doc_id, len(s) AS n, s[1] AS head FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(body, '([.!?])\\s+', '\\1\x01', 'g'), '\x01'), lambda x: trim(x)), lambda x: x <> '') AS s FROM evidence)")
 def s24(spark, sf):
     s = X.sentences_en(F.col("body"))
     return evidence(spark, sf).select("doc_id", F.size(s).cast("long").alias("n"), F.get(s, F.lit(0)).alias("head"))
@@ -51,7 +59,7 @@ def s16(spark, sf):
     return fixture(spark).select("id", F.array_join(s["keywords"], ",").alias("keywords"), s["sentiment_of_user"].alias("sentiment"), X.question_style(F.col("t"), F.array().cast("array<string>")).alias("style"))
 
 
-@query("s29_s32_clean", f"WITH {EVIDENCE} SELECT doc_id, trim(regexp_replace(summary, '\\s+', ' ', 'g')) AS clean, substr(trim(regexp_replace(title, '[^A-Za-z0-9_.:-]+', '_', 'g'), '_'), 1, 160) AS safe FROM evidence")
+@query("s29_s32_clean", f"WITH {EVIDENCE} SELECT doc_id, trim(regexp_replace(body, '\\s+', ' ', 'g')) AS clean, substr(trim(regexp_replace(title, '[^A-Za-z0-9_.:-]+', '_', 'g'), '_'), 1, 160) AS safe FROM evidence")
 def s29(spark, sf):
     return evidence(spark, sf).select("doc_id", X.clean(F.col("body")).alias("clean"), X.safe_id(F.col("title")).alias("safe"))
 
@@ -80,11 +88,17 @@ def s49(spark, sf):
     return evidence(spark, sf).select("doc_id", X.trim_at_boundary(F.col("body"), 240).alias("short"))
 
 
-@query("s9_j14_fuzzy", """WITH q AS (SELECT item_id, upper(substr(text, 1, 30)) AS q FROM benchmark), c AS (SELECT q.item_id, n.n_name, w, i, substr(q.q, i, w) AS t, levenshtein(substr(q.q, i, w), n.n_name) AS d, length(n.n_name) AS k
+@query("s9_j14_fuzzy", """WITH q AS (SELECT 'b' || item_id AS query_id, upper(text) AS q FROM benchmark UNION ALL SELECT 'n' || n_nationkey, 'WHY DID ' || substr(n_name, 1, 2) || substr(n_name, 4) || ' FALL' FROM nation UNION ALL SELECT 's' || n_nationkey, 'NEWS OF ' || substr(n_name, 1, 3) || 'Q' || substr(n_name, 5) FROM nation),
+  c AS (SELECT q.query_id, n.n_name, w, i, substr(q.q, i, w) AS t, levenshtein(substr(q.q, i, w), n.n_name) AS d, length(n.n_name) AS k
     FROM q, nation n, (SELECT unnest([-1, 0, 1]) AS o) o, LATERAL (SELECT length(n.n_name) + o.o AS w) ww, LATERAL (SELECT unnest(range(1, length(q.q) - w + 2)) AS i) ii WHERE w > 0 AND (o.o = 0 OR length(n.n_name) >= 3)),
-  m AS (SELECT item_id, n_name, round(greatest(1 - d / greatest(length(t), k)::DOUBLE, 0.78), 2) AS score FROM c WHERE trim(t) <> '' AND CASE WHEN k <= 4 THEN d <= 1 ELSE d <= 2 AND 1 - d / greatest(length(t), k)::DOUBLE >= 0.78 END)
-  SELECT item_id, n_name, max(score) AS score FROM m GROUP BY 1, 2""")
+  m AS (SELECT query_id, n_name, round(greatest(1 - d / greatest(length(t), k)::DOUBLE, 0.78), 2) AS score FROM c WHERE trim(t) <> '' AND regexp_full_match(t, '[\\x00-\\x7f]*') AND CASE WHEN k <= 4 THEN d <= 1 ELSE d <= 2 AND 1 - d / greatest(length(t), k)::DOUBLE >= 0.78 END)
+  SELECT query_id, n_name, max(score) AS score FROM m GROUP BY 1, 2""")
 def s9(spark, sf):
-    q = read(spark, sf, "benchmark").select("item_id", F.upper(F.substring("text", 1, 30)).alias("q"))
-    best = q.join(F.broadcast(read(spark, sf, "nation").select("n_name"))).withColumn("m", X.best_fuzzy(F.col("q"), F.col("n_name")))  # nation: a fixed dimension of 25 rows
-    return best.where("m is not null").select("item_id", "n_name", F.col("m.score").alias("score"))
+    n = read(spark, sf, "nation").select("n_nationkey", "n_name")  # a fixed dimension of 25 rows
+    key = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string")).alias("query_id")
+    name = lambda a, b: F.substring("n_name", a, b)
+    q = read(spark, sf, "benchmark").select(key("b", "item_id"), F.upper("text").alias("q"))
+    q = q.unionByName(n.select(key("n", "n_nationkey"), F.concat(F.lit("WHY DID "), name(1, 2), name(4, 99), F.lit(" FALL")).alias("q")))
+    q = q.unionByName(n.select(key("s", "n_nationkey"), F.concat(F.lit("NEWS OF "), name(1, 3), F.lit("Q"), name(5, 99)).alias("q")))
+    best = q.join(F.broadcast(n.select("n_name"))).withColumn("m", X.best_fuzzy(F.col("q"), F.col("n_name")))
+    return best.where("m is not null").select("query_id", "n_name", F.col("m.score").alias("score"))

@@ -105,12 +105,9 @@ def w14(spark, sf):
     return T.with_ordinal_suffix(read(spark, sf, "part").select("p_partkey", "p_name"), "p_name", "p_partkey")
 
 
-@query("w15_adjacent_pairs", "SELECT item_id, substr(text, 1, 20) || ' ' || lead(substr(text, 1, 20)) OVER (ORDER BY item_id) AS mixed FROM benchmark")
+@query("w15_adjacent_pairs", "SELECT item_id, text || ' ' || lead(text) OVER (ORDER BY item_id) AS mixed FROM benchmark")
 def w15(spark, sf):
-    from pyspark.sql import Window as W
-
-    b = read(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 20).alias("h"))  # the benchmark is a small fixed table
-    return b.select("item_id", F.concat("h", F.lit(" "), F.lead("h").over(W.orderBy("item_id"))).alias("mixed"))
+    return T.adjacent(read(spark, sf, "benchmark"), "item_id", "text").select("item_id", F.concat("text", F.lit(" "), "following").alias("mixed"))
 
 
 @query("w16_positional_split", "SELECT item_id, CASE WHEN i % 10 < 2 THEN 'test' WHEN i % 10 < 4 THEN 'valid' ELSE 'train' END AS split FROM (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS i FROM benchmark)")
@@ -171,13 +168,13 @@ def j2(spark, sf):
     return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("c_mktsegment", "r_name").distinct()
 
 
-MATCH_SQL = """WITH q AS (SELECT item_id, upper(substr(text, 1, 80)) AS t FROM benchmark), h AS (SELECT q.item_id, n.n_name FROM q JOIN nation n ON contains(q.t, substr(n.n_name, 1, 3)))
+MATCH_SQL = """WITH q AS (SELECT item_id, upper(text) AS t FROM benchmark), h AS (SELECT q.item_id, n.n_name FROM q JOIN nation n ON contains(q.t, substr(n.n_name, 1, 3)))
   SELECT * FROM h UNION ALL SELECT q.item_id, n.n_name FROM q, nation n WHERE q.item_id NOT IN (SELECT item_id FROM h)"""
 
 
 @query("j3_j4_match_or_all", MATCH_SQL)
 def j4(spark, sf):
-    q = read(spark, sf, "benchmark").select("item_id", F.upper(F.substring("text", 1, 80)).alias("t"))
+    q = read(spark, sf, "benchmark").select("item_id", F.upper("text").alias("t"))
     items = read(spark, sf, "nation").select("n_name")
     return T.match_or_all(q, items, F.contains(F.col("t"), F.substring(F.col("n_name"), 1, 3)), "item_id").select("item_id", "n_name")
 

@@ -11,7 +11,7 @@ from evidrel.operators import metrics as M
 from evidrel.operators import packaging as P
 from evidrel.operators import retrieval as R
 from evidrel.plans.registry import query, read
-from evidrel.plans.views import EVIDENCE, REQUESTS, SOURCES, evidence, requests
+from evidrel.plans.views import AS_OF, EVIDENCE, REQUESTS, SCOPES, SOURCES, cosine_sql, evidence, requests
 
 
 def grams_sql(text: str) -> str:
@@ -23,15 +23,12 @@ def grams_sql(text: str) -> str:
     )
 
 
-TITLES = "t AS (SELECT doc_id, substr(string_split(text, chr(10))[1], 1, 120) AS title FROM documents)"
-QS = "q AS (SELECT item_id AS query_id, substr(text, 1, 60) AS query FROM benchmark)"
-COSINE_SQL = f"""WITH {TITLES}, {QS},
- dt AS (SELECT doc_id, gram, count(*) AS tf FROM (SELECT doc_id, unnest({grams_sql('title')}) AS gram FROM t) GROUP BY 1, 2),
- idf AS (SELECT gram, ln((1 + (SELECT count(DISTINCT doc_id) FROM dt)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM dt GROUP BY gram),
- dw AS (SELECT doc_id, gram, tf * idf AS w FROM dt JOIN idf USING (gram)), dn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM dw GROUP BY 1),
- qt AS (SELECT query_id, gram, count(*) AS tf FROM (SELECT query_id, unnest({grams_sql('query')}) AS gram FROM q) GROUP BY 1, 2),
- qw AS (SELECT query_id, gram, tf * idf AS w FROM qt JOIN idf USING (gram)), qn AS (SELECT query_id, sqrt(sum(w * w)) AS n FROM qw GROUP BY 1),
- c AS (SELECT qw.query_id, dw.doc_id, sum(qw.w / qn.n * dw.w / dn.n) AS cosine FROM qw JOIN qn ON qn.query_id = qw.query_id JOIN dw ON dw.gram = qw.gram JOIN dn ON dn.doc_id = dw.doc_id GROUP BY 1, 2)"""
+def half_up(x: str, places: int = 4) -> str:
+    """DuckDB: a double rounded half up as it is written, which is how Spark rounds."""
+    return f"round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 20)), {places})::DOUBLE"
+
+
+COSINE_SQL = f"WITH {EVIDENCE}, {REQUESTS}, {cosine_sql('query')}"
 
 
 def cosines(spark, sf, **limits):
@@ -67,13 +64,23 @@ def pf4(spark, sf):
     return q.select("query_id", F.array_join(R.allowed_sources(F.col("plan")), ",").alias("strict"), F.array_join(R.allowed_sources_or_all(F.col("plan")), ",").alias("loose"))
 
 
-PAIRS = f"""{EVIDENCE}, {REQUESTS}, p AS (SELECT r.query_id, r.source_plan, e.doc_id, e.evidence_id, e.source_type, e.source_name, e.title, e.summary, e.credibility_score, ((e.doc_id * 7919 + r.query_id * 104729) % 997)::DOUBLE / 997 AS score FROM requests r JOIN evidence e ON e.doc_id % 20 = r.query_id % 20)"""
+PAIRS = f"""{EVIDENCE}, {REQUESTS}, {cosine_sql('query')}, p AS (SELECT r.* EXCLUDE (product_type), e.*, round(cosine, 4) AS score FROM c JOIN requests r USING (query_id) JOIN evidence e USING (doc_id))"""
 
 
 def pairs(spark, sf):
     """Requests with every document that shares a gram; score is the cosine to four places."""
     hits = cosines(spark, sf).select("query_id", "doc_id", F.round("cosine", 4).alias("score"))
-    return hits.join(evidence(spark, sf), "doc_id").join(requests(spark, sf), "query_id")
+    return hits.join(evidence(spark, sf), "doc_id").join(F.broadcast(requests(spark, sf).drop("product_type")), "query_id")
+
+
+HITS = PAIRS.replace(", p AS (", ", every AS (") + ", p AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 20)"
+
+
+def hits(spark, sf):
+    """The 20 best documents of each request: the candidates that features and packages are made of."""
+    best = cosines(spark, sf, top=20).select("query_id", "doc_id", F.round("cosine", 4).alias("score"))
+    best = best.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where("n <= 20").drop("n")
+    return best.join(evidence(spark, sf), "doc_id").join(F.broadcast(requests(spark, sf).drop("product_type")), "query_id")
 
 
 @query("pf7_least_score", f"WITH {PAIRS} SELECT query_id, doc_id FROM p WHERE score >= CASE WHEN source_type IN ('news', 'announcement') THEN 0.02 ELSE 0.05 END")
@@ -91,7 +98,7 @@ def t2(spark, sf):
     return R.diversified(pairs(spark, sf), 8).select("query_id", "doc_id", "position")
 
 
-SELECT = f"""WITH {PAIRS}, u AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE score - 0.1 END AS retrieval_score, score AS rank_score, CASE WHEN doc_id % 3 = 0 THEN 'http://x' END AS source_url FROM p),
+SELECT = f"""WITH {HITS}, u AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE score - 0.1 END AS retrieval_score, score AS rank_score, CASE WHEN doc_id % 3 = 0 THEN 'http://x' END AS source_url FROM p),
   f AS (SELECT * FROM u WHERE CASE WHEN retrieval_score IS NULL THEN rank_score >= 0.55 ELSE retrieval_score > 0 END),
   b AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_type ORDER BY (source_url IS NOT NULL)::INT DESC, (NOT contains(lower(source_name), 'seed') AND NOT starts_with(lower(source_name), 'public_'))::INT DESC, rank_score DESC, retrieval_score DESC NULLS LAST, evidence_id) AS best FROM f),
   o AS (SELECT *, CASE WHEN best = 1 AND list_contains(source_plan, source_type) THEN list_position(source_plan, source_type) ELSE 1000000 END AS place FROM b),
@@ -100,19 +107,16 @@ SELECT = f"""WITH {PAIRS}, u AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN NULL EL
 
 @query("t5_pf8_selected", SELECT)
 def t5(spark, sf):
-    p = pairs(spark, sf).withColumns({"retrieval_score": F.when(F.col("doc_id") % 5 != 0, F.col("score") - 0.1), "rank_score": F.col("score"), "source_url": F.when(F.col("doc_id") % 3 == 0, "http://x")})
+    p = hits(spark, sf).withColumns({"retrieval_score": F.when(F.col("doc_id") % 5 != 0, F.col("score") - 0.1), "rank_score": F.col("score"), "source_url": F.when(F.col("doc_id") % 3 == 0, "http://x")})
     return R.selected(p, 6).select("query_id", "evidence_id", "position")
 
 
 @query("d5_near_duplicate_groups")
 def d5(spark, sf):
-    top = R.diversified(pairs(spark, sf), 20)
+    top = R.diversified(hits(spark, sf), 20)
     return R.near_duplicate_groups(top.select("query_id", "position", "evidence_id", "source_type", "title", "summary"))
 
 
-AS_OF = "TIMESTAMP '2024-06-30 00:00:00'"
-
-
 @query("f1_f2_recency", f"""WITH e AS (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE ts END AS ts, ['today', 'recent_3d', 'recent_1w', 'recent_1m', 'recent_1q', 'long_term', 'other'][CAST(event_id % 7 AS INT) + 1] AS scope FROM events),
   a AS (SELECT event_id, ts, greatest(floor((epoch({AS_OF}) - floor(epoch(ts))) / 86400), 0) AS age, CASE scope WHEN 'today' THEN 1 WHEN 'recent_3d' THEN 3 WHEN 'recent_1w' THEN 7 WHEN 'recent_1q' THEN 90 WHEN 'long_term' THEN 365 ELSE 30 END AS d FROM e)
   SELECT event_id, CASE WHEN ts IS NULL THEN 0.3 ELSE round(greatest(0.05, exp(-0.693 * age / 60)), 4) END AS recency, CASE WHEN ts IS NULL THEN 0.3 WHEN age <= d THEN 1 ELSE round(greatest(0.1, 1 - (age - d) / greatest(d, 1) * 0.5), 4) END AS window_match FROM a""")
@@ -122,40 +126,45 @@ def f1(spark, sf):
     return read(spark, sf, "events").select("event_id", S.recency(ts, at).alias("recency"), S.window_match(ts, at, scope).alias("window_match"))
 
 
-@query("f4_intent_match", f"""WITH {PAIRS}, i AS (SELECT query_id, doc_id, source_type, CASE query_id % 4 WHEN 0 THEN [] WHEN 1 THEN ['hold_judgment', 'nothing'] WHEN 2 THEN ['product_info'] ELSE ['market_explanation', 'event_news_query'] END AS labels FROM p)
+@query("f4_intent_match", f"""WITH {HITS}, i AS (SELECT query_id, doc_id, source_type, CASE query_id % 4 WHEN 0 THEN [] WHEN 1 THEN ['hold_judgment', 'nothing'] WHEN 2 THEN ['product_info'] ELSE ['market_explanation', 'event_news_query'] END AS labels FROM p)
   SELECT query_id, doc_id, CASE WHEN len(labels) = 0 THEN 0.5 WHEN (list_contains(labels, 'hold_judgment') AND source_type IN ('announcement', 'research_note')) OR (list_contains(labels, 'product_info') AND source_type IN ('faq', 'product_doc')) OR (list_contains(labels, 'event_news_query') AND source_type IN ('news', 'announcement')) THEN 0.8 ELSE 0.2 END::DOUBLE AS compat FROM i""")
 def f4(spark, sf):
     k = F.col("query_id") % 4
     labels = F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array(F.lit("hold_judgment"), F.lit("nothing"))).when(k == 2, F.array(F.lit("product_info"))).otherwise(F.array(F.lit("market_explanation"), F.lit("event_news_query")))
-    return pairs(spark, sf).select("query_id", "doc_id", S.intent_match(labels, F.col("source_type")).alias("compat"))
+    return hits(spark, sf).select("query_id", "doc_id", S.intent_match(labels, F.col("source_type")).alias("compat"))
 
 
-@query("f6_f8_ranks", f"""WITH {PAIRS}, b AS (SELECT query_id, doc_id, score, round(least(0.35::DOUBLE * score + 0.20::DOUBLE * (doc_id % 2) + 0.15::DOUBLE * (doc_id % 3 = 0)::INT + 0.10::DOUBLE * 1 + 0.10::DOUBLE * 0.3::DOUBLE + 0.10::DOUBLE * credibility_score, 1.0), 4) AS base FROM p)
-  SELECT query_id, doc_id, base, CASE WHEN doc_id % 7 = 0 THEN base ELSE round(greatest(0, least(1, 0.35::DOUBLE * base + 0.65::DOUBLE * score)), 4) END AS hybrid FROM b""")
+@query("f6_f8_ranks", f"""WITH {HITS}, b AS (SELECT query_id, doc_id, score, {half_up('least(0.35::DOUBLE * score + 0.20::DOUBLE * (doc_id % 2) + 0.15::DOUBLE * (doc_id % 3 = 0)::INT + 0.10::DOUBLE * 1 + 0.10::DOUBLE * 0.3::DOUBLE + 0.10::DOUBLE * credibility_score, 1.0)')} AS base FROM p)
+  SELECT query_id, doc_id, base, CASE WHEN doc_id % 7 = 0 THEN base ELSE {half_up('greatest(0, least(1, 0.35::DOUBLE * base + 0.65::DOUBLE * score))')} END AS hybrid FROM b""")
 def f6(spark, sf):
     base = S.baseline_rank(F.col("score"), F.col("doc_id") % 2, (F.col("doc_id") % 3 == 0).cast("int"), F.lit(1), F.lit(0.3), F.col("credibility_score"))
-    out = pairs(spark, sf).withColumn("base", base)
+    out = hits(spark, sf).withColumn("base", base)
     return out.select("query_id", "doc_id", "base", S.hybrid_rank(F.col("base"), F.when(F.col("doc_id") % 7 != 0, F.col("score"))).alias("hybrid"))
 
 
-@query("f9_term_bonus", f"""WITH {PAIRS}, {REQUESTS.replace('requests AS', 'rq AS')} SELECT p.query_id, p.doc_id, least(0.06 * len(list_filter(rq.keywords, lambda k: length(trim(k)) >= 2 AND contains(p.title || ' ' || p.summary, k))), 0.18)::DOUBLE AS bonus FROM p JOIN rq ON rq.query_id = p.query_id""")
+TERMS = "list_concat(list_concat(industry_terms, keywords), entity_names)"
+BONUS = f"least(0.06 * len(list_filter({TERMS}, lambda k: length(trim(k)) >= 2 AND contains(concat_ws(' ', title, summary, body), k))), 0.18)::DOUBLE"
+
+
+@query("f9_term_bonus", f"WITH {PAIRS} SELECT query_id, doc_id, {BONUS} AS bonus FROM p")
 def f9(spark, sf):
-    return pairs(spark, sf).select("query_id", "doc_id", S.term_bonus(F.col("keywords"), F.concat_ws(" ", "title", "summary")).alias("bonus"))
+    return pairs(spark, sf).select("query_id", "doc_id", S.term_bonus(F.concat("industry_terms", "keywords", "entity_names"), F.concat_ws(" ", "title", "summary", "body")).alias("bonus"))
 
 
-@query("s10_s12_gram_jaccard", f"""WITH {PAIRS}, {QS}, g AS (SELECT p.query_id, p.doc_id, list_distinct([substr(q.query, i, 3) FOR i IN range(1, greatest(length(q.query) - 2, 1) + 1)]) AS a, list_distinct([substr(p.title, i, 3) FOR i IN range(1, greatest(length(p.title) - 2, 1) + 1)]) AS b, length(p.title) AS n FROM p JOIN q ON q.query_id = p.query_id)
+@query("s10_s12_gram_jaccard", f"""WITH {HITS}, g AS (SELECT query_id, doc_id, list_distinct([substr(query, i, 3) FOR i IN range(1, greatest(length(query) - 2, 1) + 1)]) AS a, list_distinct([substr(title, i, 3) FOR i IN range(1, greatest(length(title) - 2, 1) + 1)]) AS b, length(title) AS n FROM p)
   SELECT query_id, doc_id, CASE WHEN n = 0 THEN 0 ELSE round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE, 4) END AS jaccard FROM g""")
 def s11(spark, sf):
-    return pairs(spark, sf).select("query_id", "doc_id", X.gram_jaccard(F.col("query"), F.col("title")).alias("jaccard"))
+    return hits(spark, sf).select("query_id", "doc_id", X.gram_jaccard(F.col("query"), F.col("title")).alias("jaccard"))
 
 
-ITEMS = f"""{PAIRS}, i AS (SELECT query_id, doc_id, CASE WHEN doc_id % 2 = 0 THEN source_type ELSE ['market_api', 'fundamental_sql', 'fund_nav', 'macro_sql', 'index_valuation', 'policy_event', 'fund_fee'][CAST(doc_id % 7 AS INT) + 1] END AS source_type, doc_id % 2 = 0 AS is_document FROM p WHERE doc_id % 9 < 2)"""
+ITEMS = f"""{HITS}, i AS (SELECT query_id, doc_id, CASE WHEN doc_id % 2 = 0 THEN source_type ELSE ['market_api', 'fundamental_sql', 'fund_nav', 'macro_sql', 'index_valuation', 'policy_event', 'fund_fee'][CAST(doc_id % 7 AS INT) + 1] END AS source_type, doc_id % 2 = 0 AS is_document, CASE WHEN doc_id % 2 = 0 THEN entity_symbols ELSE ['S' || doc_id % 3] END AS symbols FROM p)"""
 
 
 def items(spark, sf):
     other = F.element_at(F.array(*map(F.lit, ["market_api", "fundamental_sql", "fund_nav", "macro_sql", "index_valuation", "policy_event", "fund_fee"])), (F.col("doc_id") % 7).cast("int") + 1)
     even = F.col("doc_id") % 2 == 0
-    return pairs(spark, sf).select("query_id", "doc_id", F.when(even, F.col("source_type")).otherwise(other).alias("source_type"), even.alias("is_document"))
+    symbols = F.when(even, F.col("entity_symbols")).otherwise(F.array(F.concat(F.lit("S"), (F.col("doc_id") % 3).cast("string"))))
+    return hits(spark, sf).select("query_id", "doc_id", F.when(even, F.col("source_type")).otherwise(other).alias("source_type"), even.alias("is_document"), symbols.alias("symbols"))
 
 
 def cover_sql(kind: dict[str, list[str]]) -> str:
@@ -163,9 +172,14 @@ def cover_sql(kind: dict[str, list[str]]) -> str:
     return ", ".join(f"bool_or({' OR '.join(map(part, ts))}) AS {name}" for name, ts in kind.items())
 
 
-@query("a1_coverage", f"WITH {ITEMS} SELECT query_id, {cover_sql(P.COVERAGE)} FROM i GROUP BY query_id")
+COMPARES = "list_contains(intent_labels, 'peer_compare') OR list_contains(topic_labels, 'comparison')"
+COMPARISON = f"n AS (SELECT query_id, count(DISTINCT symbol) >= 2 AS comparison FROM (SELECT query_id, unnest(symbols) AS symbol FROM i) GROUP BY 1), m AS (SELECT r.query_id, ({COMPARES}) AND coalesce(comparison, false) AS comparison FROM requests r LEFT JOIN n ON n.query_id = r.query_id)"
+FLAGS = [*P.COVERAGE, "comparison"]
+
+
+@query("a1_coverage", f"WITH {ITEMS}, {COMPARISON}, e AS (SELECT query_id, {cover_sql(P.COVERAGE)} FROM i GROUP BY query_id) SELECT e.*, m.comparison FROM e JOIN m ON m.query_id = e.query_id")
 def a1(spark, sf):
-    return P.coverage(items(spark, sf))
+    return P.all_coverage(items(spark, sf), requests(spark, sf))
 
 
 @query("a2_coverage_detail", f"WITH {ITEMS} SELECT query_id, {cover_sql(P.DETAIL)} FROM i GROUP BY query_id")
@@ -173,24 +187,24 @@ def a2(spark, sf):
     return P.coverage(items(spark, sf), P.DETAIL)
 
 
-@query("a3_comparison", "SELECT user_id AS query_id, count(DISTINCT event_type) >= 2 AS comparison FROM events GROUP BY user_id")
+@query("a3_comparison", f"WITH {ITEMS}, {COMPARISON} SELECT query_id, comparison FROM m")
 def a3(spark, sf):
-    return P.comparison_coverage(read(spark, sf, "events").select(F.col("user_id").alias("query_id"), F.array("event_type").alias("symbols")))
+    return P.comparison_coverage(items(spark, sf), requests(spark, sf))
 
 
-CONFIDENCE = f"""WITH {ITEMS}, c AS (SELECT query_id, {cover_sql(P.COVERAGE)} FROM i GROUP BY query_id), r AS (SELECT query_id, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE score END AS s, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM p),
+CONFIDENCE = f"""WITH {ITEMS}, {COMPARISON}, e AS (SELECT query_id, {cover_sql(P.COVERAGE)} FROM i GROUP BY query_id), f AS (SELECT e.*, m.comparison FROM e JOIN m ON m.query_id = e.query_id), r AS (SELECT query_id, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE score END AS s, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM p),
   t AS (SELECT query_id, avg(coalesce(s, 0.7)) AS top FROM r WHERE n <= 3 GROUP BY 1)
-  SELECT c.query_id, round((coalesce(top, 0) + ({' + '.join(f'{k}::INT' for k in P.COVERAGE)}) / {len(P.COVERAGE)}.0::DOUBLE) / 2, 2) AS confidence FROM c LEFT JOIN t ON t.query_id = c.query_id"""
+  SELECT f.query_id, round((coalesce(top, 0) + ({' + '.join(f'{k}::INT' for k in FLAGS)}) / {len(FLAGS)}.0::DOUBLE) / 2, 2) AS confidence FROM f LEFT JOIN t ON t.query_id = f.query_id"""
 
 
 @query("a4_confidence", CONFIDENCE)
 def a4(spark, sf):
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    ranked = pairs(spark, sf).withColumn("position", F.row_number().over(w)).withColumn("rank_score", F.when(F.col("doc_id") % 6 != 0, F.col("score")))
-    return P.retrieval_confidence(ranked, P.coverage(items(spark, sf)), list(P.COVERAGE))
+    ranked = hits(spark, sf).withColumn("position", F.row_number().over(w)).withColumn("rank_score", F.when(F.col("doc_id") % 6 != 0, F.col("score")))
+    return P.retrieval_confidence(ranked, P.all_coverage(items(spark, sf), requests(spark, sf)), FLAGS)
 
 
-@query("a5_executed_sources", f"WITH {ITEMS}, o AS (SELECT query_id, source_type, min((NOT is_document)::INT * 1000000 + doc_id) AS o FROM i GROUP BY 1, 2) SELECT query_id, string_agg(source_type, ',' ORDER BY o) AS executed FROM o GROUP BY 1")
+@query("a5_executed_sources", f"WITH {ITEMS}, o AS (SELECT query_id, source_type, bool_and(NOT is_document) AS s, min(doc_id) FILTER (WHERE is_document) AS d, min(doc_id) AS o FROM i GROUP BY 1, 2) SELECT query_id, string_agg(source_type, ',' ORDER BY s, coalesce(d, o)) AS executed FROM o GROUP BY 1")
 def a5(spark, sf):
     first = items(spark, sf).groupBy("query_id", "source_type").agg(F.min(F.struct(~F.col("is_document"), F.col("doc_id"))).alias("o"))
     out = first.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("o", "source_type"))).alias("x"))
@@ -220,10 +234,10 @@ def s31(spark, sf):
     return evidence(spark, sf).select("doc_id", P.excerpt(F.when(F.col("doc_id") % 2 == 0, F.col("summary")), F.col("body")).alias("excerpt"), short.alias("short"))
 
 
-@query("t6_reasons", f"WITH {PAIRS} SELECT query_id, doc_id, array_to_string(list_filter([CASE WHEN score >= 0.8 THEN 'lexical' END, CASE WHEN credibility_score >= 0.8 THEN 'credibility' END, CASE WHEN doc_id % 2 >= 0.8 THEN 'title_hit' END, CASE WHEN doc_id % 3 >= 0.8 THEN 'recency' END], lambda x: x IS NOT NULL)[1:3], ',') AS reason FROM p")
+@query("t6_reasons", f"WITH {HITS} SELECT query_id, doc_id, array_to_string(list_filter([CASE WHEN score >= 0.8 THEN 'lexical' END, CASE WHEN credibility_score >= 0.8 THEN 'credibility' END, CASE WHEN doc_id % 2 >= 0.8 THEN 'title_hit' END, CASE WHEN doc_id % 3 >= 0.8 THEN 'recency' END], lambda x: x IS NOT NULL)[1:3], ',') AS reason FROM p")
 def t6(spark, sf):
     r = P.reasons({"lexical": F.col("score"), "credibility": F.col("credibility_score"), "title_hit": F.col("doc_id") % 2, "recency": F.col("doc_id") % 3})
-    return pairs(spark, sf).select("query_id", "doc_id", F.array_join(r, ",").alias("reason"))
+    return hits(spark, sf).select("query_id", "doc_id", F.array_join(r, ",").alias("reason"))
 
 
 LABELS = """l AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN '' WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'clean' ELSE 'poor' END AS expected, CASE doc_id % 4 WHEN 0 THEN 'toxic' WHEN 1 THEN 'poor' ELSE 'clean' END AS predicted FROM labels),

@@ -69,3 +69,66 @@ def test_documents_come_before_structured_items_at_any_id(spark, tmp_path):
     rows = [(7, *documents(["alike"])[0][0][1:]), (2_000_000, *documents(["alike too"])[0][0][1:])]
     sf = tables(spark, tmp_path, documents=(rows, documents([])[1]), benchmark=([(1, "alike")], "item_id long, text string"))
     assert [r.executed for r in plans.QUERIES["a5_executed_sources"](spark, sf).collect()] == ["news,market_api"]
+
+
+def test_near_duplicate_groups_are_greedy(spark):
+    """Against pairwise cosines and the greedy walk, in plain Python."""
+    from evidrel.operators import retrieval as R
+
+    base = "shares of the brewer fell after a weak report and analysts cut their targets"
+    rows = []
+    for q in (1, 2):
+        texts = [base, base + " today", "an unrelated note on tides", base.upper(), "", None, "an unrelated note on tides!", base + " again now", "other words", "yet more words", "words once more"]
+        rows += [(q, i + 1, f"e{q}-{i}", ["news", "faq"][(i * q) % 3 == 0], t, "") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "query_id long, position int, evidence_id string, source_type string, title string, summary string")
+    got = {(r.query_id, r.evidence_id): (r.group_type, list(r.members)) for r in R.near_duplicate_groups(df).collect()}
+
+    def vectors(texts):
+        counts = [Counter(p[i : i + n] for w in (t or "").lower().split() for p in [f" {w} "] for n in (2, 3, 4) for i in range(len(p) - n + 1)) for t in texts]
+        df = Counter(g for c in counts for g in c)
+        out = []
+        for c in counts:
+            w = {g: n * (math.log((1 + len(texts)) / (1 + df[g])) + 1) for g, n in c.items()}
+            norm = math.sqrt(sum(x * x for x in w.values())) or 1
+            out.append({g: x / norm for g, x in w.items()})
+        return out
+
+    want = {}
+    for q in (1, 2):
+        mine = [r for r in rows if r[0] == q]
+        v, gone, kept = vectors([r[4] for r in mine]), set(), Counter()
+        for i, r in enumerate(mine):
+            if i in gone or kept[r[3]] >= 3:
+                continue
+            kept[r[3]] += 1
+            like = [j for j in range(i + 1, len(mine)) if j not in gone and sum(x * v[j].get(g, 0) for g, x in v[i].items()) >= 0.85]
+            gone |= set(like)
+            want[q, r[2]] = ("news_cluster" if like else "single", [r[2], *[mine[j][2] for j in like]])
+    assert got == want
+
+
+def test_places_do_not_depend_on_the_stretches(spark):
+    from evidrel.operators import tables as T
+
+    ids = [(i * 37) % 5003 * 3 for i in range(1, 700)]
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
+    want = {i: n for n, i in enumerate(sorted(ids))}
+    assert {r.doc_id: r.place for r in T.numbered(df, "doc_id", stretch=50).collect()} == want
+    assert {r.doc_id: r.place for r in T.numbered(df, "doc_id").collect()} == want
+    assert T.numbered(df.limit(0), "doc_id").count() == 0
+    after = {r.doc_id: r.following for r in T.adjacent(df, "doc_id", "text").collect()}
+    assert after == {a: None if b is None else f"t{b}" for a, b in zip(sorted(ids), [*sorted(ids)[1:], None])}
+
+
+def test_norms_by_join_are_the_same(spark, tmp_path, monkeypatch):
+    from evidrel.operators import retrieval as R
+    from evidrel.plans import evidence as E
+
+    sf = tables(spark, tmp_path, documents=documents(SEARCHED, 3), benchmark=(list(enumerate(ASKED)), "item_id long, text string"))
+    rows = lambda: {(r.query_id, r.doc_id, round(r.cosine, 9)) for r in plans.search.cosines(spark, sf).collect()}
+    found = lambda: {tuple(r) for r in E.candidates(spark, sf).collect()}
+    want, hits = rows(), found()
+    monkeypatch.setattr(R, "MOST_GRAMS", 10)
+    assert rows() == want and found() == hits
+    monkeypatch.setattr(R, "MOST_QUERIES", 2)
+    assert rows() == want and found() == hits
