@@ -7,7 +7,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch handed to Python; texts may be long.
@@ -50,12 +50,17 @@ def written(df: DataFrame, what: str, partition_by: list[str] | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(df: DataFrame) -> None:
-    """Deletes the files of a table made by ``written`` once nothing reads it."""
-    jvm = df.sparkSession._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a table's folder once nothing reads it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_scratch(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by ``written`` once nothing reads them."""
+    for df in tables:
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            drop_path(df.sparkSession, name)
 
 
 def fold(doc_id: str | Column, n: int) -> Column:
@@ -89,17 +94,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def hashed_sample(df: DataFrame, key: str, by: Column, rows: int, classes: int = 200) -> DataFrame:
-    """About ``rows`` rows of each value of ``by``, at most 4 * rows, chosen by a hash of ``key``.
+def hashed_sample(df: DataFrame, key: str, by: Column, rows: int) -> DataFrame:
+    """At most ``rows`` rows of each value of ``by``, those with the smallest hash of ``key``.
 
-    One narrow pass counts the values; rows are then taken whose hash lies under
-    each value's share. Only the fit of a classifier on a bounded sample uses it.
-    The ``classes`` most frequent values are kept.
+    Every value takes part, however many there are. Of rows that repeat a key
+    one takes part, that with the smallest hash of all its columns, so the bound
+    holds for any data. Keys are chosen in narrow passes: by a share of each
+    value's keys that leaves about four times as many as are wanted, then by
+    rank. Only the fit of a classifier on a bounded sample uses it.
     """
-    counts = df.select(by.alias("v")).where("v is not null").groupBy("v").count()
-    counts = counts.orderBy(F.desc("count"), "v").limit(classes).collect()
-    if not counts:
-        return df.withColumn("class_value", by.cast("string")).limit(0)
-    share = F.create_map(*[F.lit(x) for r in counts for x in (str(r["v"]), min(1.0, rows / r["count"]))])
-    h = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return df.withColumn("class_value", by.cast("string")).where(h < F.element_at(share, F.col("class_value")))
+    out = df.withColumns({"class_value": by.cast("string"), "__h": F.xxhash64(F.col(key), F.lit(7))}).where("class_value is not null")
+    narrow = out.select("class_value", "__h")
+    counts = narrow.groupBy("class_value").agg(F.approx_count_distinct("__h").alias("__k"))
+    near = narrow.join(counts, "class_value").where(F.pmod("__h", F.lit(1 << 30)) < F.lit(float(4 * rows << 30)) / F.col("__k")).distinct()
+    chosen = near.withColumn("__n", F.row_number().over(Window.partitionBy("class_value").orderBy(F.pmod("__h", F.lit(1 << 30)), "__h"))).where(F.col("__n") <= rows)
+    some = out.join(F.broadcast(chosen.select("class_value", "__h")), ["class_value", "__h"], "left_semi")  # rows of 24 bytes for each value
+    one = Window.partitionBy("class_value", "__h").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    return some.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n", "__h")

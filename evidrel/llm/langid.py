@@ -24,8 +24,8 @@ from evidrel.llm.convnet import AdaGrad, Net, new_net, softmax, train_step
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-#: Documents of each language that the fit uses, and windows of each document.
-FIT_DOCS, FIT_WINDOWS = 300, 4
+#: Documents of each language that the fit uses, of all languages together, and windows of each document.
+FIT_DOCS, FIT_ALL, FIT_WINDOWS = 300, 48_000, 4
 EPOCHS, BATCH, RATE = 5, 32, 0.08
 UNDETERMINED = "und"
 
@@ -132,13 +132,15 @@ class Scorer:
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs: int = FIT_DOCS) -> bytes | None:
     """A scorer fitted on labelled rows, as bytes; None where no row has both text and language.
 
-    The sample is bounded: at most 4 * ``docs`` documents of each language chosen
-    by a hash of the id, FIT_WINDOWS windows of each.
+    The sample is bounded: at most ``docs`` documents of each language chosen by
+    a hash of the id (fewer where there are so many languages that they would
+    pass FIT_ALL, but one at least), FIT_WINDOWS windows of each.
     """
     arrow_rows(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where("text is not null and text != '' and lang is not null")
-    rows = hashed_sample(rows, "h", F.col("lang"), docs).select(F.xxhash64("h").alias("h"), "text", F.col("class_value").alias("lang"))
+    languages = rows.select(F.count_distinct("lang")).first()[0]
+    rows = hashed_sample(rows, "h", F.col("lang"), max(1, min(docs, FIT_ALL // max(languages, 1)))).select(F.xxhash64("h").alias("h"), "text", F.col("class_value").alias("lang"))
     got = rows.mapInArrow(lambda b: fit_rows(b, FIT_WINDOWS), "h long, lang string, window binary").toPandas()
     if not len(got):
         return None

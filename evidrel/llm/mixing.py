@@ -28,7 +28,7 @@ from evidrel.llm.common import hashed_sample, written
 WORDS = 4096
 #: Steps at most, and the relative miss of the targets that ends the fit.
 STEPS, CLOSE = 40, 1e-3
-#: Labelled documents of each domain that the word weights are counted from (4 times that at most).
+#: Labelled documents of each domain that the word weights are counted from at most.
 FIT_DOCS = 8000
 #: Weight of a pseudo-count of each word in each domain.
 SMOOTH = 1.0
@@ -46,10 +46,10 @@ def constant_array(values: list[float]) -> Column:
 
 
 def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str, text_col: str, sample: int = FIT_DOCS) -> tuple[list[list[float]], list[float]]:
-    """Log weights of each word bucket from about ``sample`` labelled documents of each domain, and prior logs from all labels."""
+    """Log weights of each word bucket from at most ``sample`` labelled documents of each domain, and prior logs from all labels."""
     known = labelled.select(F.col(id_col), F.col("domain")).where(F.col("domain").isin(domains))
     chosen = hashed_sample(known, id_col, F.col("domain"), sample).select(id_col, "domain")
-    # 4 * sample narrow rows of each domain at most: texts are not shuffled
+    # sample narrow rows of each domain at most: texts are not shuffled
     words = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select("domain", F.explode(word_buckets(F.col(text_col))).alias("w"))
     seen = words.groupBy("domain", "w").count()
     counts = {d: [SMOOTH] * WORDS for d in domains}

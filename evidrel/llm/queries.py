@@ -128,15 +128,15 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = r"""
-WITH l AS (
-  SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
-  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), l AS (
+  SELECT r, doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)
 ), f AS (
   SELECT k, max(doc_id) AS keeper FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5
 )
-SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE f.keeper <> l.doc_id) AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.keeper IS NULL OR f.keeper = l.doc_id), '')) AS kept_sha256
-FROM l LEFT JOIN f ON l.k = f.k GROUP BY l.doc_id
+SELECT any_value(l.doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE f.keeper <> l.doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.keeper IS NULL OR l.doc_id IS NULL OR f.keeper = l.doc_id), '')) AS kept_sha256
+FROM l LEFT JOIN f ON l.k = f.k GROUP BY l.r
 """
 
 

@@ -250,3 +250,62 @@ def test_tree_matching_keeps_order():
     size, pairs = webpage.tree_match(a, b)
     assert size == 5  # root, div, p, ul and li; h2 would cross
     assert all(a.keys[i] == b.keys[j] for i, j in pairs)
+
+
+def test_a_key_stands_in_one_run_only_because_of_the_anti_join(spark, monkeypatch):
+    frame = lambda ids, keys: spark.createDataFrame([(i, k, 0) for i in ids for k in keys], "doc_id long, h1 long, h2 long")
+    batches = [frame([1, 2], [5, 6]), frame([3], [5, 7]), frame([4, 4, 9], [5])]
+
+    def runs():
+        r = linededup.LineRuns(spark, fanout=5)
+        for b in batches:
+            r.add(b)
+        return sorted(tuple(x) for x in r.keys().collect()), sorted(tuple(x) for x in r.compacted().collect())
+
+    keys, counted = runs()
+    assert keys == [(5, 0, 2, 2), (6, 0, 2, 2), (7, 0, 1, 3)]
+    assert counted == [(5, 0, 5, 9), (6, 0, 2, 2), (7, 0, 1, 3)]
+    join = type(batches[0]).join
+    monkeypatch.setattr(type(batches[0]), "join", lambda a, b, on=None, how=None: a if how == "left_anti" else join(a, b, on, how))
+    assert runs()[1] != counted
+
+
+def test_line_dedup_of_repeated_ids_equals_the_sql(spark, tmp_path):
+    import duckdb
+
+    from evidrel.llm.queries import OP7_SQL, op7_line_dedup
+
+    rng = random.Random(8)
+    pool = [f"Line {k} " + "é" * 50 for k in range(6)] + ["short", "x" * 45]
+    rows = [(rng.choice([None, *range(12)]), "\n".join(rng.choices(pool, k=rng.randint(1, 6)))) for _ in range(60)]
+    rows += rows[:9] + [(3, "\n".join(f"own line {k} " + "y" * 40 for k in range(5000)) + "\n" + pool[0])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(str(tuple(r)) for r in op7_line_dedup(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(str(r) for r in con.sql(OP7_SQL).fetchall())
+
+
+def test_samples_are_bounded_for_any_data(spark):
+    from pyspark.sql import functions as F
+
+    from evidrel.llm.common import hashed_sample
+
+    rows = [(i, f"l{i % 250}", f"t{i}") for i in range(2000)] + [(5, "l5", f"r{k}") for k in range(300)] + [(7, None, "x"), (None, "l1", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = hashed_sample(df, "doc_id", F.col("lang"), 3).collect()
+    counts = {}
+    for r in got:
+        counts.setdefault(r.class_value, []).append(r.doc_id)
+    assert len(counts) == 250 and all(len(v) <= 3 and len(set(v)) == len(v) for v in counts.values())
+    assert sum(map(len, counts.values())) >= 700
+    assert sorted(map(tuple, got)) == sorted(map(tuple, hashed_sample(df.repartition(7), "doc_id", F.col("lang"), 3).collect()))
+
+
+def test_many_languages_are_all_learned(spark):
+    rng = random.Random(1)
+    rows = [(k * 4 + i, " ".join(chr(0x4E00 + 40 * k + rng.randrange(40)) for _ in range(60)), f"l{k:03}") for k in range(250) for i in range(4)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    import pickle
+
+    assert len(pickle.loads(model)[1]) == 250
