@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch handed to Python; texts may be long.
-ARROW_ROWS = 1000
+#: Rows and bytes of an Arrow batch handed to Python; texts may be long.
+ARROW_ROWS, ARROW_BYTES = 500, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +26,10 @@ def kept(df: DataFrame, columns: list, made: list[str]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in columns] or [F.col(f"`{c}`") for c in df.columns if c.lower() not in taken]
 
 
-def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keeps the Arrow batches of Python stages small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def arrow_rows(spark: SparkSession) -> None:
+    """Keeps the Arrow batches of Python stages small. All operators set the same, so the order of lazy plans is no matter."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def scratch(spark: SparkSession, what: str) -> str:
@@ -83,6 +85,19 @@ def byte_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+#: Bytes of text that an operator turns into numbers at a time.
+BLOCK_BYTES = 2 << 20
+
+
+def byte_blocks(offsets: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold about ``most`` bytes; a longer text is a range of its own."""
+    lo, n = 0, len(offsets) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser on unsigned 64-bit values."""
     x = np.asarray(x, np.uint64).copy()

@@ -20,9 +20,11 @@ the place of t. The join
    costs as many comparisons as it has members); what is left apart is compared
    again around another centre, and after ROUNDS turns all pairs of the group
    that are still in different components are;
-5. verifies candidates: an upper bound of the overlap from token counts by hash
-   range, then the number of shared prefix tokens, then the exact similarity of
-   the whole sets. Only texts of candidates are read again for their sets.
+5. counts, on the prefixes alone, the tokens that a raised pair shares, and
+   drops it where these are fewer than it must show, or where token counts by
+   hash range bound the overlap below the threshold;
+6. verifies what is left by the exact similarity of whole sets. Only texts of
+   such candidates are read again for their sets.
 
 Every link between different sets that could join two components is verified,
 so components are those of the full link graph. The sketch only steers cost.
@@ -39,14 +41,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidrel.llm.common import arrow_rows, byte_buffer, drop_scratch, mix64, written
+from evidrel.llm.common import arrow_rows, byte_blocks, byte_buffer, drop_scratch, mix64, written
 from evidrel.llm.graph import components
 
 #: Counters of the token sketch: its size does not depend on the corpus.
 BUCKETS = 1 << 20
-#: A token whose counter lies this far above the mean counter is hot.
-HOT = 64
-#: Summed counts above the mean of a base prefix from which two or three matches are asked for.
+#: A token whose counter lies so far above the mean and its noise is hot: this, or as many roots of the mean, if that is more.
+HOT, NOISE = 64, 3
+#: Summed counts above the mean and its noise of a base prefix from which two or three matches are asked for.
 COSTLY = (2000, 20000)
 LONGEST = len(COSTLY) + 1
 #: Hash ranges whose token counts bound the overlap of two sets.
@@ -122,14 +124,21 @@ def _lists(sets: list[np.ndarray], kind: pa.DataType | None = None) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(kind.to_pandas_dtype()) if kind else flat))
 
 
+def set_blocks(batch: pa.RecordBatch, n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """The rows of a batch and their sets, a bounded number of bytes of text at a time."""
+    data, offsets = byte_buffer(batch.column("text"))
+    for lo, hi in byte_blocks(offsets):
+        yield batch.slice(lo, hi - lo), shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n)
+
+
 def token_counts(docs: DataFrame, n: int) -> np.ndarray:
     """Over all documents, how many hold a token of each of BUCKETS hash values."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            sets = shingle_sets(*byte_buffer(b.column("text")), n)
-            total += np.bincount((np.concatenate(sets) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+            for _, sets in set_blocks(b, n):
+                total += np.bincount((np.concatenate(sets) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
         parts = total.reshape(64, -1)
         yield pa.record_batch([pa.array(range(64), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())], names=["part", "counts"])
 
@@ -160,13 +169,18 @@ def ordered(s: np.ndarray, excess: np.ndarray, most: int) -> tuple[np.ndarray, n
     return s[at], c[at]
 
 
-def adapted(s: np.ndarray, excess: np.ndarray, percent: int) -> tuple[int, int, bool, np.ndarray, np.ndarray]:
+def hot_bound(counts: np.ndarray) -> int:
+    """Grows with the noise of a counter, the root of the mean, so that chance makes no token hot in a corpus of any size."""
+    return max(HOT, int(NOISE * np.sqrt(counts.mean())))
+
+
+def adapted(s: np.ndarray, excess: np.ndarray, percent: int, bound: int | None = None) -> tuple[int, int, bool, np.ndarray, np.ndarray]:
     """Of one set: base prefix length p, m, whether it is boilerplate, its prefix of p + m - 1 tokens, which are hot."""
     if not len(s):
         return 0, 1, False, s, np.zeros(0, bool)
     p = prefix_size(len(s), percent)
     t, c = ordered(s, excess, min(len(s), p + LONGEST - 1))
-    hot = c > HOT
+    hot = c > (HOT if bound is None else bound)
     m = 1 + sum(int(c[:p].sum()) > x for x in COSTLY)
     boiler = bool(hot[:p].any())
     while m > 1 and hot[: p + m - 1].any():
@@ -176,39 +190,49 @@ def adapted(s: np.ndarray, excess: np.ndarray, percent: int) -> tuple[int, int,
 
 
 def sketches(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(doc_id, n, s1, s2, shape, raised, indexed, cold): set size, 128 bits of the set, token counts by hash range, the tokens that raise candidates, and how many of them, the first, are in the index prefix and are not hot.
-
-    A hot token that boilerplate raises is marked by other bits, so it meets only its like.
+    """(doc_id, n, s1, s2, shape, raised, indexed, cold, p, m, boiler).
+
+    n is the size of the set, s1 and s2 are 128 bits of it, shape are its token
+    counts by hash range; raised are the prefix tokens that raise candidates, of
+    which the first ``indexed`` are in the index prefix and the first ``cold``
+    are not hot; p and m are the length of the base prefix and the matches asked
+    for. A hot token that boilerplate raises is marked by other bits, so it
+    meets only its like.
     """
-    excess = docs.sparkSession.sparkContext.broadcast(_excess(counts))  # BUCKETS numbers
+    excess = docs.sparkSession.sparkContext.broadcast((_excess(counts), hot_bound(counts)))  # BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = shingle_sets(*byte_buffer(b.column("text")), n)
-            size = np.array([len(s) for s in sets], np.int64)
-            s1 = np.array([mix64(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-            s2 = np.array([mix64(s ^ _ODD[14]).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-            raised, indexed, cold = [], [], []
-            for s in sets:
-                p, m, boiler, t, h = adapted(s, excess.value, percent)
-                marked = np.where(h, t ^ _ODD[13], t)
-                # hot tokens come last in the order; boilerplate raises those of its base prefix only, and all its cold ones are found
-                k, first = int((~h).sum()), index_size(len(s), percent) if len(s) else 0
-                raised.append(marked[: max(k, p)] if boiler else marked)
-                indexed.append(max(first, k) if boiler else first + m - 1)
-                cold.append(k)
-            shape = _lists([np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=RANGES) if len(s) else np.zeros(RANGES, np.int64) for s in sets], pa.int32())
-            yield pa.record_batch([b.column("doc_id"), pa.array(size), pa.array(s1), pa.array(s2), shape, _lists(raised), pa.array(indexed, pa.int32()), pa.array(cold, pa.int32())], names=["doc_id", "n", "s1", "s2", "shape", "raised", "indexed", "cold"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, shape array<int>, raised array<long>, indexed int, cold int")
+        above, bound = excess.value
+        for whole in batches:
+            for b, sets in set_blocks(whole, n):
+                size = np.array([len(s) for s in sets], np.int64)
+                s1 = np.array([mix64(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+                s2 = np.array([mix64(s ^ _ODD[14]).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+                raised, indexed, cold, made = [], [], [], []
+                for s in sets:
+                    p, m, boiler, t, h = adapted(s, above, percent, bound)
+                    marked = np.where(h, t ^ _ODD[13], t)
+                    # hot tokens come last in the order; boilerplate raises those of its base prefix only, and all its cold ones are found
+                    k, first = int((~h).sum()), index_size(len(s), percent) if len(s) else 0
+                    raised.append(marked[: max(k, p)] if boiler else marked)
+                    indexed.append(max(first, k) if boiler else first + m - 1)
+                    cold.append(k)
+                    made.append((p, m, boiler))
+                shape = _lists([np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=RANGES) if len(s) else np.zeros(RANGES, np.int64) for s in sets], pa.int32())
+                p, m, boiler = zip(*made, strict=True)
+                columns = [b.column("doc_id"), pa.array(size), pa.array(s1), pa.array(s2), shape, _lists(raised), pa.array(indexed, pa.int32()), pa.array(cold, pa.int32()), pa.array(p, pa.int32()), pa.array(m, pa.int32()), pa.array(boiler)]
+                yield pa.record_batch(columns, names=["doc_id", "n", "s1", "s2", "shape", "raised", "indexed", "cold", "p", "m", "boiler"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, shape array<int>, raised array<long>, indexed int, cold int, p int, m int, boiler boolean")
 
 
 def _excess(counts: np.ndarray) -> np.ndarray:
-    return np.clip(counts - int(counts.mean()), 0, (1 << 23) - 1).astype(np.int32)
+    """Counts above the mean and its noise."""
+    return np.clip(counts - int(counts.mean() + NOISE * np.sqrt(counts.mean())), 0, (1 << 23) - 1).astype(np.int32)
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(doc_id, p, m, boiler, prefix, grams) of at least the documents in ``wanted`` (doc_id).
+def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(doc_id, grams) of at least the documents in ``wanted`` (doc_id).
 
     A bitmap of hashed ids, 1 to 16 MB, tells the tasks which texts to read; an
     id that shares its bit with a wanted one is read as well.
@@ -222,20 +246,17 @@ def full_sets(docs: DataFrame, wanted: DataFrame, counts: np.ndarray, n: int, pe
         at = (r["k"] - 1) * 4096
         bitmap[at : at + 4096] |= np.frombuffer(bytes(r["bits"]), np.uint8)
     # the number of a bucket and a bit are Spark's own functions of the value, computed there
-    shared, excess = spark.sparkContext.broadcast(bitmap), spark.sparkContext.broadcast(_excess(counts))
+    shared = spark.sparkContext.broadcast(bitmap)
     rows = docs.select("doc_id", ((F.bitmap_bucket_number(h) - 1) * 32768 + F.bitmap_bit_position(h)).alias("bit"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bit = b.column("bit").to_numpy()
             b = b.filter(pa.array((shared.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1))
-            if b.num_rows:
-                sets = shingle_sets(*byte_buffer(b.column("text")), n)
-                made = [adapted(s, excess.value, percent) for s in sets]
-                p, m, boiler, prefix, _ = zip(*made, strict=True)
-                yield pa.record_batch([b.column("doc_id"), pa.array(p, pa.int32()), pa.array(m, pa.int32()), pa.array(boiler), _lists(list(prefix)), _lists(sets)], names=["doc_id", "p", "m", "boiler", "prefix", "grams"])
+            for part, sets in set_blocks(b, n):
+                yield pa.record_batch([part.column("doc_id"), _lists(sets)], names=["doc_id", "grams"])
 
-    return rows.mapInArrow(run, "doc_id long, p int, m int, boiler boolean, prefix array<long>, grams array<long>")
+    return rows.mapInArrow(run, "doc_id long, grams array<long>")
 
 
 def _postings(reps: DataFrame, percent: int) -> DataFrame:
@@ -265,25 +286,35 @@ def _postings(reps: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def _verified(pairs: DataFrame, shapes: DataFrame, docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar enough; whole sets are made for documents only that pass the bound."""
-    shape = lambda x: shapes.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("shape").alias(f"shape_{x}"))
-    near = pairs.join(shape("b").hint("merge"), "b").join(shape("a").hint("merge"), "a")
+def near_pairs(pairs: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
+    """The raised pairs (a, b) that share enough prefix tokens and whose overlap may be large enough.
+
+    shapes: doc_id, n, shape, raised, p, m, boiler. A pair must show the smaller
+    m of its two (two boilerplates: 1) among the first p + m - 1 prefix tokens
+    of each; whole sets are not needed for that.
+    """
+    side = lambda x: shapes.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "shape", "raised", "p", "m", "boiler")])
+    near = pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a")
+    m = F.when(F.col("boiler_a") & F.col("boiler_b"), 1).otherwise(F.least("m_a", "m_b"))
+    cut = lambda x: F.slice(f"raised_{x}", F.lit(1), F.col(f"p_{x}") + m - 1)
+    matched = F.size(F.array_intersect(cut("a"), cut("b"))) >= m
     most = F.aggregate(F.zip_with("shape_a", "shape_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x).cast("long")
-    near = written(near.where(most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent).select("a", "b"), "candidates")
+    return near.where(matched & (most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, shapes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar enough; whole sets are made for documents only that pass near_pairs."""
+    near = written(near_pairs(pairs, shapes, percent), "candidates")
     if near.isEmpty():
         return near
-    wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(full_sets(docs, written(wanted, "wanted"), counts, n, percent), "sets")
-    side = lambda x: sets.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("p", "m", "boiler", "prefix", "grams")])
+    wanted = written(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    sets = written(full_sets(docs, wanted, n), "sets")
+    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("grams").alias(f"grams_{x}"))
     whole = near.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a")
-    m = F.when(F.col("boiler_a") & F.col("boiler_b"), 1).otherwise(F.least("m_a", "m_b"))
-    cut = lambda x: F.slice(f"prefix_{x}", F.lit(1), F.col(f"p_{x}") + m - 1)
-    matched = F.size(F.array_intersect(cut("a"), cut("b"))) >= m
     both = F.size(F.array_intersect("grams_a", "grams_b"))
     union = F.size("grams_a") + F.size("grams_b") - both
-    out = written(whole.where(matched & (both * 100 >= union * percent)).select("a", "b"), "verified")
-    drop_scratch(sets)
+    out = written(whole.where(both * 100 >= union * percent).select("a", "b"), "verified")
+    drop_scratch(near, wanted, sets)
     return out
 
 
@@ -294,7 +325,10 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets. class_id is the smallest id with the same set, component_id the
     smallest id that links reach. Empty sets link with nothing and are classes
     of their own. Rows that repeat an id count once; rows without an id are
-    left out; other columns are not read. An empty table gives an empty table.
+    left out; other columns are not read. A null or empty text is an empty set;
+    texts of any length are read whole, a bounded number of bytes at a time.
+    Ties need no rule: a link is exact arithmetic on whole numbers. An empty
+    table gives an empty table.
     """
     spark = docs.sparkSession
     arrow_rows(spark)
@@ -303,13 +337,14 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wide = written(sketches(docs, counts, n, percent), "sketches")
     classes = wide.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("class_id"))
     classes = written(classes, "classes")
-    reps = wide.select("doc_id", "n", "shape", "raised", "indexed", "cold").join(classes.select(F.col("class_id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+    reps = wide.select("doc_id", "n", "shape", "raised", "indexed", "cold", "p", "m", "boiler").join(classes.select(F.col("class_id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     reps = written(reps, "representatives")
     sketch = written(wide.select("doc_id", "n", "s1", "s2"), "documents")
     drop_scratch(wide)
-    groups, shapes = _postings(reps, percent).withColumn("comp", F.col("doc_id")), reps.select("doc_id", "n", "shape")
+    postings = _postings(reps, percent)
+    groups, shapes = postings.withColumn("comp", F.col("doc_id")), reps.select("doc_id", "n", "shape", "raised", "p", "m", "boiler")
 
-    key, links, comp = ["token", "size"], None, None
+    key, links, comp, old = ["token", "size"], None, None, [reps]
     side = lambda x: groups.select(*key, *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "index", "hot", "comp")])
     for turn in range(ROUNDS + 1):
         if turn < ROUNDS:
@@ -324,7 +359,8 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         enough = (F.col("hot_a") == 0) | (F.least("hot_a", "hot_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
         pairs = pairs.where(fits & meet & enough & (F.col("comp_a") != F.col("comp_b")))
         pairs = pairs.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
-        found = _verified(pairs, shapes, docs, counts, n, percent)
+        found = _verified(pairs, shapes, docs, n, percent)
+        old.append(found)
         links = found if links is None else links.unionByName(found)
         comp = written(components(links), "components")
         if turn < ROUNDS:
@@ -333,9 +369,12 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rest = rest.join(comp.hint("merge"), rest["doc_id"] == comp["node"], "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("node", "component")
             apart = rest.groupBy(*key).agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.bool_or("index").alias("i")).where("x != y and i").select(*key)
             groups = written(rest.join(apart.hint("merge"), key), "groups")
+            old += [groups, comp]
             if groups.isEmpty():
                 break
     out = sketch.select("doc_id", "n", "s1", "s2").join(classes.hint("merge"), ["s1", "s2", "n"], "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     out = out.join(comp.hint("merge"), out["class_id"] == comp["node"], "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    return out.dropDuplicates(["doc_id"])
+    out = written(out.dropDuplicates(["doc_id"]), "joined")
+    drop_scratch(sketch, classes, comp, postings, *[t for t in old if t is not comp])
+    return out

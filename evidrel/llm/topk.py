@@ -1,12 +1,9 @@
-"""Exact top-k search with one KD-tree for each shard.
+"""Exact top-k search with one KD-tree for each part of a shard.
 
-Vectors are dealt to spatial shards by the upper levels of a KD-tree whose
-median splits come from a bounded sample; every row is dealt and searched. A
-shard larger than ``shard_rows`` (one vector may be very common) is split
-further by a hash of the id. Each task builds the tree of its shard: median
-splits on the widest side, tight bounding boxes. A query first searches the
-shard it lies in; its kth score there goes along to all other shards, where the
-best-first traversal ends as soon as no box can hold a score as good.
+Each task builds the tree of its part (``shards`` says how vectors are dealt):
+median splits on the widest side, tight bounding boxes. A query first searches
+the part it lies in; its kth score there goes along to the shards whose box can
+hold a score as good, where the best-first traversal ends as soon as no box can.
 
 Nearness is the inner product: of a box, the largest possible product bounds it.
 """
@@ -14,20 +11,13 @@ Nearness is the inner product: of a box, the largest possible product bounds it.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
 
-from evidrel.llm.blocks import BLOCK_ROWS, SHARD_ROWS, matrix
-from evidrel.llm.common import arrow_rows, written
+from evidrel.llm.shards import BLOCK_ROWS, SHARD_ROWS, search
 
 LEAF = 512
-#: Vectors in the sample that places the upper splits, and shards at most.
-FIT_ROWS, MOST_SHARDS = 8192, 4096
 
 
 class Tree:
@@ -55,7 +45,7 @@ class Tree:
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
         """The largest product of each query with any point of each node's box."""
-        return np.maximum(q, 0) @ self.hi.T + np.minimum(q, 0) @ self.lo.T
+        return box_bounds(q, self.lo, self.hi)
 
     def search(self, q: np.ndarray, bound: np.ndarray, ids: np.ndarray, own: int, k: int, kth: float) -> tuple[np.ndarray, np.ndarray]:
         """Scores and ids of the rows that may be among q's k best, given that k rows elsewhere reach kth."""
@@ -85,109 +75,31 @@ class Tree:
         return (np.concatenate(found_s), np.concatenate(found_i)) if found_s else (np.zeros(0), np.zeros(0, np.int64))
 
 
-class Splits:
-    """The upper levels: which shard a vector lies in."""
-
-    def __init__(self, sample: np.ndarray, shards: int):
-        self.nodes: list[tuple[int, float, int, int]] = []
-        self.shards = 0
-        if len(sample):
-            self._split(sample, shards)
-
-    def _split(self, x: np.ndarray, shards: int) -> int:
-        side = int((x.max(axis=0) - x.min(axis=0)).argmax())
-        cut = float(np.median(x[:, side]))
-        left = x[:, side] <= cut
-        if shards <= 1 or left.all():
-            self.shards += 1
-            return -self.shards
-        me = len(self.nodes)
-        self.nodes.append((side, cut, 0, 0))
-        a = self._split(x[left], shards // 2)
-        b = self._split(x[~left], shards - shards // 2)
-        self.nodes[me] = (side, cut, a, b)
-        return me
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(x), np.int64) if self.nodes else np.full(len(x), -1)
-        while len(live := np.flatnonzero(at >= 0)):
-            for node in np.unique(at[live]):
-                side, cut, a, b = self.nodes[node]
-                rows = live[at[live] == node]
-                at[rows] = np.where(x[rows, side] <= cut, a, b)
-        return -at - 1
-
-
-def _work(k: int):
-    def work(_: tuple, asked: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(shard):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        tree = Tree(matrix(shard["v"]))
-        ids, q = shard["vec_id"].to_numpy()[tree.order], matrix(asked["v"])
-        bound, out = tree.bounds(q), []
-        for r, own, kth in zip(range(len(q)), asked["vec_id"], asked["kth"], strict=True):
-            s, i = tree.search(q[r], bound[r], ids, own, k, kth)
-            top = np.lexsort((i, -s))[:k]
-            out.append(pd.DataFrame({"query_id": own, "vec_id": i[top], "score": s[top]}))
-        return pd.concat(out)
-
-    return work
+def box_bounds(q: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The largest product of each query with any point of each box."""
+    return np.maximum(q, 0) @ hi.T + np.minimum(q, 0) @ lo.T
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows with the largest inner product of each query.
 
     vectors has (vec_id, v) with finite components; rows that satisfy
-    ``queries`` are the queries, every other row of their dimension is a
+    ``queries`` are the queries, every other id of their dimension is a
     candidate. Ties go to the smaller id; fewer than k candidates give all of
-    them; rows that repeat an id are candidates each, but never of that id's
-    query. An empty table gives an empty result.
+    them; of rows that repeat an id the one with the smallest vector takes part;
+    other columns are not read. An empty table gives an empty result.
     """
-    spark = vectors.sparkSession
-    arrow_rows(spark)
-    sized = vectors.withColumn("dim", F.size("v")).withColumn("asks", queries)
-    totals = sized.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    n = totals["count"] if totals else 0
-    shards = min(MOST_SHARDS, max(1, -(-n // shard_rows)))
-    share = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 20)) < int(min(1.0, FIT_ROWS / max(n, 1)) * (1 << 20))
-    sample = sized.where(share & (F.col("dim") == (totals["dim"] if totals else 0))).select("vec_id", "v").toPandas()
-    splits = Splits(matrix(sample.sort_values("vec_id")["v"]) if len(sample) else np.zeros((0, 1)), shards)
-    dim = totals["dim"] if totals else 0
-
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            at = np.zeros(len(f), np.int64)
-            usual = np.flatnonzero((f["dim"] == dim).to_numpy())
-            if len(usual):
-                at[usual] = splits(matrix(f["v"].iloc[usual]))
-            yield f.assign(shard=at)
-
-    placed = sized.mapInPandas(place, "vec_id long, v array<double>, dim int, asks boolean, shard long")
-    placed = written(placed, "placed")
-    # rows of each shard: at most MOST_SHARDS for each dimension
-    sizes = placed.groupBy("dim", "shard").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("asks").cast("int")).alias("q"))
-    sizes = written(sizes.select("dim", "shard", F.ceil(F.col("n") / shard_rows).cast("int").alias("subs"), F.ceil(F.greatest(F.col("q"), F.lit(1)) / block_rows).cast("int").alias("own_blocks")), "shards")
-    placed = placed.join(sizes, ["dim", "shard"]).withColumn("sub", F.pmod(F.xxhash64("vec_id"), F.col("subs")).cast("int"))
-    salt = lambda c: F.pmod(F.xxhash64("vec_id", F.lit(1)), c).cast("int")
-    keys, found = ["dim", "shard", "sub", "block"], "query_id long, vec_id long, score double"
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.lit(c) - 1 if isinstance(c, int) else F.col(c) - 1))
-
-    parts = ["vec_id", "v", "dim", "shard", "sub"]
-    renewed = lambda *more: placed.where("asks").select(*[F.col(c).alias(c) for c in parts], *more)  # noqa: E731  own attributes, so that both sides of a cogroup differ
-    asked = renewed(salt(F.col("own_blocks")).alias("block"), F.lit(float("-inf")).alias("kth"))
-    whole = placed.select(*parts, every("own_blocks").alias("block"))
-    home = asked.groupBy(*keys).cogroup(whole.groupBy(*keys)).applyInPandas(_work(k), found)
-    home = written(home, "home")
-    kth = home.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("known"))
-    # the kth score goes along to all other shards
-    q = sized.where("asks").count()
-    blocks = max(1, -(-q // block_rows))
-    asked = renewed().join(kth.hint("merge"), "vec_id", "left").withColumn("kth", F.coalesce("known", F.lit(float("-inf"))))
-    asked = asked.withColumn("block", salt(F.lit(blocks))).select("vec_id", "v", "dim", "kth", "block", F.col("shard").alias("own_shard"), F.col("sub").alias("own_sub"))
-    others = sizes.select("dim", "shard", every("subs").alias("sub"))
-    asked = asked.join(others, "dim").where("shard != own_shard or sub != own_sub")
-    whole = placed.select(*parts, every(blocks).alias("block"))
-    away = asked.groupBy(*keys).cogroup(whole.groupBy(*keys)).applyInPandas(_work(k), found)
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = home.unionByName(away).withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
-    return out.select("query_id", "rank", "vec_id", "score")
+
+    def work(own: np.ndarray, q: np.ndarray, kth: np.ndarray, ids: np.ndarray, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        tree = Tree(x)
+        ids, out = ids[tree.order], []
+        for lo in range(0, len(q), 1024):  # bounds of so many queries are held at a time
+            bound = tree.bounds(q[lo : lo + 1024])
+            for r in range(lo, min(lo + 1024, len(q))):
+                s, i = tree.search(q[r], bound[r - lo], ids, own[r], k, kth[r])
+                top = np.lexsort((i, -s))[:k]
+                out.append((s[top], i[top]))
+        return out
+
+    reaches = lambda q, kth, lo, hi: box_bounds(q, lo, hi) >= (kth - 1e-9 * np.abs(np.where(np.isfinite(kth), kth, 0)))[:, None]
+    return search(vectors, queries, k, work, lambda x: x, reaches, shard_rows, block_rows)

@@ -431,7 +431,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     are not read; an empty table gives an empty table.
     """
     spark = pages.sparkSession
-    arrow_rows(spark, 500)
+    arrow_rows(spark)
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host.alias("host"))
     counts = rows.groupBy("host").count()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from evidrel.llm import ann, graph, jaccard, topk
-from evidrel.llm.blocks import usable
+from evidrel.llm.shards import usable
 
 
 def grams(text, n):
@@ -71,7 +71,7 @@ def _adapted(hot, costly):
     """The function with other constants, for workers that import the module anew."""
     was = jaccard.adapted
 
-    def adapted(s, excess, percent):
+    def adapted(s, excess, percent, bound=None):
         from evidrel.llm import jaccard as j
 
         j.HOT, j.COSTLY = hot, costly
@@ -201,3 +201,70 @@ def test_pipeline_on_an_empty_table(spark):
 def test_every_operator_is_registered():
     names = entry.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+def repeated_vectors(spark, kinds):
+    """Every id twice: once with its own vector, once with one that is larger in the first component."""
+    x = vectors(6, 400, 16) if kinds == "real" else np.floor(vectors(6, 400, 16) * 8)
+    rows = [(int(i) * 4, v.tolist()) for i, v in enumerate(x)]
+    rows += [(i, [v[0] + 1, *v[1:]]) for i, v in rows] + rows[:50]
+    return x, spark.createDataFrame(rows, "vec_id long, v array<double>")
+
+
+def test_repeated_ids_ask_once_and_are_found_once(spark):
+    x, df = repeated_vectors(spark, "whole")
+    want, got = brute_top(np.arange(len(x)) * 4, x, 7, lambda i: i % 20 == 0), {}
+    for r in topk.top_k(df, F.col("vec_id") % 20 == 0, 7, shard_rows=60, block_rows=5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert {q: [v[1:] for v in sorted(rows)] for q, rows in got.items()} == want
+    x, df = repeated_vectors(spark, "real")
+    rows = ann.nearest(df, F.col("vec_id") % 20 == 0, 7, shard_rows=150).collect()
+    assert len(rows) == len({(r.query_id, r.vec_id) for r in rows}) == len({(r.query_id, r.rank) for r in rows}) == 7 * 80
+    assert all(abs(r.score - x[r.vec_id // 4] @ x[r.query_id // 4]) < 1e-9 for r in rows)
+
+
+def test_queries_go_only_to_shards_that_can_answer(spark):
+    """Tight clusters far apart: what is searched beyond a query's own shard stays linear."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(16, 8)) * 100
+    x = np.vstack([c + rng.normal(scale=0.5, size=(100, 8)) for c in centres])
+    lo, hi = x.reshape(16, 100, 8).min(axis=1), x.reshape(16, 100, 8).max(axis=1)
+    q = x[::100]
+    kth = np.array([np.sort(x[100 * i : 100 * i + 100] @ v)[-6] for i, v in enumerate(q)])
+    open_to = topk.box_bounds(q, lo, hi) >= kth[:, None]
+    assert all(open_to[i, i] for i in range(16)) and open_to.sum() <= 64
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    at = ann.projected(unit, 1.0).reshape(16, 100, -1)
+    kth = np.array([np.sort(unit[100 * i : 100 * i + 100] @ v)[-6] for i, v in enumerate(unit[::100])])
+    open_to = ann.reaches(unit[::100], kth, at.min(axis=1), at.max(axis=1), 1.0)
+    assert all(open_to[i, i] for i in range(16)) and open_to.sum() <= 64
+
+
+def test_prefix_matches_cut_candidates_before_sets_are_made(spark, monkeypatch):
+    """Pairs that share fewer prefix tokens than they must show go, and no link with them."""
+    monkeypatch.setattr(jaccard, "COSTLY", (3, 10))
+    monkeypatch.setattr(jaccard, "adapted", _adapted(10**6, (3, 10)))
+    rows = near_rows(11, alone=120)
+    docs = spark.createDataFrame([(i, t) for i, t in rows if t], "doc_id long, text string")
+    counts = jaccard.token_counts(docs, 1)
+    made = jaccard.sketches(docs, counts, 1, 50).where("n > 0").cache()
+    assert len({r.m for r in made.select("m").distinct().collect()}) > 1
+    ids = [r.doc_id for r in made.collect()]
+    pairs = spark.createDataFrame([(a, b) for a in ids for b in ids if a < b], "a long, b long")
+    near = {(r.a, r.b) for r in jaccard.near_pairs(pairs, made, 50).collect()}
+    without = {(r.a, r.b) for r in jaccard.near_pairs(pairs, made.withColumns({"m": F.lit(0), "boiler": F.lit(False)}), 50).collect()}
+    sets = {i: grams(t, 1) for i, t in rows}
+    linked = {(a, b) for a, b in without if 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    assert linked <= near < without
+
+
+def test_chance_makes_no_token_hot_in_a_large_corpus():
+    """With a mean counter of 5000 and more, as 35 GB and more give, boilerplate and dear prefixes stay rare."""
+    rng = np.random.default_rng(1)
+    for mean in (5000, 14_000_000):
+        counts = rng.poisson(mean, jaccard.BUCKETS).astype(np.int64)
+        counts[:50] += 40 * int(np.sqrt(mean))  # tokens that are truly frequent
+        excess, bound = jaccard._excess(counts), jaccard.hot_bound(counts)
+        made = [jaccard.adapted(np.unique(rng.integers(0, 1 << 64, 400, dtype=np.uint64)), excess, 90, bound) for _ in range(400)]
+        assert np.mean([boiler for _, _, boiler, _, _ in made]) < 0.01 and np.mean([m > 1 for _, m, _, _, _ in made]) < 0.05
+        assert (excess[:50] > bound).mean() > 0.95
