@@ -46,9 +46,9 @@ from evidrel.llm.graph import components
 
 #: Counters of the token sketch: its size does not depend on the corpus.
 BUCKETS = 1 << 20
-#: A token whose counter lies so far above the mean and its noise is hot: this, or as many roots of the mean, if that is more.
-HOT, NOISE = 64, 3
-#: Summed counts above the mean and its noise of a base prefix from which two or three matches are asked for.
+#: A token whose counter lies so far above the mean is hot: this, or so many roots of the mean (its noise), if that is more.
+HOT, NOISE = 64, 6
+#: Summed counts above the mean of a base prefix, beyond what noise adds up to, from which two or three matches are asked for.
 COSTLY = (2000, 20000)
 LONGEST = len(COSTLY) + 1
 #: Hash ranges whose token counts bound the overlap of two sets.
@@ -169,19 +169,25 @@ def ordered(s: np.ndarray, excess: np.ndarray, most: int) -> tuple[np.ndarray, n
     return s[at], c[at]
 
 
-def hot_bound(counts: np.ndarray) -> int:
-    """Grows with the noise of a counter, the root of the mean, so that chance makes no token hot in a corpus of any size."""
-    return max(HOT, int(NOISE * np.sqrt(counts.mean())))
+def noise(counts: np.ndarray) -> tuple[int, float]:
+    """From which excess a token is hot, and the deviation of a counter.
+
+    Both grow with the root of the mean, so that chance makes no token hot and
+    no prefix dear in a corpus of any size.
+    """
+    sd = float(np.sqrt(counts.mean()))
+    return max(HOT, int(NOISE * sd)), sd
 
 
-def adapted(s: np.ndarray, excess: np.ndarray, percent: int, bound: int | None = None) -> tuple[int, int, bool, np.ndarray, np.ndarray]:
+def adapted(s: np.ndarray, excess: np.ndarray, percent: int, bound: int | None = None, sd: float = 0.0) -> tuple[int, int, bool, np.ndarray, np.ndarray]:
     """Of one set: base prefix length p, m, whether it is boilerplate, its prefix of p + m - 1 tokens, which are hot."""
     if not len(s):
         return 0, 1, False, s, np.zeros(0, bool)
     p = prefix_size(len(s), percent)
     t, c = ordered(s, excess, min(len(s), p + LONGEST - 1))
     hot = c > (HOT if bound is None else bound)
-    m = 1 + sum(int(c[:p].sum()) > x for x in COSTLY)
+    # the sum of p positive parts of noise is .4 p deviations, give or take .6 of its root
+    m = 1 + sum(int(c[:p].sum()) > x + sd * (0.4 * p + 2.5 * p**0.5) for x in COSTLY)
     boiler = bool(hot[:p].any())
     while m > 1 and hot[: p + m - 1].any():
         m -= 1
@@ -199,10 +205,10 @@ def sketches(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataF
     for. A hot token that boilerplate raises is marked by other bits, so it
     meets only its like.
     """
-    excess = docs.sparkSession.sparkContext.broadcast((_excess(counts), hot_bound(counts)))  # BUCKETS numbers
+    excess = docs.sparkSession.sparkContext.broadcast((_excess(counts), *noise(counts)))  # BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        above, bound = excess.value
+        above, bound, sd = excess.value
         for whole in batches:
             for b, sets in set_blocks(whole, n):
                 size = np.array([len(s) for s in sets], np.int64)
@@ -210,7 +216,7 @@ def sketches(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataF
                 s2 = np.array([mix64(s ^ _ODD[14]).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 raised, indexed, cold, made = [], [], [], []
                 for s in sets:
-                    p, m, boiler, t, h = adapted(s, above, percent, bound)
+                    p, m, boiler, t, h = adapted(s, above, percent, bound, sd)
                     marked = np.where(h, t ^ _ODD[13], t)
                     # hot tokens come last in the order; boilerplate raises those of its base prefix only, and all its cold ones are found
                     k, first = int((~h).sum()), index_size(len(s), percent) if len(s) else 0
@@ -227,8 +233,7 @@ def sketches(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataF
 
 
 def _excess(counts: np.ndarray) -> np.ndarray:
-    """Counts above the mean and its noise."""
-    return np.clip(counts - int(counts.mean() + NOISE * np.sqrt(counts.mean())), 0, (1 << 23) - 1).astype(np.int32)
+    return np.clip(counts - int(counts.mean()), 0, (1 << 23) - 1).astype(np.int32)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:

@@ -1,13 +1,14 @@
 """Mixing sources to target weights with soft domain membership.
 
 A labelled table says for some documents which domain they belong to. A naive
-Bayes classifier over hashed words, counted from a bounded sample of them, gives
-every document a posterior over the domains. Document rates r >= 0 are then
-fitted so that the expected tokens of each domain, the sum of r * tokens *
-posterior, meet the target totals: least squares by projected gradient steps
-from r = 1, with the projection applied lazily (r = max(0, 1 - posterior . u),
-u being the sum of all steps) and the steps scaled by the inverse Gram matrix
-of the posteriors. A step needs one aggregate of a few numbers.
+Bayes classifier over hashed words, counted from a bounded sample of them and
+calibrated on a part of it that is kept out of the counts, gives every document
+a posterior over the domains. Document rates r >= least >= 0 are then fitted so
+that the expected tokens of each domain, the sum of r * tokens * posterior, meet
+the target totals: least squares by projected gradient steps from r = 1, with
+the projection applied lazily (r = max(least, 1 - posterior . u), u being the
+sum of all steps) and the steps scaled by the inverse Gram matrix of the
+posteriors whose rates are free. A step needs one aggregate of a few numbers.
 
 Everything is DataFrame code. What the driver holds is the word table (buckets
 by domains) and one vector by domain.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from evidrel.llm.common import hashed_sample, written
 
 #: Hashed words of the classifier.
-WORDS = 4096
+WORDS = 16_384
 #: Steps at most, and the relative miss of the targets that ends the fit.
 STEPS, CLOSE = 40, 1e-3
 #: Labelled documents of each domain that the word weights are counted from at most.
@@ -45,95 +46,141 @@ def constant_array(values: list[float]) -> Column:
     return F.from_json(F.lit(json.dumps(values)), "array<double>")
 
 
-def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str, text_col: str, sample: int = FIT_DOCS) -> tuple[list[list[float]], list[float]]:
-    """Log weights of each word bucket from at most ``sample`` labelled documents of each domain, and prior logs from all labels."""
+#: What word weights may be shrunk by, and powers of a text's length and factors that their sum may be divided by; calibration takes the best.
+SHRINKS, POWERS, FACTORS = (0.0, 0.7, 1.4, 2.1), (0.0, 0.25, 0.5, 0.75, 1.0), tuple(2.0**k for k in range(-3, 6))
+
+
+def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str, text_col: str, sample: int = FIT_DOCS) -> tuple[list[list[float]], list[float], float, float]:
+    """Log weights of each word bucket, prior logs from all labels, and the power of the length and the factor that temper a text's weights.
+
+    The weights are counted from at most ``sample`` labelled documents of each
+    domain; every fourth of them is kept out and says how much of small weights
+    (which a language or a subject has rather than a domain) is dropped, and how
+    far the summed weights of a text can be trusted: the least log loss over
+    SHRINKS, POWERS and FACTORS.
+    """
     known = labelled.select(F.col(id_col), F.col("domain")).where(F.col("domain").isin(domains))
-    chosen = hashed_sample(known, id_col, F.col("domain"), sample).select(id_col, "domain")
+    chosen = hashed_sample(known, id_col, F.col("domain"), sample).select(id_col, "domain", (F.pmod(F.xxhash64(F.col(id_col), F.lit("aside")), F.lit(4)) == 0).alias("aside"))
     # sample narrow rows of each domain at most: texts are not shuffled
-    words = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select("domain", F.explode(word_buckets(F.col(text_col))).alias("w"))
-    seen = words.groupBy("domain", "w").count()
+    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select("domain", "aside", word_buckets(F.col(text_col)).alias("words"))
+    seen = rows.where(~F.col("aside")).select("domain", F.explode("words").alias("w")).groupBy("domain", "w").count()
     counts = {d: [SMOOTH] * WORDS for d in domains}
     for r in seen.collect():  # at most WORDS rows for each domain
         counts[r["domain"]][r["w"] - 1] += r["count"]
-    rows = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
-    total = sum(rows.values()) + len(domains)
+    total = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
+    prior = [math.log((total.get(d, 0) + 1) / (sum(total.values()) + len(domains))) for d in domains]
     logs = []
     for d in domains:
         s = sum(counts[d])
         logs.append([math.log(c / s) for c in counts[d]])
     mean = [sum(v) / len(domains) for v in zip(*logs, strict=True)]
     logs = [[round(x - m, 6) for x, m in zip(v, mean, strict=True)] for v in logs]
-    return logs, [math.log((rows.get(d, 0) + 1) / total) for d in domains]
+    shrunk = [[[round(math.copysign(max(abs(x) - by, 0.0), x), 6) for x in v] for v in logs] for by in SHRINKS]
+    held = rows.where("aside").select("domain", F.size("words").alias("tokens"), *[weight_sums("words", w).alias(f"s{i}") for i, w in enumerate(shrunk)]).limit(sample * len(domains)).collect()
+    loss, best = math.inf, (0, 0.5, 1.0)
+    for i in range(len(SHRINKS) if held else 0):
+        got, power, factor = calibrated([(r["domain"], r["tokens"], list(r[f"s{i}"])) for r in held], domains, prior)
+        if got < loss:
+            loss, best = got, (i, power, factor)
+    return shrunk[best[0]], prior, *best[1:]
+
+
+def calibrated(held: list[tuple[str, int, list[float]]], domains: list[str], prior: list[float]) -> tuple[float, float, float]:
+    """Log loss of labelled rows (domain, tokens, sums), and the power and the factor that make it least; each domain counts alike."""
+    y = np.array([domains.index(d) for d, *_ in held])
+    s, n = np.array([x for *_, x in held], float), np.maximum([n for _, n, _ in held], 1)
+    weight = (1 / np.bincount(y, minlength=len(domains)).clip(1))[y]
+    best = (math.inf, 0.5, 1.0)
+    for power in POWERS:
+        for factor in FACTORS:
+            z = np.array(prior) + s / (factor * n**power)[:, None]
+            best = min(best, (float((weight * (np.logaddexp.reduce(z, axis=1) - z[np.arange(len(y)), y])).sum()), power, factor))
+    return best
+
+
+def weight_sums(words: Column | str, logs: list[list[float]]) -> Column:
+    """Struct d0, d1, ...: the summed log weights of a text's words in each domain."""
+    tables = [constant_array(v) for v in logs]
+    start = F.struct(*[F.lit(0.0).alias(f"d{k}") for k in range(len(logs))])
+    return F.aggregate(words, start, lambda s, w: F.struct(*[(s[f"d{k}"] + F.element_at(t, w)).alias(f"d{k}") for k, t in enumerate(tables)]))
 
 
 def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, tokens, p): words of each document and its posterior, in the order of domains.
 
-    The log weights of a document are divided by the root of its number of
-    words, so that long texts keep a soft membership. A text without words has
-    the prior; without labelled rows the posterior is uniform.
+    A text without words has the prior; without labelled rows the posterior is
+    uniform.
     """
-    logs, prior = classifier(docs, labelled, domains, id_col, text_col)
-    tables = [constant_array(v) for v in logs]
-    start = F.struct(*[F.lit(0.0).alias(f"d{k}") for k in range(len(domains))])
-    add = lambda s, w: F.struct(*[(s[f"d{k}"] + F.element_at(t, w)).alias(f"d{k}") for k, t in enumerate(tables)])
+    logs, prior, power, factor = classifier(docs, labelled, domains, id_col, text_col)
     rows = docs.select(F.col(id_col), word_buckets(F.col(text_col)).alias("words"))
-    rows = rows.select(id_col, F.size("words").cast("long").alias("tokens"), F.aggregate("words", start, add).alias("s"))
-    z = [F.lit(prior[k]) + F.col(f"s.d{k}") / F.sqrt(F.greatest(F.col("tokens"), F.lit(1))) for k in range(len(domains))]
-    rows = rows.withColumn("z", F.array(*z)).withColumn("e", F.transform("z", lambda x: F.exp(x - F.array_max("z"))))
+    rows = rows.select(id_col, F.size("words").cast("long").alias("tokens"), weight_sums("words", logs).alias("s"))
+    temper = factor * F.pow(F.greatest(F.col("tokens"), F.lit(1)).cast("double"), F.lit(power))
+    rows = rows.withColumn("z", F.array(*[F.lit(prior[k]) + F.col(f"s.d{k}") / temper for k in range(len(domains))]))
+    rows = rows.withColumn("e", F.transform("z", lambda x: F.exp(x - F.array_max("z"))))
     return rows.select(id_col, "tokens", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, b: a + b)).alias("p"))
 
 
-def rate(p: Column, u: list[float]) -> Column:
-    """max(0, 1 - p . u)"""
-    return F.greatest(F.lit(0.0), F.lit(1.0) - sum(F.element_at(p, k + 1) * F.lit(x) for k, x in enumerate(u)))
+def rate(p: Column, u: list[float], least: Column) -> Column:
+    """max(least, 1 - p . u)"""
+    return F.greatest(least, F.lit(1.0) - sum(F.element_at(p, k + 1) * F.lit(x) for k, x in enumerate(u)))
 
 
-def fit_rates(members: DataFrame, weights: list[float]) -> tuple[list[float], list[float]]:
-    """u of the fitted rates, and the reached part of the tokens for each domain.
+def fit_rates(members: DataFrame, weights: list[float], anchor: int | None = None) -> tuple[list[float], list[float], list[float]]:
+    """u of the fitted rates, and the reached and the wanted part of all tokens for each domain.
 
-    members has (tokens, p). The targets are ``weights``, which must sum to 1,
-    times all tokens. A domain without any membership cannot be reached; the
-    rest then is met as well as least squares allows.
+    members has (tokens, p, least). The targets are ``weights``, which must sum
+    to 1, times all tokens; with an anchor, times so many that the target of that
+    domain is what it has at rate 1. A domain without any membership cannot be
+    reached, nor can targets below what least rates hold; the rest then is met
+    as well as least squares allows.
     """
     n = len(weights)
     part = lambda k: F.element_at("p", k + 1)
-    gram = members.agg(F.sum("tokens").alias("n"), *[F.sum(F.col("tokens") * part(i) * part(j)).alias(f"g{i}_{j}") for i in range(n) for j in range(i, n)]).first()
-    total = float(gram["n"] or 0)
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    now = members.agg(F.sum("tokens").alias("n"), *[F.sum(F.col("tokens") * part(i)).alias(f"m{i}") for i in range(n)]).first()
+    total = float(now["n"] or 0)
     if not total:
-        return [0.0] * n, [0.0] * n
-    g = np.array([[gram[f"g{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)]) / total
-    scale = np.linalg.pinv(g, rcond=1e-6)
-    u, reached = np.zeros(n), np.zeros(n)
-    best = (math.inf, u)
+        return [0.0] * n, [0.0] * n, [0.0] * n
+    wanted = np.array(weights)
+    if anchor is not None and weights[anchor] > 0:
+        wanted = wanted * (now[f"m{anchor}"] / total / weights[anchor])
+    u, size, best = np.zeros(n), 1.0, (math.inf, np.zeros(n), np.zeros(n), np.eye(n))
     for _ in range(STEPS):
-        r = rate(F.col("p"), u.tolist())
-        got = members.agg(*[F.sum(F.col("tokens") * r * part(k)).alias(f"a{k}") for k in range(n)]).first()
+        r = rate(F.col("p"), u.tolist(), F.col("least"))
+        free = F.when(rate(F.col("p"), u.tolist(), F.lit(-1e300)) >= F.col("least"), F.col("tokens")).otherwise(0)
+        got = members.agg(*[F.sum(F.col("tokens") * r * part(k)).alias(f"a{k}") for k in range(n)], *[F.sum(free * part(i) * part(j)).alias(f"g{i}_{j}") for i, j in pairs]).first()
         reached = np.array([got[f"a{k}"] for k in range(n)]) / total
-        miss = reached - np.array(weights)
-        size = float(np.abs(miss).max())
-        if size < best[0]:
-            best = (size, u.copy(), reached)
-        if size < CLOSE:
+        error = float(np.abs(reached - wanted).max())
+        if error < best[0]:
+            gram = np.array([[got[f"g{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)]) / total
+            best, size = (error, u, reached, np.linalg.pinv(gram, rcond=1e-6)), min(1.0, 2 * size)
+        else:  # the step was too long: other rates came to their least
+            size /= 4
+        if error < CLOSE or size < 1e-4:
             break
-        u = u + scale @ miss
-    return best[1].tolist(), best[2].tolist()
+        u = best[1] + size * best[3] @ (best[2] - wanted)
+    return best[1].tolist(), best[2].tolist(), wanted.tolist()
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
     """(id, tokens, p, rate, copies) for every row of docs.
 
-    weights maps each domain (at most 32) to its part of all tokens. ``copies``
-    realises the rate: its whole part, and one more where a hash of the id lies
-    below the rest, so its expectation is the rate. Null and empty texts have no
-    tokens, the prior as posterior and the rate that follows from it; rows that
-    repeat an id get equal decisions if their texts are equal; an empty table
-    gives an empty table.
+    weights maps each domain (at most 32) to its part of all tokens. ``keep``
+    names a domain none of whose documents may go: what most probably belongs to
+    it has a rate of at least 1 (the set that rates are projected on), and the
+    targets are scaled so that the domain keeps its tokens. ``copies`` realises
+    the rate: its whole part, and one more where a hash of the id lies below the
+    rest, so its expectation is the rate. Null and empty texts have no tokens,
+    the prior as posterior and the rate that follows from it; rows that repeat
+    an id get equal decisions if their texts are equal; equal posteriors (ties)
+    get equal rates; an empty table gives an empty table.
     """
     domains = sorted(weights)
     total = sum(weights.values())
-    members = written(posteriors(docs, labelled, domains, id_col, text_col), "members")
-    u, _ = fit_rates(members, [weights[d] / total for d in domains])
+    anchor = domains.index(keep) if keep else None
+    least = F.lit(0.0) if anchor is None else F.when(F.element_at("p", anchor + 1) >= F.array_max("p"), 1.0).otherwise(0.0)
+    members = written(posteriors(docs, labelled, domains, id_col, text_col).withColumn("least", least), "members")
+    u, *_ = fit_rates(members, [weights[d] / total for d in domains], anchor)
     chance = F.pmod(F.xxhash64(F.col(id_col), F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    out = members.withColumn("rate", rate(F.col("p"), u))
+    out = members.withColumn("rate", rate(F.col("p"), u, F.col("least"))).drop("least")
     return out.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))

@@ -4,8 +4,11 @@ Pages of one host are aligned with each other, a bounded number at a time: their
 DOM trees, with runs of equal siblings folded, are matched to a reference page
 by simple tree matching (the largest common top-down tree that keeps the order
 of siblings). Nodes whose text is the same on most of the aligned pages become
-the template; slots whose text varies become content. The main text is the
-article element, or else the subtree that gathers most of the varying text,
+the template, and so does a member of a run whose text is in that run on most of
+them; slots whose text varies become content. Pages with the same main text say
+nothing about what is constant in it and count once; on a page most of whose
+main text would go it is not template but a copy, and stays. The main text is
+the article element, or else the subtree that gathers most of the varying text,
 without the parts that page markup declares as menus, notices and the like.
 """
 
@@ -13,27 +16,28 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidrel.llm.common import arrow_rows
+from evidrel.llm.common import arrow_rows, written
 
 #: Pages aligned at a time, and pages of a host in one task's share.
 ALIGNED, SHARE = 64, 256
-#: A host with more than this part of all pages is dealt to several tasks (so at most 1000 hosts are).
-HOT_PART = 1000
+#: Hosts larger than a share whose sizes are sent to all tasks; more of them are joined.
+SENT_HOSTS = 100_000
 #: Aligned pages with different texts that a template text must be on: so many, and this part of them.
 SAME_PAGES, SAME_PART = 4, 0.6
-#: Cells of a sibling table beyond which siblings are aligned by position within equal keys.
+#: Cells of a sibling table that are filled at a time; larger ones are divided at their best middle.
 CELLS = 250_000
-
-#: Elements open at a time; what is nested deeper becomes a sibling and keeps its text.
-DEPTH = 200
+#: Frames for deep nesting, which plain Python functions keep on the heap.
+sys.setrecursionlimit(10_000_000)
 
 # Element names of HTML by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,6 +55,8 @@ NAMES = frozenset(
 
 #: Of them the parts that may be longer than the main text.
 LONG = frozenset("comment comments commentlist disqus recommend recommended recommendations related replies reply respond".split())
+#: What a box around a part may be called, behind its name.
+BOXES = frozenset("area bar block body box cell col column container content frame group holder inner item items link links list module outer panel pane row section slot unit wrap wrapper zone".split())
 #: Before a name: the element has such a part, or not, beside or in it.
 MODIFIERS = frozenset("has no with without".split())
 
@@ -71,59 +77,67 @@ class Node:
         self.key = f"{tag}#{attrs.get('class', '')}" if attrs else tag
 
 
+class Open:
+    """The elements that are open, and the places of each tag among them: ends are found without a walk."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def close(self, tags: tuple[str, ...], stop: tuple[str, ...]) -> None:
+        """Closes the innermost of the tags and what is in it, unless a stop lies further in."""
+        last = lambda names: max((p[-1] for t in names if (p := self.places.get(t))), default=0)
+        at = last(tags)
+        if at > last(stop):
+            for node in self.nodes[at:]:
+                self.places[node.tag].pop()
+            del self.nodes[at:]
+
+
 def parse(text: str) -> Node:
     """A lenient DOM: void and raw elements, implied ends of p, li, dt, dd, tr, td, th and option; stray ends ignored."""
     root = Node("#root", {})
-    stack, at, n = [root], 0, len(text)
+    stack, at, n = Open(root), 0, len(text)
     while at < n:
         m = _TOKEN.match(text, at)
         at = m.end()
         tag = m[2] or m[5]
         if tag is None:
             if text[m.start()] != "<" or m.end() - m.start() == 1:
-                stack[-1].kids.append(m[0])
+                stack.nodes[-1].kids.append(m[0])
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            stack.close((tag,), ())
             continue
         raw = m[3] or m[6] or ""
         attrs = {a[0].lower(): a[1] or a[2] or a[3] or "" for a in _ATTR.findall(raw)} if "=" in raw or "hidden" in raw else {}
         if tag in CLOSES_P:
-            _close(stack, ("p",), ("button", "td", "th", "table", "object"))
+            stack.close(("p",), ("button", "td", "th", "table", "object"))
         if tag == "li":
-            _close(stack, ("li",), ("ul", "ol", "menu"))
+            stack.close(("li",), ("ul", "ol", "menu"))
         elif tag in ("dt", "dd"):
-            _close(stack, ("dt", "dd"), ("dl",))
+            stack.close(("dt", "dd"), ("dl",))
         elif tag in ("tr", "td", "th"):
-            _close(stack, ("tr",) if tag == "tr" else ("td", "th"), ("table",) if tag == "tr" else ("tr", "table"))
+            stack.close(("tr",) if tag == "tr" else ("td", "th"), ("table",) if tag == "tr" else ("tr", "table"))
         elif tag == "option":
-            _close(stack, ("option",), ("select",))
+            stack.close(("option",), ("select",))
         node = Node(tag, attrs)
-        stack[-1].kids.append(node)
+        stack.nodes[-1].kids.append(node)
         if tag in VOID or raw.endswith("/") and tag not in INLINE and tag not in CLOSES_P:
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(text, at)
             node.kids.append(text[at : end.start() if end else n])
             at = end.end() if end else n
-        elif len(stack) < DEPTH:
-            stack.append(node)
+        else:
+            stack.push(node)
     return root
 
 
-def _close(stack: list[Node], tags: tuple[str, ...], stop: tuple[str, ...]) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in tags:
-            del stack[i:]
-            return
-        if stack[i].tag in stop:
-            return
-
-
 def declared(node: Node, inside: bool, kept: frozenset[int] | set[int] = frozenset()) -> bool:
     """Whether markup says that a node is no main text; inside: within an article; kept: ids of nodes whose names don't count."""
     return stated(node, inside) or id(node) not in kept and bool(named(node))
@@ -142,17 +156,24 @@ def stated(node: Node, inside: bool) -> bool:
 
 
 def named(node: Node) -> set[str]:
-    """The NAMES that a class or id has; what follows a modifier (has-, no-, with-) says what a wrapper is next to."""
+    """The NAMES that head a class or id: its last word, words for boxes aside, as in cookie-notice or ad-slot.
+
+    A name before another word (search-story, notice-of-meeting) says what a
+    part is about, and what follows a modifier (has-, no-, with-) what a wrapper
+    is next to.
+    """
     a = node.attrs
     if not a or node.tag in ("html", "body", "main", "article", "#root"):
         return set()
     found = set()
     for name in f"{a.get('class', '')} {a.get('id', '')}".split():
-        for part in map(str.lower, _PART.findall(name)):
-            if part in MODIFIERS:
-                break
-            if part in NAMES:
-                found.add(part)
+        parts = [x.lower() for x in _PART.findall(name) if not x.isdigit()]
+        if MODIFIERS.intersection(parts):
+            continue
+        while len(parts) > 1 and parts[-1] in BOXES:
+            parts.pop()
+        if parts and parts[-1] in NAMES:
+            found.add(parts[-1])
     return found
 
 
@@ -254,7 +275,8 @@ def tree_match(a: Folded, b: Folded, i: int = 0, j: int = 0) -> tuple[int, list[
         return 0, []
     x, y = a.kids[i], b.kids[j]
     if len(x) * len(y) > CELLS:
-        return _by_position(a, b, i, j, x, y)
+        pairs = _divided(a, b, x, y, {})
+        return len(pairs) + 1, [(i, j), *pairs]
     best: dict[tuple[int, int], tuple[int, list]] = {}
     table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for p in range(1, len(x) + 1):
@@ -276,54 +298,80 @@ def tree_match(a: Folded, b: Folded, i: int = 0, j: int = 0) -> tuple[int, list[
     return table[-1][-1] + 1, pairs
 
 
-def _by_position(a: Folded, b: Folded, i: int, j: int, x: list[int], y: list[int]) -> tuple[int, list[tuple[int, int]]]:
-    """Very many siblings: the nth child of a key goes with the nth of the same key."""
-    seen: Counter = Counter()
-    there = {}
-    for q in y:
-        there[b.keys[q], seen[b.keys[q]]] = q
-        seen[b.keys[q]] += 1
-    seen.clear()
-    total, pairs = 1, [(i, j)]
-    for p in x:
-        q = there.get((a.keys[p], seen[a.keys[p]]))
-        seen[a.keys[p]] += 1
-        if q is not None:
-            size, got = tree_match(a, b, p, q)
-            total, pairs = total + size, pairs + got
-    return total, pairs
+def _divided(a: Folded, b: Folded, x: list[int], y: list[int], known: dict) -> list[tuple[int, int]]:
+    """The pairs of the best order-keeping match of very many siblings: halves of x, met where their best sizes add up to most."""
+
+    def size(p: int, q: int) -> int:
+        if a.keys[p] != b.keys[q]:
+            return 0
+        if (p, q) not in known:
+            known[p, q] = tree_match(a, b, p, q)[0]
+        return known[p, q]
+
+    def last_row(ps: list[int], qs: list[int]) -> np.ndarray:
+        row = np.zeros(len(qs) + 1, np.int64)
+        for p in ps:
+            row[1:] = np.maximum(row[1:], row[:-1] + np.array([size(p, q) for q in qs], np.int64))
+            np.maximum.accumulate(row, out=row)
+        return row
+
+    if not x or not y:
+        return []
+    if len(x) == 1:
+        sizes = [size(x[0], q) for q in y]
+        best = max(range(len(y)), key=sizes.__getitem__)
+        return tree_match(a, b, x[0], y[best])[1] if sizes[best] else []
+    mid = len(x) // 2
+    cut = int((last_row(x[:mid], y) + last_row(x[mid:][::-1], y[::-1])[::-1]).argmax())
+    return _divided(a, b, x[:mid], y[:cut], known) + _divided(a, b, x[mid:], y[cut:], known)
 
 
 def template(pages: list[Folded]) -> list[set[int]]:
-    """For each page the ids of nodes whose text is the template's."""
+    """For each page the ids of nodes whose text is the template's: single nodes, and members of runs."""
     ref = max(pages, key=lambda f: (len(f.nodes), f.shape))
     maps: dict[str, list[tuple[int, int]]] = {}
     texts: list[Counter] = [Counter() for _ in ref.nodes]
-    own: list[dict[int, str]] = []
-    whole = set()
+    seen = [0] * len(ref.nodes)
+    own: list[dict[int, list[tuple[int, str]]]] = []
+    mains = set()
     for f in pages:
         if f.shape not in maps:
             maps[f.shape] = [(k, k) for k in range(len(ref.nodes))] if f.shape == ref.shape else tree_match(ref, f)[1]
-        mine = {}
-        for r, k in maps[f.shape]:
-            if not f.kids[k] and len(f.nodes[k]) == 1:
-                mine[r] = plain(f.nodes[k][0])
+        mine = {r: [(id(x), plain(x)) for x in f.nodes[k]] for r, k in maps[f.shape] if not f.kids[k]}
         own.append(mine)
-        all_text = plain(f.nodes[0][0])
-        if all_text not in whole:  # copies of a page say nothing about what is constant
-            whole.add(all_text)
-            for r, t in mine.items():
-                texts[r][t] += 1
-    constant = {}
-    for r, c in enumerate(texts):
-        if c:
-            text, k = c.most_common(1)[0]
-            if text and k >= SAME_PAGES and k >= SAME_PART * c.total():
-                constant[r] = text
+        main = "\n".join(plain(x) for x in region(f.nodes[0][0], set()))
+        if main in mains:  # pages with the same main text say nothing about what is constant
+            continue
+        mains.add(main)
+        for r, members in mine.items():
+            seen[r] += 1
+            texts[r].update({t for _, t in members if t})
+    constant = [{t for t, k in c.items() if k >= SAME_PAGES and k >= SAME_PART * n} for c, n in zip(texts, seen, strict=True)]
     out = []
     for f, mine in zip(pages, own, strict=True):
-        back = dict(maps[f.shape])
-        out.append({id(f.nodes[back[r]][0]) for r, t in mine.items() if constant.get(r) == t})
+        drop = {}
+        for r, members in mine.items():
+            drop |= {x: len(t) for x, t in members if t in constant[r]}
+        out.append(_own_kept(f.nodes[0][0], drop))
+    return out
+
+
+def _own_kept(root: Node, drop: dict[int, int]) -> set[int]:
+    """The nodes to drop; those in a main text most of which would go with them are its own, on a copy of a page, and stay."""
+    out = set(drop)
+    for main in region(root, set()):
+        if main.tag not in ("article", "main") and "itemprop" not in main.attrs:
+            continue
+        inside, todo = {}, [main]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, Node):
+                if id(x) in drop:
+                    inside[id(x)] = drop[id(x)]
+                else:
+                    todo.extend(x.kids)
+        if 2 * sum(inside.values()) > len(plain(main)):
+            out -= set(inside)
     return out
 
 
@@ -426,20 +474,17 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     pages of their own. Pages of a host are read in the order of their ids,
     ALIGNED at a time, so a host of any size needs bounded memory; the last two
     batches are of even size, so that only hosts with fewer than SAME_PAGES
-    pages go without alignment. Hosts with more than one of HOT_PART pages are
-    dealt to several tasks. Other columns
-    are not read; an empty table gives an empty table.
+    pages go without alignment. A host with more than SHARE pages is dealt by
+    a hash of the id to as many tasks as its size asks for, whatever other hosts
+    the table holds. Other columns are not read; an empty table gives an empty
+    table.
     """
     spark = pages.sparkSession
     arrow_rows(spark)
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host.alias("host"))
-    counts = rows.groupBy("host").count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    hot = counts.where((F.col("count") > SHARE) & (F.col("count") * HOT_PART > total)).collect()  # fewer than HOT_PART rows
-    salts = F.create_map(*[F.lit(v) for r in hot for v in (r["host"], -(-r["count"] // SHARE))]) if hot else None
-    salt = F.pmod(F.xxhash64("page_id"), F.coalesce(F.element_at(salts, F.col("host")), F.lit(1))).cast("int") if hot else F.lit(0)
-
+    large = written(rows.groupBy("host").count().where(F.col("count") > SHARE).select("host", F.ceil(F.col("count") / SHARE).cast("int").alias("shares")), "hosts")
+    few = large.count() <= SENT_HOSTS
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         z = zstandard.ZstdCompressor(level=3)
         for f in frames:
@@ -473,6 +518,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         if buffer:
             yield from rest()
 
-    packed = rows.withColumn("salt", salt).mapInPandas(pack, "page_id long, url string, html binary, host string, salt int")
+    packed = rows.mapInPandas(pack, "page_id long, url string, html binary, host string")
+    packed = packed.join(F.broadcast(large) if few else large, "host", "left")
+    packed = packed.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.coalesce("shares", F.lit(1))).cast("int")).drop("shares")
     dealt = packed.repartition("host", "salt").sortWithinPartitions("host", "salt", "page_id", "url")
     return dealt.mapInPandas(run, "page_id long, url string, text string, n_chars long")

@@ -71,7 +71,7 @@ def _adapted(hot, costly):
     """The function with other constants, for workers that import the module anew."""
     was = jaccard.adapted
 
-    def adapted(s, excess, percent, bound=None):
+    def adapted(s, excess, percent, bound=None, sd=0.0):
         from evidrel.llm import jaccard as j
 
         j.HOT, j.COSTLY = hot, costly
@@ -254,7 +254,7 @@ def test_prefix_matches_cut_candidates_before_sets_are_made(spark, monkeypatch):
     near = {(r.a, r.b) for r in jaccard.near_pairs(pairs, made, 50).collect()}
     without = {(r.a, r.b) for r in jaccard.near_pairs(pairs, made.withColumns({"m": F.lit(0), "boiler": F.lit(False)}), 50).collect()}
     sets = {i: grams(t, 1) for i, t in rows}
-    linked = {(a, b) for a, b in without if 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    linked = {(a, b) for a in ids for b in ids if a < b and 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
     assert linked <= near < without
 
 
@@ -263,8 +263,8 @@ def test_chance_makes_no_token_hot_in_a_large_corpus():
     rng = np.random.default_rng(1)
     for mean in (5000, 14_000_000):
         counts = rng.poisson(mean, jaccard.BUCKETS).astype(np.int64)
-        counts[:50] += 40 * int(np.sqrt(mean))  # tokens that are truly frequent
-        excess, bound = jaccard._excess(counts), jaccard.hot_bound(counts)
-        made = [jaccard.adapted(np.unique(rng.integers(0, 1 << 64, 400, dtype=np.uint64)), excess, 90, bound) for _ in range(400)]
+        counts[:50] += 12 * int(np.sqrt(mean))  # tokens that are truly frequent
+        excess, (bound, sd) = jaccard._excess(counts), jaccard.noise(counts)
+        made = [jaccard.adapted(np.unique(rng.integers(0, 1 << 64, 400, dtype=np.uint64)), excess, 90, bound, sd) for _ in range(400)]
         assert np.mean([boiler for _, _, boiler, _, _ in made]) < 0.01 and np.mean([m > 1 for _, m, _, _, _ in made]) < 0.05
         assert (excess[:50] > bound).mean() > 0.95

@@ -309,3 +309,36 @@ def test_many_languages_are_all_learned(spark):
     import pickle
 
     assert len(pickle.loads(model)[1]) == 250
+
+
+def test_a_kept_domain_stays_and_targets_are_met(spark):
+    """Rates of the kept domain are at least 1 inside the fit, so totals meet the targets within 1 %."""
+    rng, rows, labels = random.Random(12), [], []
+    words = {"clean": ["ant", "ape", "asp"], "poor": ["bee", "bat", "ape"], "toxic": ["cat", "cow", "asp"]}
+    for i in range(900):
+        d = ["clean", "clean", "clean", "poor", "toxic"][i % 5]
+        rows.append((i, " ".join(rng.choices(words[d] + ["of", "the"], k=rng.randint(3, 25)))))
+        labels += [(i, d)] if i % 2 else []
+    docs, labelled = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, domain string")
+    weights = {"clean": 0.78, "poor": 0.1, "toxic": 0.12}
+    got = mixing.mix(docs, labelled, weights, keep="clean").collect()
+    kept = [r for r in got if r.p[0] >= max(r.p)]
+    assert all(r.rate >= 1 and r.copies >= 1 for r in kept) and 400 < len(kept) < 700
+    clean = sum(r.tokens * r.p[0] for r in got)
+    for k, d in enumerate(sorted(weights)):
+        assert abs(sum(r.rate * r.tokens * r.p[k] for r in got) / clean - weights[d] / weights["clean"]) < 0.01
+    assert 0 < sum(r.copies == 0 for r in got)
+
+
+def test_rates_are_those_of_nonnegative_least_squares(spark):
+    """Of all nonnegative rates that meet the targets, those nearest to 1: against projected steps in plain numpy."""
+    rng = np.random.default_rng(5)
+    p, tokens = rng.dirichlet([0.6, 0.4, 0.3], 300), rng.integers(1, 50, 300)
+    df = spark.createDataFrame([(int(t), x.tolist(), 0.0) for t, x in zip(tokens, p, strict=True)], "tokens long, p array<double>, least double")
+    weights = [0.6, 0.25, 0.15]
+    u, reached, _ = mixing.fit_rates(df, weights)
+    assert np.allclose(reached, weights, atol=1e-3)
+    v, a = np.zeros(3), (p * tokens[:, None]) / tokens.sum()
+    for _ in range(20_000):  # dual ascent of least squares distance from 1, weighted by tokens, under r >= 0
+        v += 2.0 * (a.T @ np.maximum(0, 1 - p @ v) - weights)
+    assert np.allclose(np.maximum(0, 1 - p @ v), np.maximum(0, 1 - p @ np.array(u)), atol=0.02)

@@ -30,3 +30,41 @@ MAIN = "Main text of the page, which is long enough.\n\nMore of it."
 )
 def test_wrappers_keep_their_text_and_declared_parts_go(page):
     assert webpage.extract([page]) == [MAIN]
+
+
+def test_names_before_another_word_are_no_parts():
+    page = "<body><article><h1>Title</h1><div class='search-story'><p>A story of a search</div><p class='notice-of-meeting'>The meeting is on Monday<div class='cookie-notice'>We use cookies</div><div class='ad-slot'>Buy</div></article>"
+    assert webpage.extract([page]) == ["Title\n\nA story of a search\n\nThe meeting is on Monday"]
+
+
+def test_copies_keep_their_heading_and_text():
+    page = "<body><nav>menu {0}</nav><div class=story><article><h1>Big story</h1><p>What happened, at some length, in a few words.<p>And then the rest of it.</article></div><div>seen {0} times</div>"
+    own = ["Big story\n\nWhat happened, at some length, in a few words.\n\nAnd then the rest of it."]
+    assert webpage.extract([page.format(1)]) == own and webpage.extract([page.format(i) for i in range(6)]) == own * 6
+
+
+def test_a_constant_member_of_a_run_is_template():
+    page = "<body><div class=story><h2>Page {0}</h2><p>Paragraph {0} is of this page alone, and longer.<p>Join our mailing list today<p>So is the second, which says {1}.</div>"
+    got = webpage.extract([page.format(i, i * 7919) for i in range(12)])
+    assert got == [f"Page {i}\n\nParagraph {i} is of this page alone, and longer.\n\nSo is the second, which says {i * 7919}." for i in range(12)]
+
+
+def test_deep_nesting_stays_inside_what_is_dropped():
+    page = "<body><footer>" + "<div>" * 5000 + "small print" + "</div>" * 5000 + "</footer><main><p>The text</main>" + "<p>" * 3000 + "</q>" * 3000
+    assert webpage.extract([page]) == ["The text"]
+
+
+def test_many_siblings_are_matched_as_few_are(monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    for _ in range(30):
+        trees = []
+        for _ in range(2):
+            kids = "".join(rng.choice(["<div><p>x</div>", "<ul><li>y</ul>", "<h2>z</h2>", "<section><h3>t</h3><p>u</section>"]) for _ in range(rng.randint(1, 14)))
+            trees.append(webpage.Folded(webpage.parse(f"<main>{kids}</main>")))
+        monkeypatch.setattr(webpage, "CELLS", 250_000)
+        size, _ = webpage.tree_match(*trees)
+        monkeypatch.setattr(webpage, "CELLS", 0)
+        large, pairs = webpage.tree_match(*trees)
+        assert large == size == len(pairs) == len(set(pairs)) and all(trees[0].keys[i] == trees[1].keys[j] for i, j in pairs)
