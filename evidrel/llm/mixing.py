@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from evidrel.llm.common import hashed_sample, written
 
 #: Hashed words of the classifier.
-WORDS = 16_384
+WORDS = 4096
 #: Steps at most, and the relative miss of the targets that ends the fit.
 STEPS, CLOSE = 40, 1e-3
 #: Labelled documents of each domain that the word weights are counted from at most.
@@ -76,10 +76,15 @@ def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col:
     mean = [sum(v) / len(domains) for v in zip(*logs, strict=True)]
     logs = [[round(x - m, 6) for x, m in zip(v, mean, strict=True)] for v in logs]
     shrunk = [[[round(math.copysign(max(abs(x) - by, 0.0), x), 6) for x in v] for v in logs] for by in SHRINKS]
-    held = rows.where("aside").select("domain", F.size("words").alias("tokens"), *[weight_sums("words", w).alias(f"s{i}") for i, w in enumerate(shrunk)]).limit(sample * len(domains)).collect()
+    # sums of the held-out texts for every shrink, by a join with the table of weights (WORDS rows)
+    names = [f"s{i}_{k}" for i in range(len(SHRINKS)) for k in range(len(domains))]
+    table = docs.sparkSession.createDataFrame([(w + 1, *[shrunk[i][k][w] for i in range(len(SHRINKS)) for k in range(len(domains))]) for w in range(WORDS)], f"w int, {', '.join(f'{c} double' for c in names)}")
+    words = rows.where("aside").select(F.monotonically_increasing_id().alias("row"), "domain", F.size("words").alias("tokens"), F.explode("words").alias("w"))
+    words = words.groupBy("row", "domain", "tokens", "w").count().join(F.broadcast(table), "w")
+    held = words.groupBy("row", "domain", "tokens").agg(*[F.sum(F.col(c) * F.col("count")).alias(c) for c in names]).limit(sample * len(domains)).collect()
     loss, best = math.inf, (0, 0.5, 1.0)
     for i in range(len(SHRINKS) if held else 0):
-        got, power, factor = calibrated([(r["domain"], r["tokens"], list(r[f"s{i}"])) for r in held], domains, prior)
+        got, power, factor = calibrated([(r["domain"], r["tokens"], [r[f"s{i}_{k}"] for k in range(len(domains))]) for r in held], domains, prior)
         if got < loss:
             loss, best = got, (i, power, factor)
     return shrunk[best[0]], prior, *best[1:]
