@@ -47,7 +47,8 @@ def constant_array(values: list[float]) -> Column:
 
 
 #: What word weights may be shrunk by, and powers of a text's length and factors that their sum may be divided by; calibration takes the best.
-SHRINKS, POWERS, FACTORS = (0.0, 0.7, 1.4, 2.1), (0.0, 0.25, 0.5, 0.75, 1.0), tuple(2.0**k for k in range(-3, 6))
+#: The mean weight of a text's words is used: a language's small weights would add up over a long text and stand for a domain.
+SHRINKS, POWERS, FACTORS = (0.0, 0.5, 1.0, 1.5), (1.0,), tuple(2.0**k for k in range(-3, 6))
 
 
 def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str, text_col: str, sample: int = FIT_DOCS) -> tuple[list[list[float]], list[float], float, float]:
@@ -84,17 +85,21 @@ def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col:
     held = words.groupBy("row", "domain", "tokens").agg(*[F.sum(F.col(c) * F.col("count")).alias(c) for c in names]).limit(sample * len(domains)).collect()
     loss, best = math.inf, (0, 0.5, 1.0)
     for i in range(len(SHRINKS) if held else 0):
-        got, power, factor = calibrated([(r["domain"], r["tokens"], [r[f"s{i}_{k}"] for k in range(len(domains))]) for r in held], domains, prior)
+        got, power, factor = calibrated([(r["domain"], r["tokens"], [r[f"s{i}_{k}"] for k in range(len(domains))]) for r in held], domains, prior, total)
         if got < loss:
             loss, best = got, (i, power, factor)
     return shrunk[best[0]], prior, *best[1:]
 
 
-def calibrated(held: list[tuple[str, int, list[float]]], domains: list[str], prior: list[float]) -> tuple[float, float, float]:
-    """Log loss of labelled rows (domain, tokens, sums), and the power and the factor that make it least; each domain counts alike."""
+def calibrated(held: list[tuple[str, int, list[float]]], domains: list[str], prior: list[float], total: dict[str, int]) -> tuple[float, float, float]:
+    """Log loss of labelled rows (domain, tokens, sums), and the power and the factor that make it least.
+
+    Each domain counts as often as among all labels (total), so that posteriors
+    are those of the corpus and not of the sample.
+    """
     y = np.array([domains.index(d) for d, *_ in held])
     s, n = np.array([x for *_, x in held], float), np.maximum([n for _, n, _ in held], 1)
-    weight = (1 / np.bincount(y, minlength=len(domains)).clip(1))[y]
+    weight = (np.array([total.get(d, 0) for d in domains]) / np.bincount(y, minlength=len(domains)).clip(1))[y]
     best = (math.inf, 0.5, 1.0)
     for power in POWERS:
         for factor in FACTORS:
