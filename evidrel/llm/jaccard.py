@@ -188,6 +188,7 @@ def adapted(s: np.ndarray, excess: np.ndarray, percent: int, bound: int | None =
     hot = c > (HOT if bound is None else bound)
     # the sum of p positive parts of noise is .4 p deviations, give or take .6 of its root
     m = 1 + sum(int(c[:p].sum()) > x + sd * (0.4 * p + 2.5 * p**0.5) for x in COSTLY)
+    m = min(m, -(-len(s) * percent // 100))  # a link shares so many tokens at least
     boiler = bool(hot[:p].any())
     while m > 1 and hot[: p + m - 1].any():
         m -= 1
