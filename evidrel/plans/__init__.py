@@ -1,6 +1,6 @@
 """Registered query plans over the driver's tables."""
 
-from evidrel.plans import curation, evidence, language, market, search
+from evidrel.plans import curation, evidence, labelling, language, market, search
 from evidrel.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "curation", "evidence", "language", "market", "search"]
+__all__ = ["ORACLE", "QUERIES", "curation", "evidence", "labelling", "language", "market", "search"]
