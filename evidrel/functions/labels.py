@@ -43,6 +43,16 @@ STYLE_RULES = [
     ("advice", ["建议", "应该", "该不该", "值不值", "推荐"], ["should i", "worth", "recommend", "suitable", "good to buy"]),
     ("forecast", ["预测", "会不会", "未来", "走势", "前景", "明天"], ["forecast", "future", "outlook", "next", "will it"]),
 ]
+LONG_TERM_WORDS = ["适合长期拿", "适合长期持有", "长期拿", "长期持有", "长期定投", "适合定投", "继续定投", "适合继续定投"]
+ADVICE_STYLE_WORDS = (
+    ["值得", "能买吗", "买吗", "买入", "卖出", "上车", "止盈", "止损", "持有", "拿吗", "还能拿吗", "还能不能拿", "值不值得拿", "不适合", "适不适合", *LONG_TERM_WORDS, "更适合", "更稳"],
+    ["should i", "worth", "suitable", "good to buy", "hold it", "cut the loss"],
+)
+COMPARE_STYLE_WORDS = (["比", "相比", "哪个", "谁更", "更稳", "更好", "有什么区别", "有何区别", "有什么不同", "有啥不同", "差别", "一回事吗"], ["compare", "difference", "better"])
+WHY_STYLE_WORDS = (["为什么", "为啥"], ["why"])
+FORECAST_STYLE_WORDS = (["未来", "接下来", "后市", "会怎么走", "后面会怎么走", "怎么看后市"], ["future", "outlook", "what happens to", "how will", "will it"])
+OPINION_WORDS = ["你觉得", "怎么看", "如何看", "评价一下", "分析一下", "从投资角度", "后面怎么看", "后续怎么看"]
+POSITION_INTENTS, ANALYSIS_INTENTS = ["hold_judgment", "buy_sell_timing"], ["fundamental_analysis", "valuation_analysis", "risk_analysis"]
 DOCUMENT_RULES = [
     ("faq", [], ["faq", "q&a", "常见问题", "如何", "怎么", "开户", "开通"]),
     ("product_doc", [], ["产品说明", "交易规则", "费率", "规则", "机制", "指南", "手册", "product", "guide", "rule"]),
@@ -109,6 +119,25 @@ def autolabel_style(text: Column) -> Column:
     return first_rule(text, STYLE_RULES, "fact")
 
 
+def final_style(text: Column, style: Column, intents: Column, targets: Column) -> Column:
+    """A question's style by its words, intents and comparison targets; the given one where none of them tells."""
+    among = lambda labels: F.arrays_overlap(intents, strings(labels))
+    advice, why = holds(text, *ADVICE_STYLE_WORDS), holds(text, *WHY_STYLE_WORDS)
+    compare = F.array_contains(intents, "peer_compare") | (F.size(targets) > 0) | holds(text, *COMPARE_STYLE_WORDS)
+    opinion = holds(text, OPINION_WORDS) & among([*POSITION_INTENTS, "market_explanation", *ANALYSIS_INTENTS])
+    advised = holds(text, ADVICE_STYLE_WORDS[0])
+    return (
+        F.when(opinion | holds(text, LONG_TERM_WORDS) | (advice & (why | compare)), "advice")
+        .when(why, "why")
+        .when(compare, "compare")
+        .when((advised & among(POSITION_INTENTS)) | holds(text, [], ADVICE_STYLE_WORDS[1]), "advice")
+        .when(holds(text, *FORECAST_STYLE_WORDS), "forecast")
+        .when(advised & among(ANALYSIS_INTENTS), "advice")
+        .when(among(ANALYSIS_INTENTS), "fact")
+        .otherwise(style)
+    )
+
+
 def source_labels(text: Column, product: Column) -> tuple[Column, Column]:
     """Document and structured sources: those of the product, then those of each rule in order, each once."""
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidrel.functions import labels as L
+from evidrel.functions import scalars as S
 from evidrel.operators import preparation as P
+from evidrel.operators import understanding as U
 from evidrel.plans.language import ZH
 from evidrel.plans.registry import query, read
 from evidrel.plans.views import EVIDENCE, REQUESTS, evidence, requests
@@ -158,3 +160,39 @@ def a25(spark, sf):
 @query("s27_s28_relevant_sentences")
 def s28(spark, sf):
     return P.prepared(offered(spark, sf)).select("doc_id", F.size("sentences").alias("n"), F.array_join("sentences", " ").alias("excerpt"), F.array_join("entity_hits", ",").alias("hits"))
+
+
+INTENTS = "CASE abs(id) % 5 WHEN 0 THEN {0}('hold_judgment') WHEN 1 THEN {0}('risk_analysis', 'product_info') WHEN 2 THEN {0}('peer_compare') WHEN 3 THEN {0}('valuation_analysis') ELSE {0}('product_info') END"
+ANALYSES = "('risk_analysis' IN intents OR 'valuation_analysis' IN intents)"
+
+
+@query("s18_question_style", f"""WITH {TEXTS}, i AS (SELECT id, t, {INTENTS.format('list_value')} AS intents, CASE WHEN id % 9 = 0 THEN ['x'] ELSE [] END AS targets FROM texts),
+  f AS (SELECT *, {held(*L.ADVICE_STYLE_WORDS)} AS advice, {held(L.ADVICE_STYLE_WORDS[0])} AS advised, {held(*L.WHY_STYLE_WORDS)} AS why, len(targets) > 0 OR list_contains(intents, 'peer_compare') OR {held(*L.COMPARE_STYLE_WORDS)} AS compare FROM i)
+  SELECT id, CASE WHEN {held(L.OPINION_WORDS)} AND (list_contains(intents, 'hold_judgment') OR {ANALYSES}) THEN 'advice' WHEN {held(L.LONG_TERM_WORDS)} THEN 'advice' WHEN advice AND why THEN 'advice' WHEN advice AND compare THEN 'advice' WHEN why THEN 'why' WHEN compare THEN 'compare'
+    WHEN advised AND list_contains(intents, 'hold_judgment') THEN 'advice' WHEN {held([], L.ADVICE_STYLE_WORDS[1])} THEN 'advice' WHEN {held(*L.FORECAST_STYLE_WORDS)} THEN 'forecast' WHEN advised AND {ANALYSES} THEN 'advice' WHEN {ANALYSES} THEN 'fact' ELSE 'given' END AS style FROM f""")
+def s18(spark, sf):
+    targets = F.when(F.col("id") % 9 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    return texts(spark, sf).select("id", L.final_style(F.col("t"), F.lit("given"), F.expr(INTENTS.format("array")), targets).alias("style"))
+
+
+GIVEN = ["price", "news", "risk", "macro", "policy", "valuation"]
+
+
+@query("t10_t11_chosen_labels", f"""WITH s AS (SELECT item_id, label, ((item_id * 7 + k * (13 + item_id % 5)) % 100)::DOUBLE / 100 AS score FROM benchmark, (SELECT unnest({GIVEN}) AS label, unnest(range({len(GIVEN)})) AS k)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, label) AS n FROM s), b AS (SELECT item_id, greatest(count(*) FILTER (WHERE score >= 0.7), 1) AS k, max(score) FILTER (WHERE n = 1) AS top, max(score) FILTER (WHERE n = 2) AS second FROM r GROUP BY 1)
+  SELECT item_id, array_to_string(list(label ORDER BY n) FILTER (WHERE n <= least(4, CASE WHEN k = 1 AND second >= greatest(0.12::DOUBLE, top - 0.08::DOUBLE) THEN 2 ELSE k END)), ',') AS chosen,
+    coalesce(array_to_string(list(label ORDER BY n) FILTER (WHERE n <= 4 AND score >= 0.35), ','), '') AS best FROM r JOIN b USING (item_id) GROUP BY item_id""")
+def t10(spark, sf):
+    k = F.col("item_id")
+    scores = F.map_from_arrays(F.array(*map(F.lit, GIVEN)), F.array(*[((k * 7 + i * (F.lit(13) + k % 5)) % 100).cast("double") / 100 for i in range(len(GIVEN))]))
+    names = lambda x: F.array_join(F.transform(x, lambda e: e["label"]), ",")
+    return read(spark, sf, "benchmark").select("item_id", names(U.chosen_labels(scores, 0.7)).alias("chosen"), names(U.sorted_scores(scores)).alias("best"))
+
+
+@query("f13_f20_t20_scores", f"""SELECT l_orderkey, l_linenumber, CASE WHEN l_tax + l_discount > 0 THEN round((0.85::DOUBLE * l_tax::DOUBLE + 0.15::DOUBLE * l_discount::DOUBLE) / (l_tax::DOUBLE + l_discount::DOUBLE), 4) END AS sentiment, least(coalesce(TRY_CAST(CASE WHEN l_linenumber % 3 = 0 THEN l_returnflag ELSE CAST(l_linenumber AS VARCHAR) END AS INT), 0), 2) AS relevance,
+  array_to_string(list_filter({U.SOURCE_ORDER}, lambda s: list_contains([lower(l_linestatus), 'faq', 'news'], s)) || [lower(l_linestatus)], ',') AS sources FROM lineitem""")
+def f13(spark, sf):
+    level = F.when(F.col("l_linenumber") % 3 == 0, F.col("l_returnflag")).otherwise(F.col("l_linenumber").cast("string"))
+    tax, discount = F.col("l_tax").cast("double"), F.col("l_discount").cast("double")
+    sources = U.source_order(F.array(F.lower("l_linestatus"), F.lit("faq"), F.lit("news"), F.lit("faq")))
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", S.sentiment_score(tax, F.lit(0.0), discount).alias("sentiment"), S.relevance(level).alias("relevance"), F.array_join(sources, ",").alias("sources"))
