@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidrel.llm import ann, jaccard, langid, linededup, mixing, pieces, pii, topk, toxicity, webpage
+from evidrel.llm import ann, bytebpe, jaccard, langid, linededup, merkle, mixing, pieces, pii, topk, toxicity, vafile, webpage
 from evidrel.llm.common import fold, table
 from evidrel.llm.shards import usable
 
@@ -141,6 +141,99 @@ FROM l LEFT JOIN f ON l.k = f.k GROUP BY l.r
 """
 
 
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and the root that its leaf gives where every third document's text was lower-cased."""
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.coalesce(fold("doc_id", 3) == 0, F.lit(False))
+    found = F.when(tampered, merkle.leaf(*LEAF[:-1], lowered)).otherwise(merkle.leaf(*LEAF))
+    folded = merkle.fold(F.col("found"), F.col("proof"))
+    out = merkle.manifest(docs, merkle.leaf(*LEAF), "lang", ["doc_id"], {"found": found}, ["doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root")])
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+#: Trees bottom-up by recursion (the subroots' tree as group level 2), then each document's path; crc32 from its rule.
+OP11_SQL = r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), d AS (
+  SELECT *, CASE WHEN doc_id IS NULL THEN false ELSE xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 3 = 0 END AS bad FROM documents, crc
+), f AS (
+  SELECT doc_id, bad, lang, {head} AS head, {text} AS orig, {low} AS low FROM d
+), l AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS g, sha256(head || orig) AS leaf, sha256(head || CASE WHEN bad THEN low ELSE orig END) AS found FROM f
+), p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM l
+), t(g, lev, i, n, h) AS (
+  SELECT g, 0::BIGINT, i::BIGINT, n::BIGINT, leaf FROM p
+  UNION ALL SELECT g, lev + 1, i // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY g, lev, i // 8
+), s AS (SELECT g, lev AS top, h AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1
+), u(lev, i, n, h) AS (
+  SELECT 0::BIGINT, i::BIGINT, n::BIGINT, subroot FROM s
+  UNION ALL SELECT lev + 1, i // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY lev, i // 8
+), sib AS (
+  SELECT a.g, a.lev, a.i, string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i < a.i) AS lo, string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i > a.i) AS hi FROM t a JOIN t b ON a.g = b.g AND a.lev = b.lev AND a.i // 8 = b.i // 8 WHERE a.n > 1 GROUP BY a.g, a.lev, a.i
+), usib AS (
+  SELECT a.lev, a.i, string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i < a.i) AS lo, string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i > a.i) AS hi FROM u a JOIN u b ON a.lev = b.lev AND a.i // 8 = b.i // 8 WHERE a.n > 1 GROUP BY a.lev, a.i
+), w(doc_id, g, leaf, pos, lev, i, h, proof) AS (
+  SELECT doc_id, g, leaf, i, 0::BIGINT, i::BIGINT, found, '' FROM p
+  UNION ALL SELECT w.doc_id, w.g, leaf, pos, w.lev + 1, w.i // 8, sha256(coalesce(lo, '') || w.h || coalesce(hi, '')), proof || coalesce(lo, '') || coalesce(hi, '') FROM w JOIN sib ON sib.g = w.g AND sib.lev = w.lev AND sib.i = w.i
+), x(doc_id, g, leaf, pos, subroot, lev, i, h, proof) AS (
+  SELECT doc_id, w.g, leaf, pos, subroot, 0::BIGINT, s.i::BIGINT, h, proof FROM w JOIN s ON s.g = w.g AND s.top = w.lev
+  UNION ALL SELECT doc_id, x.g, leaf, pos, subroot, x.lev + 1, x.i // 8, sha256(coalesce(lo, '') || x.h || coalesce(hi, '')), proof || coalesce(lo, '') || coalesce(hi, '') FROM x JOIN usib ON usib.lev = x.lev AND usib.i = x.i
+)
+SELECT doc_id, leaf, subroot, u.h AS root, sha256(proof) AS proof_sha256, x.h AS folded_root, x.h = u.h AS verified FROM x JOIN u ON u.n = 1 AND u.lev = x.lev
+""".replace("{head}", " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in LEAF[:-1])).replace(
+    "{text}", "coalesce(strlen(text) || ':' || text, '-')").replace("{low}", "coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')")
+
+
+#: The vocabulary of op12; set EVIDREL_BYTE_BPE to use another.
+BYTE_BPE = os.environ.get("EVIDREL_BYTE_BPE")
+
+
+def byte_model() -> bytebpe.Model:
+    """The public vocabulary and its pattern."""
+    import public_tokenizers
+
+    return bytebpe.read_model(BYTE_BPE or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, and the digests of their ids and of the bytes that decoding them gives."""
+    model = byte_model()
+    ids = bytebpe.encode(table(spark, sf_dir, "documents"), model, columns=[F.col("doc_id")])
+    out = bytebpe.decode(ids, model)
+    digest = F.sha2(F.array_join("token_ids", ",").cast("binary"), 256)
+    return out.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every hundredth vector and each of its five nearest of its label: the ten best rows of other labels inside the score window."""
+    e = table(spark, sf_dir, "embeddings").where("label is not null")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    v = usable(e.withColumn("label", label), "vec_id", "embedding", zero=True, keep=["label"])
+    v = v.withColumn("v", F.transform("v", lambda x: F.floor(x * 256).cast("double")))
+    out = vafile.hard_negatives(v, F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90)
+    return out.withColumns({c: F.col(c).cast("long") for c in ("positive_score", "negative_score")})
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, min({'label': CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END, 'v': list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE)))}) AS r FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.r.label = c.r.label AS same, CAST(list_dot_product(a.r.v, c.r.v) AS BIGINT) AS score
+  FROM v a JOIN v c ON c.vec_id <> a.vec_id AND len(a.r.v) = len(c.r.v) WHERE a.vec_id % 100 = 0
+), p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_jaccard_join": op2_jaccard_join,
@@ -152,10 +245,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
     "op10_html": op10_html,
+    "op11_merkle": op11_merkle,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE: dict[str, str] = {
     "op2_jaccard_join": OP2_SQL,
     "op3_exact_topk": OP3_SQL,
     "op7_line_dedup": OP7_SQL,
+    "op11_merkle": OP11_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }

@@ -29,13 +29,13 @@ SHARD_ROWS, BLOCK_ROWS = 16_384, 16_384
 FIT_ROWS, MOST_SHARDS = 8192, 4096
 
 
-def usable(vectors: DataFrame, id_col: str, vec_col: str, zero: bool) -> DataFrame:
-    """(vec_id, v) of rows whose vector has only finite components; with zero, also all-zero ones."""
+def usable(vectors: DataFrame, id_col: str, vec_col: str, zero: bool, keep: list[str] = ()) -> DataFrame:
+    """(vec_id, v) and ``keep`` of rows whose vector has only finite components; with zero, also all-zero ones."""
     v = F.col(vec_col).cast("array<double>")
     ok = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     if not zero:
         ok = ok & F.exists(v, lambda x: x != 0)
-    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & ok)
+    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), *keep).where(F.col("vec_id").isNotNull() & ok)
 
 
 def once(vectors: DataFrame) -> DataFrame:
