@@ -52,23 +52,39 @@ class Approximation:
             out[:, d] = np.searchsorted(self.edges[d, 1:-1], x[:, d], "right")
         return out
 
-    def table(self, q: np.ndarray) -> np.ndarray:
-        """Least and largest contribution of each cell of each dimension to the product with q: (dimensions * CELLS, 2)."""
-        ends = q[:, None, None] * np.stack([self.edges[: len(q), :-1], self.edges[: len(q), 1:]], axis=2)
-        ends.sort(axis=2)
-        return ends.reshape(-1, 2)
+    def tables(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and largest contribution of each cell of each dimension to the product with q: (dimensions, CELLS) each."""
+        a, b = q[:, None] * self.edges[: len(q), :-1], q[:, None] * self.edges[: len(q), 1:]
+        return np.minimum(a, b), np.maximum(a, b)
 
     @staticmethod
-    def places(cells: np.ndarray) -> np.ndarray:
-        """Where the cells of rows stand in a table."""
-        return cells.astype(np.intp) + np.arange(cells.shape[1]) * CELLS
+    def bound(table: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Sums of a table's contributions by the cells (dimensions, rows): look-ups alone."""
+        out, got = np.zeros(cells.shape[1]), np.empty(cells.shape[1])
+        for values, places in zip(table, cells, strict=True):
+            np.take(values, places, out=got, mode="clip")  # a byte is always in range
+            out += got
+        return out
 
-    @staticmethod
-    def bounds(table: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bound of each row's product, by look-ups alone; rounding of sums is allowed for."""
-        got = table.take(places, axis=0).sum(axis=1)
-        slack = 1e-12 * np.abs(table).max(initial=0) * places.shape[1]
-        return got[:, 0] - slack, got[:, 1] + slack
+    def bounds(self, q: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bound of each row's product; rounding of sums is allowed for."""
+        low, high = self.tables(q)
+        slack = 1e-12 * max(np.abs(low).max(initial=0), np.abs(high).max(initial=0)) * len(q)
+        return self.bound(low, cells) - slack, self.bound(high, cells) + slack
+
+
+class Rows:
+    """Rows of one length that a task looks at together; cells are (dimensions, rows)."""
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, cells: np.ndarray, x: np.ndarray):
+        self.ids, self.labels, self.cells, self.x = ids, labels, cells, x
+        self.by_label: dict[int, Rows] = {}
+
+    def of(self, label: int) -> Rows:
+        if label not in self.by_label:
+            at = np.flatnonzero(self.labels == label)
+            self.by_label[label] = Rows(self.ids[at], self.labels[at], np.ascontiguousarray(self.cells[:, at]), self.x[at])
+        return self.by_label[label]
 
 
 class Best:
@@ -99,21 +115,20 @@ class Ask:
         self.anchor, self.label, self.q, self.same, self.keys, self.windows = anchor, label, q, same, keys, windows
         self.best = [Best(k, f) for f in floors]
 
-    def look(self, shape: Approximation, ids: np.ndarray, labels: np.ndarray, places: np.ndarray, x: np.ndarray) -> int:
+    def look(self, shape: Approximation, rows: Rows) -> int:
         """Takes in rows of the anchor's length; returns how many were scored exactly."""
-        mine = np.flatnonzero(((labels == self.label) == self.same) & (ids != self.anchor))
-        if not len(mine):
-            return 0
-        lo, up = shape.bounds(shape.table(self.q), places[mine])
-        wanted = np.zeros(len(mine), bool)
+        rows = rows.of(self.label) if self.same else rows
+        ok = rows.ids != self.anchor if self.same else rows.labels != self.label
+        lo, up = shape.bounds(self.q, rows.cells)
+        wanted = np.zeros(len(ok), bool)
         for (least, most), best in zip(self.windows, self.best, strict=True):
-            wanted |= (up >= max(best.least(lo[(lo >= least) & (up <= most)]), least)) & (lo <= most)
-        at = mine[wanted]
+            wanted |= (up >= max(best.least(lo[ok & (lo >= least) & (up <= most)]), least)) & (lo <= most)
+        at = np.flatnonzero(wanted & ok)
         if len(at):
-            s = x[at] @ self.q
+            s = rows.x[at] @ self.q
             for (least, most), best in zip(self.windows, self.best, strict=True):
-                ok = (s >= least) & (s <= most)
-                best.add(s[ok], ids[at[ok]])
+                hit = (s >= least) & (s <= most)
+                best.add(s[hit], rows.ids[at[hit]])
         return len(at)
 
 
@@ -138,11 +153,11 @@ def _pass(file: DataFrame, shape: Approximation, asks: pd.DataFrame, same: bool,
             dims = np.array([len(c) for c in cells])
             for d in np.unique(dims):
                 if d in by_dim:
-                    rows = np.flatnonzero(dims == d)
-                    places = shape.places(np.frombuffer(b"".join([cells[i] for i in rows]), np.uint8).reshape(-1, d))
-                    x = np.stack(vectors[rows])
+                    at = np.flatnonzero(dims == d)
+                    shown = np.frombuffer(b"".join([cells[i] for i in at]), np.uint8).reshape(-1, d)
+                    rows = Rows(ids[at], labels[at], np.ascontiguousarray(shown.T), np.stack(vectors[at]))
                     for a in by_dim[d]:
-                        a.look(shape, ids[rows], labels[rows], places, x)
+                        a.look(shape, rows)
 
         held, n = [], 0
         for b in batches:

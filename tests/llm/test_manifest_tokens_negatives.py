@@ -218,13 +218,13 @@ def test_bounds_hold_and_few_rows_are_scored():
     x = rng.normal(size=(4000, 64))
     x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True))
     shape = vafile.Approximation(list(x[:500]), x.min(axis=0), x.max(axis=0))
-    places, ids, labels = shape.places(shape.cells(x)), np.arange(4000), np.arange(4000) % 10
+    rows = vafile.Rows(np.arange(4000), np.arange(4000) % 10, np.ascontiguousarray(shape.cells(x).T), x)
     scored = 0
     for q in x[:20]:
-        lo, up = shape.bounds(shape.table(q), places)
+        lo, up = shape.bounds(q, rows.cells)
         assert (lo <= x @ q).all() and (x @ q <= up).all()
         ask = vafile.Ask(-1, 3, q, False, [0, 1], [(3000.0, 9000.0), (8000.0, 20000.0)], 10, [float("-inf")] * 2)
-        scored += ask.look(shape, ids, labels, places, x)
+        scored += ask.look(shape, rows)
     assert scored < 0.2 * 20 * 4000  # of 0.9 * 20 * 4000 that are asked about
 
 
