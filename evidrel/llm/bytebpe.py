@@ -18,7 +18,6 @@ import base64
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from evidrel.llm.common import arrow_rows, kept
 
 #: Matches in a generation of the cache (there are two) and the longest that enters it; pairs of tokens in the other cache.
-CACHE, CACHED_CHARS, PAIRS = 250_000, 48, 1 << 18
+CACHE, CACHED_CHARS, PAIRS = 300_000, 48, 1 << 18
 #: Characters that the pattern reads at a time.
 BLOCK_CHARS = 1 << 20
 #: How far the pattern looks ahead to choose an alternative (its longest contraction).
@@ -70,16 +69,16 @@ def read_model(path: str, pattern: str) -> Model:
 
 
 class Matches(dict):
-    """Token ids of recurring matches; when full, those asked for since it was last full stay."""
+    """Token ids (as 32-bit integers) of recurring matches; when full, those asked for since it was last full stay."""
 
     def __init__(self, codec: Codec):
         super().__init__()
         self.codec, self.before = codec, {}
 
-    def __missing__(self, match: str) -> tuple[int, ...]:
+    def __missing__(self, match: str) -> bytes:
         ids = self.before.get(match)
         if ids is None:
-            ids = self.codec.match_ids(match.encode("utf-8", "surrogatepass"))
+            ids = array("i", self.codec.match_ids(match.encode("utf-8", "surrogatepass"))).tobytes()
         if len(match) <= CACHED_CHARS:
             if len(self) >= CACHE:
                 self.before = dict(self)
@@ -96,6 +95,8 @@ class Codec:
         # the pattern's library reads \s as the Unicode property
         self.pattern = regex.compile(model.pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.longest = max(map(len, self.tokens))
+        self.raw, self.sizes = np.frombuffer(b"".join(self.tokens), np.uint8), np.array([*map(len, self.tokens), 0])
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.automaton = ahocorasick.Automaton()
         for i, raw in enumerate(self.tokens):
             if raw and self.left[i] != -2:
@@ -158,9 +159,9 @@ class Codec:
         out.reverse()
         return out
 
-    def match_ids(self, raw: bytes) -> tuple[int, ...]:
+    def match_ids(self, raw: bytes) -> list[int]:
         whole = self.ids.get(raw)
-        return (whole,) if whole is not None else tuple(self.spelled(self.prefixes(raw), len(raw)))
+        return [whole] if whole is not None else self.spelled(self.prefixes(raw), len(raw))
 
     def matches(self, text: str, at: int = 0) -> Iterator[list[str]]:
         """The matches from a place on where one begins, in lists of bounded size unless one match is longer."""
@@ -180,13 +181,15 @@ class Codec:
     def encode(self, text: str) -> array:
         ids, get = array("i"), self.cache.__getitem__
         for some in self.matches(text):
-            ids.extend(chain.from_iterable(map(get, some)))
+            ids.frombytes(b"".join(map(get, some)))
         return ids
 
-    def decode(self, ids: list[int]) -> bytes:
-        """The bytes of ids; ids that are no token have none."""
-        n, tokens = len(self.tokens), self.tokens
-        return b"".join([tokens[i] for i in ids if i is not None and 0 <= i < n])
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of ids, one after the other, and where each id's end; ids that are no token have none."""
+        ids = np.where((ids >= 0) & (ids < len(self.tokens)), ids, len(self.tokens))
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        return self.raw[np.repeat(self.starts[ids] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
 
     def state(self, text: str) -> tuple[array, array]:
         """The character at which each match begins, and the last token of each byte prefix of every match, one after the other."""
@@ -289,8 +292,12 @@ def decode(rows: DataFrame, model: Model, ids_col: str = "token_ids", columns: l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value)
         for b in batches:
-            raw = [c.decode(ids or []) for ids in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.record_batch([*b.columns[:-1], pa.array(raw, pa.binary())], names=names)
+            ids = b.column(b.num_columns - 1)
+            known = ids.flatten()
+            raw, ends = c.decode(known.fill_null(-1).to_numpy(zero_copy_only=False))
+            rows_end = np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            stops = np.concatenate([[0], np.concatenate([[0], ends])[rows_end]]).astype(np.int32)
+            yield pa.record_batch([*b.columns[:-1], pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(stops), pa.py_buffer(raw)])], names=names)
 
     return rows.select(*keep, F.col(ids_col).alias("__ids")).mapInArrow(run, schema)
 
