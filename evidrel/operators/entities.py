@@ -6,21 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidrel.functions.text import best_fuzzy
+from evidrel.operators.patterns import occurrences
 
 
 def alias_hits(queries: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(query_id, alias_id, start, stop) of every place where a query (query_id, query) holds an alias (alias_id, alias_text).
+    """(query_id, start, stop) and the alias's columns, of every place where a query (query_id, query) holds an alias (alias_id, alias_text).
 
-    The join key is an alias's first character, so a query meets only aliases
-    that can begin in it. Case counts; empty aliases are never found.
+    One pass of an automaton over each query. Case counts; empty aliases are
+    never found; aliases of one text are all found.
     """
-    chars = queries.withColumn("c", F.explode(F.array_distinct(F.filter(F.split("query", ""), lambda c: c != ""))))
-    pairs = chars.join(aliases.withColumn("c", F.substring("alias_text", 1, 1)).where("c != ''"), "c").where(F.contains(F.col("query"), F.col("alias_text")))
-    size, q, a = F.length("alias_text"), F.col("query"), F.col("alias_text")
-    starts = F.filter(F.sequence(F.lit(1), F.length(q) - size + 1), lambda s: F.substring(q, s, size) == a)
-    starts = F.transform(starts, lambda s: s - 1)
-    out = pairs.withColumn("start", F.explode(starts))
-    return out.withColumn("stop", F.col("start") + size)
+    found = occurrences(queries, "query", aliases.select(F.col("alias_text").alias("pattern")), ["query_id"])
+    return found.join(aliases, F.col("pattern") == F.col("alias_text")).drop("pattern")
 
 
 def greedy_spans(hits: DataFrame, *keep: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from evidrel.functions import scalars as S
 from evidrel.operators import packaging as P
@@ -144,20 +143,3 @@ def ir9(spark, sf):
     asked, docs, structured = requests(spark, sf), selected(spark, sf, found).persist(), items(spark, sf)
     counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_candidates"))
     return P.package(asked, docs, structured, counts).select("query_id", "n_candidates", "n_documents", "top_ranked", F.array_join("warnings", ",").alias("warnings"), "confidence")
-
-
-@query("ir14_eval_ranks")
-def ir14(spark, sf):
-    """Judged documents and 40 walked negatives of each query, ranked by their features: as an evaluation does."""
-    from evidrel.operators import tables as T
-
-    asked = requests(spark, sf)
-    docs = evidence(spark, sf)
-    judged = candidates(spark, sf).where("position <= 3").select("query_id", "doc_id")
-    wrong = T.cyclic_negatives(asked.select("query_id", "query"), docs.select("doc_id"), judged, 40).select("query_id", "doc_id")
-    pool = judged.withColumn("relevance", F.lit(1)).unionByName(wrong.withColumn("relevance", F.lit(0)))
-    rows = pool.join(docs, "doc_id").join(F.broadcast(asked.withColumnRenamed("product_type", "wanted")), "query_id")
-    rows = rows.withColumn("retrieval_score", S.lexical_similarity(F.col("query"), F.concat_ws(" ", "title", "body"))).withColumns(S.ranking_features(F.expr(AS_OF)))
-    base = S.baseline_rank(*map(F.col, ["lexical_score", "title_hit", "entity_exact_match", "product_type_match", "recency_score", "source_credibility"]))
-    w = W.partitionBy("query_id").orderBy(F.desc("rank_score"), "doc_id")
-    return rows.withColumn("rank_score", base).withColumn("rank", F.row_number().over(w)).select("query_id", "doc_id", "relevance", "rank_score", "rank")
