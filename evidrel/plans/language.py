@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidrel.functions import text as X
+from evidrel.operators.fuzzy import window_join
 from evidrel.plans.registry import query, read
 from evidrel.plans.views import EVIDENCE, evidence
 
@@ -94,11 +95,11 @@ def s49(spark, sf):
   m AS (SELECT query_id, n_name, round(greatest(1 - d / greatest(length(t), k)::DOUBLE, 0.78), 2) AS score FROM c WHERE trim(t) <> '' AND regexp_full_match(t, '[\\x00-\\x7f]*') AND CASE WHEN k <= 4 THEN d <= 1 ELSE d <= 2 AND 1 - d / greatest(length(t), k)::DOUBLE >= 0.78 END)
   SELECT query_id, n_name, max(score) AS score FROM m GROUP BY 1, 2""")
 def s9(spark, sf):
-    n = read(spark, sf, "nation").select("n_nationkey", "n_name")  # a fixed dimension of 25 rows
+    n = read(spark, sf, "nation").select("n_nationkey", "n_name")
     key = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string")).alias("query_id")
     name = lambda a, b: F.substring("n_name", a, b)
     q = read(spark, sf, "benchmark").select(key("b", "item_id"), F.upper("text").alias("q"))
     q = q.unionByName(n.select(key("n", "n_nationkey"), F.concat(F.lit("WHY DID "), name(1, 2), name(4, 99), F.lit(" FALL")).alias("q")))
     q = q.unionByName(n.select(key("s", "n_nationkey"), F.concat(F.lit("NEWS OF "), name(1, 3), F.lit("Q"), name(5, 99)).alias("q")))
-    best = q.join(F.broadcast(n.select("n_name"))).withColumn("m", X.best_fuzzy(F.col("q"), F.col("n_name")))
-    return best.where("m is not null").select("query_id", "n_name", F.col("m.score").alias("score"))
+    near = window_join(n.select(F.col("n_name").alias("name_id"), F.col("n_name").alias("name")), q.select(F.col("query_id").alias("text_id"), F.col("q").alias("text")))
+    return near.select(F.col("text_id").alias("query_id"), F.col("name_id").alias("n_name"), F.col("m.score").alias("score"))
