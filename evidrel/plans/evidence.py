@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from evidrel.functions import scalars as S
 from evidrel.operators import packaging as P
 from evidrel.operators import retrieval as R
+from evidrel.operators import timeseries as X
+from evidrel.operators.summary import FLAGS, analysis_summary
+from evidrel.operators.summary import MARKET as P_MARKET
+from evidrel.plans.catalog import judgements
+from evidrel.plans.market import MACRO_ROWS, macro_rows
 from evidrel.plans.registry import query, read
 from evidrel.plans.search import BONUS, cover_sql, half_up
-from evidrel.plans.views import AS_OF, EVIDENCE, REQUESTS, cosine_sql, evidence, requests
+from evidrel.plans.views import AS_OF, EVIDENCE, PRICES, REQUESTS, cosine_sql, evidence, prices, requests
 
 #: Documents of a package, and candidates that are scanned for it.
 TOP = 10
@@ -143,3 +149,60 @@ def ir9(spark, sf):
     asked, docs, structured = requests(spark, sf), selected(spark, sf, found).persist(), items(spark, sf)
     counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_candidates"))
     return P.package(asked, docs, structured, counts).select("query_id", "n_candidates", "n_documents", "top_ranked", F.array_join("warnings", ",").alias("warnings"), "confidence")
+
+
+#: Items of a request: market and index rows of its symbols (the price series of one of five order priorities), fundamentals of
+#: parts, and for every third request the indicators of one of eight groups of suppliers.
+SUMMARY_ITEMS = f"""{PRICES}, ser AS (SELECT symbol, trade_date, close, lag(close) OVER (PARTITION BY symbol ORDER BY trade_date) AS before, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS r FROM prices),
+  last AS (SELECT symbol AS series, trade_date, close, CASE WHEN before <> 0 THEN round((close - before) / before * 100, 4) END AS pct, row_number() OVER (ORDER BY symbol) - 1 AS k FROM ser WHERE r = 1),
+  sy AS (SELECT query_id, s AS symbol, CAST(substr(s, 4) AS BIGINT) AS k, n FROM (SELECT query_id, unnest(symbols) AS s, generate_subscripts(symbols, 1) AS n FROM requests)),
+  it AS (SELECT query_id, n * 10 AS ord, 'market_api' AS source_type, symbol, trade_date, close, pct, NULL::DOUBLE AS pe, NULL AS code, NULL::DOUBLE AS v FROM sy JOIN last ON last.k = sy.k % 5 WHERE sy.k % 2 = 0
+    UNION ALL SELECT query_id, n * 10 + 1, 'index_daily', symbol, trade_date, close, pct, NULL, NULL, NULL FROM sy JOIN last ON last.k = sy.k % 5 WHERE sy.k % 3 <> 1
+    UNION ALL SELECT query_id, n * 10 + 2, 'fundamental_sql', symbol, NULL, NULL, NULL, CASE WHEN p_partkey % 7 <> 0 THEN p_size - 3 END, NULL, NULL FROM sy JOIN part ON p_partkey = sy.k
+    UNION ALL SELECT query_id, 1000 + s_suppkey, 'macro_sql', NULL, NULL, NULL, NULL, NULL, code, v FROM requests JOIN d ON s_suppkey % 8 = query_id % 8 AND query_id % 3 = 0)"""
+
+
+def summary_items(spark, sf):
+    last = X.latest(X.fill_pct_change(X.usable(prices(spark, sf)).withColumn("pct_change_1d", F.lit(None).cast("double")))).select("symbol", "trade_date", "close", "pct_change_1d")
+    numbers = W.orderBy("symbol")  # the last rows of the five order priorities
+    last = last.withColumn("k", F.row_number().over(numbers) - 1).drop("symbol")
+    each = requests(spark, sf).select("query_id", F.posexplode("symbols").alias("n", "symbol")).withColumn("id", F.substring("symbol", 4, 20).cast("long"))
+    none = {"trade_date": "string", "close": "double", "pct_change_1d": "double", "report_date": "string", "pe_ttm": "double", "pb": "double", "roe": "double", "indicator_code": "string", "metric_value": "double"}
+
+    def rows(df, source, ord_, **more):
+        given = {c: F.lit(None).cast(t) for c, t in none.items() if c not in more}
+        return df.select("query_id", ord_.cast("long").alias("ord"), F.lit(source).alias("source_type"), (F.col("symbol") if "symbol" in df.columns else F.lit(None).cast("string")).alias("symbol"), F.lit(None).cast("string").alias("canonical_name"), F.lit(source in P_MARKET).alias("analysed"), *[(more.get(c) if c in more else given[c]).cast(t).alias(c) for c, t in none.items()])
+
+    priced = each.join(last, F.pmod("id", F.lit(5)) == F.col("k"))
+    price = {c: F.col(c) for c in ("trade_date", "close", "pct_change_1d")}
+    parts = each.join(read(spark, sf, "part").select("p_partkey", "p_size"), F.col("id") == F.col("p_partkey"))
+    macro = requests(spark, sf).where("query_id % 3 = 0").select("query_id").join(macro_rows(spark, sf), F.col("s_suppkey") % 8 == F.col("query_id") % 8)
+    out = rows(priced.where("id % 2 = 0"), "market_api", (F.col("n") + 1) * 10, **price).unionByName(rows(priced.where("id % 3 != 1"), "index_daily", (F.col("n") + 1) * 10 + 1, **price))
+    out = out.unionByName(rows(parts, "fundamental_sql", (F.col("n") + 1) * 10 + 2, pe_ttm=F.when(F.col("p_partkey") % 7 != 0, F.col("p_size") - 3)))
+    return out.unionByName(rows(macro, "macro_sql", F.col("s_suppkey") + 1000, indicator_code=F.col("code"), metric_value=F.col("v")))
+
+
+@query("a8_analysis_summary", f"""WITH {EVIDENCE}, {REQUESTS}, {MACRO_ROWS}, {SUMMARY_ITEMS},
+  m1 AS (SELECT query_id, symbol, min(ord) AS first, arg_max({{'symbol': symbol, 'trade_date': trade_date, 'close': close, 'pct': pct}}, CASE WHEN source_type = 'market_api' THEN 1000000 + ord ELSE -ord END) AS s FROM it WHERE source_type IN ('market_api', 'index_daily') GROUP BY 1, 2),
+  m2 AS (SELECT query_id, count(*) AS n_market, string_agg(s.symbol || ':' || s.trade_date || ':' || round(s.close, 2), ',' ORDER BY first) AS market FROM m1 GROUP BY 1),
+  f1 AS (SELECT query_id, count(*) AS n_fundamental, string_agg(symbol || ':' || CASE WHEN pe IS NULL OR pe <= 0 THEN 'unknown' WHEN pe < 15 THEN 'potentially_undervalued' WHEN pe > 40 THEN 'potentially_overvalued' ELSE 'fair_range' END, ',' ORDER BY ord) AS fundamental FROM it WHERE source_type = 'fundamental_sql' GROUP BY 1),
+  c1 AS (SELECT query_id, string_agg(code || ':' || CASE WHEN it.v IS NULL THEN 'unknown' ELSE direction END, ',' ORDER BY ord) AS macro, count(*) FILTER (WHERE direction IN ('expansion', 'expansionary', 'rising')) AS u, count(*) FILTER (WHERE direction IN ('contraction', 'tightening', 'deflationary', 'falling')) AS w
+    FROM it JOIN (SELECT s_suppkey, direction FROM d) g ON g.s_suppkey = it.ord - 1000 WHERE source_type = 'macro_sql' GROUP BY 1),
+  h AS (SELECT query_id, bool_or(source_type IN ('market_api', 'index_daily', 'fund_nav')) AS p, bool_or(source_type = 'fundamental_sql') AS f, bool_or(source_type = 'macro_sql') AS m FROM it GROUP BY 1),
+  nw AS (SELECT item_id AS query_id, bool_or(source_type = 'news') AS news FROM benchmark JOIN evidence ON contains(body, text) GROUP BY 1)
+  SELECT r.query_id, coalesce(n_market, 0) AS n_market, market, coalesce(n_fundamental, 0) AS n_fundamental, fundamental, macro, CASE WHEN macro IS NULL THEN NULL WHEN u > w THEN 'expansionary' WHEN w > u THEN 'contractionary' ELSE 'mixed' END AS overall,
+    coalesce(p, false) AS has_price_data, coalesce(f, false) AS has_fundamentals, coalesce(m, false) AS has_macro, coalesce(news, false) AS has_news, coalesce(p, false) AS has_technical_indicators,
+    array_to_string(list_sort(intent_labels), ',') AS intents, array_to_string(list_sort(topic_labels), ',') AS topics
+  FROM requests r LEFT JOIN m2 USING (query_id) LEFT JOIN f1 USING (query_id) LEFT JOIN c1 USING (query_id) LEFT JOIN h USING (query_id) LEFT JOIN nw USING (query_id)""")
+def a8(spark, sf):
+    """Signals and readiness of every request; its documents are those that hold its whole text."""
+    docs = judgements(spark, sf).join(evidence(spark, sf).select("doc_id", "source_type"), "doc_id")
+    out = analysis_summary(requests(spark, sf), summary_items(spark, sf), docs, ["trade_date", "close", "pct_change_1d"])
+    line = lambda c, *fields: F.when(F.size(c) > 0, F.array_join(F.transform(c, lambda x: F.concat_ws(":", *[f(x) for f in fields])), ","))
+    field = lambda n: lambda x: x[n].cast("string")
+    count = lambda c: F.coalesce(F.size(F.col(c)), F.lit(0)).cast("long")
+    return out.select(
+        "query_id", count("market").alias("n_market"), line("market", field("symbol"), field("trade_date"), lambda x: F.round(x["close"], 2).cast("string")).alias("market"), count("fundamental").alias("n_fundamental"),
+        line("fundamental", field("symbol"), field("valuation_assessment")).alias("fundamental"), line("indicators", field("indicator_code"), field("direction")).alias("macro"), "overall", *FLAGS,
+        F.array_join("relevant_intents", ",").alias("intents"), F.array_join("relevant_topics", ",").alias("topics"),
+    )
