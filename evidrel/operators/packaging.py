@@ -47,7 +47,7 @@ def comparison_coverage(items: DataFrame, requests: DataFrame) -> DataFrame:
     """
     has = lambda c, x: F.coalesce(F.array_contains(c, x), F.lit(False))
     asks = requests.where(has("intent_labels", "peer_compare") | has("topic_labels", "comparison")).select("query_id")
-    each = items.join(F.broadcast(asks), "query_id").select("query_id", F.explode("symbols").alias("symbol")).where("symbol is not null and symbol != ''").distinct()
+    each = items.join(asks, "query_id").select("query_id", F.explode("symbols").alias("symbol")).where("symbol is not null and symbol != ''").distinct()
     several = each.groupBy("query_id").agg((F.count(F.lit(1)) >= 2).alias("comparison"))
     return requests.select("query_id").join(several, "query_id", "left").select("query_id", F.coalesce("comparison", F.lit(False)).alias("comparison"))
 

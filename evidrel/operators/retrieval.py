@@ -164,6 +164,45 @@ def query_groups(queries: DataFrame) -> Iterator[DataFrame]:
         yield queries if groups == 1 else queries.where(F.pmod(F.xxhash64(*queries.columns[:1]), F.lit(groups)) == g)
 
 
+class Running:
+    """The k best rows of each group that a task has met: by score to four places, then by id.
+
+    A group's kth score bars worse rows of later blocks, so a task holds and hands
+    on about k rows of each group, however many documents it reads. Scores so near
+    to a rounding border that another rounding may differ are kept as well.
+    """
+
+    def __init__(self, groups: int, k: int):
+        self.k, self.least = k, np.full(groups, -np.inf)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n, self.most = 0, 4 * k * groups + 100_000
+
+    def add(self, group: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        ok = score >= self.least[group] - 1e-4
+        if ok.any():
+            self.held.append((group[ok], ids[ok], score[ok]))
+            self.n += int(ok.sum())
+            if self.n > self.most:
+                self.rows()
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        group, ids, score = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        tens = score * 1e4
+        order = np.lexsort((ids, -np.floor(tens + 0.5), group))
+        group, ids, score, tens = group[order], ids[order], score[order], tens[order]
+        begins = np.flatnonzero(np.diff(group, prepend=-1))
+        rank = np.arange(len(group)) - np.repeat(begins, np.diff(np.append(begins, len(group))))
+        last = rank == self.k - 1
+        self.least[group[last]] = np.maximum(self.least[group[last]], score[last])
+        near = (np.abs(tens % 1 - 0.5) < 1e-6) & (score >= self.least[group] - 1e-4)
+        keep = (rank < self.k) | near
+        self.held, self.n = [(group[keep], ids[keep], score[keep])], int(keep.sum())
+        self.most = max(self.most, 2 * self.n)
+        return self.held[0]
+
+
 def cosine(queries: DataFrame, docs: DataFrame, query_text: Column, doc_text: Column, query_key: str = "query_id", doc_key: str = "doc_id", least: float = 0.0, top: int | None = None) -> DataFrame:
     """(query, doc, cosine) of pairs that share a gram, with a cosine of at least ``least``.
 
@@ -184,15 +223,19 @@ def cosine(queries: DataFrame, docs: DataFrame, query_text: Column, doc_text: Co
 
         def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             vectors, ids = shared.value
+            best = Running(len(ids), top) if top is not None else None
             for f in frames:
                 for at in range(0, len(f), DOCUMENT_BLOCK):
                     part = f.iloc[at : at + DOCUMENT_BLOCK]
                     for mine, got in block_cosines(vectors, part["text"].tolist(), part["norm"].to_numpy(float)):
-                        keep = (got > 0) & (got >= least)
-                        if top is not None and len(part) > top:
-                            keep &= got >= np.partition(got, len(part) - top, axis=0)[len(part) - top] - 1e-4
-                        d, q = np.nonzero(keep)
-                        yield pd.DataFrame({query_key: ids[mine][q], doc_key: part["doc"].to_numpy()[d], "cosine": got[d, q]})
+                        d, q = np.nonzero((got > 0) & (got >= least))
+                        if best is not None:
+                            best.add(np.asarray(mine)[q], part["doc"].to_numpy()[d], got[d, q])
+                        else:
+                            yield pd.DataFrame({query_key: ids[mine][q], doc_key: part["doc"].to_numpy()[d], "cosine": got[d, q]})
+            if best is not None:
+                q, d, score = best.rows()
+                yield pd.DataFrame({query_key: ids[q], doc_key: d, "cosine": score})
 
         parts.append(vectors.with_norms(texts).mapInPandas(run, schema))
     return reduce(DataFrame.unionByName, parts)
@@ -260,7 +303,7 @@ def scan(requests: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     share a symbol with a request that has some, where it is not bound to an
     entity that the request is not about, and where the score reaches its
     source's least. Every document is scored where it is read; a task hands on
-    the best k of each request and source of a block of documents.
+    its best k of each request and source.
     """
     spark = docs.sparkSession
     whole = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")), F.coalesce("body", F.lit("")))
@@ -277,6 +320,7 @@ def scan(requests: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             vectors, ids, rules = shared.value
             least = np.array([LEAST_SCORE[s] for s in DOCUMENT_SOURCES])
             code = {s: i for i, s in enumerate(DOCUMENT_SOURCES)}
+            best = Running(len(DOCUMENT_SOURCES) * len(ids), k)
             for f in frames:
                 for at in range(0, len(f), DOCUMENT_BLOCK):
                     part = f.iloc[at : at + DOCUMENT_BLOCK]
@@ -285,12 +329,11 @@ def scan(requests: DataFrame, docs: DataFrame, k: int) -> DataFrame:
                         score = np.round(np.maximum(got + rule.bonus(part["whole"].tolist()), 0), 4)
                         score[~rule.allowed(kinds, part["entity_symbols"].tolist())] = -1
                         score[score < least[kinds][:, None]] = -1
-                        for kind in np.unique(kinds[kinds >= 0]):
-                            rows = np.flatnonzero(kinds == kind)
-                            own = score[rows]
-                            edge = np.partition(own, len(rows) - k, axis=0)[len(rows) - k] if len(rows) > k else np.zeros(own.shape[1])
-                            d, q = np.nonzero((own >= 0) & (own >= edge))
-                            yield pd.DataFrame({"query_id": ids[mine][q], "doc_id": part["doc_id"].to_numpy()[rows[d]], "source_type": DOCUMENT_SOURCES[kind], "score": own[d, q]})
+                        d, q = np.nonzero(score >= 0)
+                        best.add(kinds[d] * len(ids) + np.asarray(mine)[q], part["doc_id"].to_numpy()[d], score[d, q])
+            group, d, score = best.rows()
+            if len(group):
+                yield pd.DataFrame({"query_id": ids[group % len(ids)], "doc_id": d, "source_type": np.array(DOCUMENT_SOURCES)[group // len(ids)], "score": score})
 
         parts.append(vectors.with_norms(rows, "doc_id").mapInPandas(run, schema))
     return reduce(DataFrame.unionByName, parts)

@@ -34,7 +34,7 @@ SCAN = f"""{EVIDENCE}, {REQUESTS}, {cosine_sql("concat_ws(' ', query, array_to_s
 def candidates(spark, sf):
     """The documents that each request may use, the best of each planned source first."""
     asked = requests(spark, sf)
-    found = R.scan(asked, evidence(spark, sf), CANDIDATES).join(F.broadcast(asked.select("query_id", "source_plan")), "query_id")
+    found = R.scan(asked, evidence(spark, sf), CANDIDATES).join(asked.select("query_id", "source_plan"), "query_id")
     return R.diversified(found, CANDIDATES).select("query_id", "doc_id", F.col("score").alias("retrieval_score"), "position")
 
 
@@ -68,7 +68,7 @@ NAMES = S.FEATURE_NAMES
 
 
 def features(spark, sf, found=None):
-    rows = (found or candidates(spark, sf)).join(evidence(spark, sf), "doc_id").join(F.broadcast(requests(spark, sf).withColumnRenamed("product_type", "wanted")), "query_id")
+    rows = (found or candidates(spark, sf)).join(evidence(spark, sf), "doc_id").join(requests(spark, sf).withColumnRenamed("product_type", "wanted"), "query_id")
     return rows.withColumns(S.ranking_features(F.expr(AS_OF)))
 
 

@@ -70,7 +70,7 @@ PAIRS = f"""{EVIDENCE}, {REQUESTS}, {cosine_sql('query')}, p AS (SELECT r.* EXCL
 def pairs(spark, sf):
     """Requests with every document that shares a gram; score is the cosine to four places."""
     hits = cosines(spark, sf).select("query_id", "doc_id", F.round("cosine", 4).alias("score"))
-    return hits.join(evidence(spark, sf), "doc_id").join(F.broadcast(requests(spark, sf).drop("product_type")), "query_id")
+    return hits.join(evidence(spark, sf), "doc_id").join(requests(spark, sf).drop("product_type"), "query_id")
 
 
 HITS = PAIRS.replace(", p AS (", ", every AS (") + ", p AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 20)"
@@ -80,7 +80,7 @@ def hits(spark, sf):
     """The 20 best documents of each request: the candidates that features and packages are made of."""
     best = cosines(spark, sf, top=20).select("query_id", "doc_id", F.round("cosine", 4).alias("score"))
     best = best.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where("n <= 20").drop("n")
-    return best.join(evidence(spark, sf), "doc_id").join(F.broadcast(requests(spark, sf).drop("product_type")), "query_id")
+    return best.join(evidence(spark, sf), "doc_id").join(requests(spark, sf).drop("product_type"), "query_id")
 
 
 @query("pf7_least_score", f"WITH {PAIRS} SELECT query_id, doc_id FROM p WHERE score >= CASE WHEN source_type IN ('news', 'announcement') THEN 0.02 ELSE 0.05 END")
