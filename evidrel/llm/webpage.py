@@ -408,19 +408,57 @@ def region(root: Node, dropped: set[int], kept: frozenset[int] | set[int] = froz
         node = top
 
 
+#: Links of a block, and items of a list, from which text that is nearly all links is a menu.
+MENU_LINKS = 3
+
+
+def menus(node: Node) -> set[int]:
+    """Lists of MENU_LINKS items and more, each of them a link and hardly anything else."""
+    out: set[int] = set()
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        kids = [k for k in x.kids if isinstance(k, Node)]
+        items = [k for k in kids if k.tag == "li"]
+        if x.tag in ("ul", "ol", "menu") and len(items) >= MENU_LINKS and all(mostly_linked(k) for k in items):
+            out.add(id(x))
+        else:
+            todo += kids
+    return out
+
+
+def mostly_linked(node: Node) -> bool:
+    """Whether a subtree has text, more than half of it inside links."""
+    total = linked = 0
+    todo: list = [(node, node.tag == "a")]
+    while todo:
+        x, inside = todo.pop()
+        for k in x.kids:
+            if isinstance(k, str):
+                total += len(k.strip())
+                linked += len(k.strip()) if inside else 0
+            elif k.tag not in RAW:
+                todo.append((k, inside or k.tag == "a"))
+    return 2 * linked > total > 0
+
+
 def blocks(node: Node, dropped: set[int], guessed: bool, kept: frozenset[int] | set[int] = frozenset()) -> list[str]:
-    """The blocks of a subtree in page order; guessed: without blocks that are mostly links."""
+    """The blocks of a subtree in page order; guessed: without blocks of several links and little else, and lists of links.
+
+    A headline or a paragraph that is one link stays.
+    """
     out: list[str] = []
     run: list[str] = []
-    linked = 0
+    linked = links = 0
+    dropped = dropped | menus(node) if guessed else dropped
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, links
         text = _SPACE.sub(" ", html.unescape("".join(run))).strip()
-        if text and not (guessed and 2 * linked > len(text)):
+        if text and not (guessed and links >= MENU_LINKS and 2 * linked > len(text)):
             out.append(text)
         run.clear()
-        linked = 0
+        linked = links = 0
 
     todo: list = [node]
     inside_a = 0
@@ -445,6 +483,7 @@ def blocks(node: Node, dropped: set[int], guessed: bool, kept: frozenset[int] |
                 todo.append(("block",))
             elif x.tag == "a":
                 inside_a += 1
+                links += 1
                 todo.append(("link",))
             todo.extend(reversed(x.kids))
         elif x.tag == "hr":

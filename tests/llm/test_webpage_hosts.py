@@ -68,3 +68,11 @@ def test_many_siblings_are_matched_as_few_are(monkeypatch):
         monkeypatch.setattr(webpage, "CELLS", 0)
         large, pairs = webpage.tree_match(*trees)
         assert large == size == len(pairs) == len(set(pairs)) and all(trees[0].keys[i] == trees[1].keys[j] for i, j in pairs)
+
+
+def test_linked_headlines_and_paragraphs_stay_and_lists_of_links_go():
+    page = "<html><body><h2>Section about <a href=x>a long linked heading of this page</a></h2><p>See <a href=y>this whole paragraph is a link to more</a></p><p>Plain text of the page stays as it is, all of it, and is long enough.</p>"
+    page += "<ul><li><a href=1>Home</a></li><li><a href=2>About</a></li><li><a href=3>Contact</a></li></ul><div><a href=1>One</a> | <a href=2>Two</a> | <a href=3>Three</a></div><ul><li><a href=q>Only</a> item with words</li><li>Second</li></ul></body></html>"
+    text = webpage.extract([page])[0]
+    assert "a long linked heading of this page" in text and "this whole paragraph is a link to more" in text
+    assert "Home" not in text and "Two" not in text and "Only item with words" in text and "Second" in text
