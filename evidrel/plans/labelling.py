@@ -112,11 +112,11 @@ def s48(spark, sf):
     return every.groupingSets([[k] for k in keys], *keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s14_s15_comparison_targets", f"""WITH v(id, t) AS (VALUES {ROWS}), c AS (SELECT id, CASE WHEN regexp_matches(t, '{L.PAIR_PATTERN}') THEN [regexp_extract(t, '{L.PAIR_PATTERN}', 1), regexp_extract(t, '{L.PAIR_PATTERN}', 2)]
+@query("s14_s15_comparison_targets", f"""WITH {TEXTS}, v AS (SELECT id, coalesce(t, '') AS t FROM texts), c AS (SELECT id, CASE WHEN regexp_matches(t, '{L.PAIR_PATTERN}') THEN [regexp_extract(t, '{L.PAIR_PATTERN}', 1), regexp_extract(t, '{L.PAIR_PATTERN}', 2)]
     WHEN regexp_matches(t, '{L.THAN_PATTERN}') THEN regexp_extract_all(t, '{L.THAN_PATTERN}', 1) ELSE regexp_extract_all(t, '{L.OTHER_PATTERN}', 1) END AS targets FROM v)
   SELECT id::BIGINT AS id, array_to_string(targets, ',') AS targets, array_to_string(list_transform(targets, lambda x: regexp_replace(x, '^(.+)({'|'.join(L.TARGET_SUFFIXES)})$', '\\1')), ',') AS names FROM c""")
 def s14(spark, sf):
-    c = samples(spark).withColumn("targets", L.comparison_targets(F.col("t")))
+    c = texts(spark, sf).withColumn("t", F.coalesce("t", F.lit(""))).withColumn("targets", L.comparison_targets(F.col("t")))
     return c.select("id", F.array_join("targets", ",").alias("targets"), F.array_join(F.transform("targets", L.target_name), ",").alias("names"))
 
 

@@ -17,6 +17,16 @@ def fixture(spark):
     return spark.createDataFrame(list(enumerate(ZH)), "id int, t string")
 
 
+def asked(spark, sf):
+    """The fixture's texts and those of benchmark and conversations, whole."""
+    rows = fixture(spark).select(F.col("id").cast("long").alias("id"), "t")
+    rows = rows.unionByName(read(spark, sf, "benchmark").select((F.col("item_id") + 100).alias("id"), F.coalesce("text", F.lit("")).alias("t")))
+    return rows.unionByName(read(spark, sf, "conversations").select((-F.col("conv_id") * 1000 - F.col("turn") - 1).alias("id"), F.coalesce("text", F.lit("")).alias("t")))
+
+
+ASKED = f"v AS (SELECT id::BIGINT AS id, t FROM (VALUES {VALUES}) f(id, t) UNION ALL SELECT item_id + 100, coalesce(text, '') FROM benchmark UNION ALL SELECT -conv_id * 1000 - turn - 1, coalesce(text, '') FROM conversations)"
+
+
 def kept_length(char_class: str, text: str = "t") -> str:
     """DuckDB: how many characters of a class a text has."""
     return f"length(regexp_replace({text}, '[^{char_class}]', '', 'g'))".replace("'《", "''《").replace("\"'(", "\"''(")
@@ -44,20 +54,20 @@ def s24(spark, sf):
 
 @query("s23_sentences_zh")
 def s23(spark, sf):
-    return fixture(spark).select("id", X.sentences(F.col("t"), X.detect_language(F.col("t"))).alias("sentences"))
+    return asked(spark, sf).select("id", X.sentences(F.col("t"), X.detect_language(F.col("t"))).alias("sentences"))
 
 
 @query("s1_s3_normalized_queries")
 def s1(spark, sf):
-    return fixture(spark).select("id", X.normalize_query(F.col("t"), {"茅台": "贵州茅台", "五粮液": "五粮液"}).alias("q"))
+    return asked(spark, sf).select("id", X.normalize_query(F.col("t"), {"茅台": "贵州茅台", "五粮液": "五粮液"}).alias("q"))
 
 
-@query("s16_s17_slots", f"""WITH v(id, t) AS (VALUES {VALUES}), k AS (SELECT id, t, list_filter(['下跌', '上涨', '原因', '持有', '风险', '估值', '新闻'], lambda w: contains(t, w)) AS w FROM v)
+@query("s16_s17_slots", f"""WITH {ASKED}, k AS (SELECT id, t, list_filter(['下跌', '上涨', '原因', '持有', '风险', '估值', '新闻'], lambda w: contains(t, w)) AS w FROM v)
   SELECT id, array_to_string(CASE WHEN contains(t, '跌') AND NOT list_contains(w, '下跌') THEN list_append(w, '下跌') ELSE w END, ',') AS keywords, CASE WHEN contains(t, '跌') OR contains(t, '慌') OR contains(t, '回撤') THEN 'anxious' ELSE 'neutral' END AS sentiment,
   CASE WHEN regexp_matches(t, '比|相比|哪个|谁更|更稳|更好|有什么区别|有何区别|有什么不同|差别') THEN 'compare' WHEN regexp_matches(t, '为什么|为啥|咋') AND NOT regexp_matches(t, '值得|能买吗|买吗|买入|卖出|上车|止盈|止损|持有|拿吗') THEN 'why' WHEN regexp_matches(t, '为什么|为啥|咋') THEN 'why' WHEN regexp_matches(t, '未来|接下来|后市') THEN 'forecast' ELSE 'fact' END AS style FROM k""")
 def s16(spark, sf):
     s = X.slots(F.col("t"))
-    return fixture(spark).select("id", F.array_join(s["keywords"], ",").alias("keywords"), s["sentiment_of_user"].alias("sentiment"), X.question_style(F.col("t"), F.array().cast("array<string>")).alias("style"))
+    return asked(spark, sf).select("id", F.array_join(s["keywords"], ",").alias("keywords"), s["sentiment_of_user"].alias("sentiment"), X.question_style(F.col("t"), F.array().cast("array<string>")).alias("style"))
 
 
 @query("s29_s32_clean", f"WITH {EVIDENCE} SELECT doc_id, trim(regexp_replace(body, '\\s+', ' ', 'g')) AS clean, substr(trim(regexp_replace(title, '[^A-Za-z0-9_.:-]+', '_', 'g'), '_'), 1, 160) AS safe FROM evidence")

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """The rows as a Parquet table below ``spark.checkpoint.dir`` (where that is unset, as in tests, below the warehouse)."""
-    spark = df.sparkSession
+def place(spark: SparkSession, what: str) -> str:
+    """A new path below ``spark.checkpoint.dir`` (where that is unset, as in tests, below the warehouse)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
-    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """The rows as a Parquet table in a place of its own."""
+    spark, path = df.sparkSession, place(df.sparkSession, what)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
