@@ -220,6 +220,9 @@ def window_join(names: DataFrame, texts: DataFrame) -> DataFrame:
     known = names.where(F.length("name") >= 2).select("name").distinct().select(F.xxhash64("name").alias("name_id"), "name", window_edits(F.length("name")).alias("edits"))
     asked = texts.where(F.length("text") > 0).select("text").distinct().select(F.xxhash64("text").alias("text_id"), "text")
     pairs = candidates(known, asked).join(known.select("name_id", "name"), "name_id").join(asked, "text_id")
+    pairs = pairs.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # comparing is dear, the pairs are small
+    hold = lambda name, text: float(may_hold(name, text, 1 if len(name) <= 4 else min(2, int((len(name) + 1) * 0.22 + 1e-9))))  # noqa: E731  all grams, not the rarest only
+    pairs = scored(pairs.select("name", "text"), "name", "text", hold, "may").where("may > 0")
     near = pairs.withColumn("m", best_fuzzy(F.col("text"), F.col("name"))).where("m is not null").select("name", "text", "m")
     return near.join(names.select("name_id", "name"), "name").join(texts.select("text_id", "text"), "text").select("name_id", "text_id", "m")
 

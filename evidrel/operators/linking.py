@@ -191,6 +191,7 @@ def chosen(found: DataFrame, entities: DataFrame, linker: Linker | None) -> Data
     if linker is None:
         return out
     several = each.join(n.where("n > 1").select(*keys), keys).join(entities.select("entity_id", "canonical_name", "industry_name", "symbol"), "entity_id")
+    several = several.repartition(int(several.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # comparing is dear, the rows are small
     best = linker.scored(several).groupBy(*keys).agg(F.max_by(F.struct("entity_id", "linked"), F.struct("linked", -F.col("entity_id"))).alias("b"))
     return out.unionByName(best.select(*keys, "b.entity_id", F.round("b.linked", 2).alias("confidence"), F.lit("linked").alias("match_type"), F.lit(True).alias("ambiguous")))
 
