@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidrel.learning.hashed import Featurize, Row
-from evidrel.learning.vectors import MOST_TASKS, SCHEMA, chunks, summed
+from evidrel.learning.vectors import MOST_TASKS, SCHEMA, chunks, stretches, summed
 from evidrel.sources.scratch import dropped, written
 
 #: Penalty of squared weights, first step, passes over the rows.
@@ -78,7 +78,8 @@ def _epoch(rows: DataFrame, shards: int, epoch: int, started: int, w: np.ndarray
         own, n = Weights(*shared.value), 0
         for b in batches:
             ys, ws = (np.array(b.column(c).to_pylist(), float) for c in ("y", "weight"))
-            for row, y, weight in zip(featurize(b.column("value").to_pylist()), ys, ws, strict=True):
+            made = (row for part in stretches(b.column("value")) for row in featurize(part.to_pylist()))
+            for row, y, weight in zip(made, ys, ws, strict=True):
                 own.step(row, y, weight, eta(started + n, first))
                 n += 1
         if n:
@@ -136,17 +137,17 @@ def fit_classes(rows: DataFrame, key: str | Column, value: str | Column, label:
     return fit(known, key, value, {c: (of == c).cast("double") for c in weight}, places, featurize, weights=dict.fromkeys(weight, each), **more)
 
 
-def predict(rows: DataFrame, model: Linear, value: str | Column, featurize: Featurize, exclusive: bool, out: str = "probabilities") -> DataFrame:
-    """rows with an array of the classes' probabilities."""
+def predict(rows: DataFrame, model: Linear, value: str | Column, featurize: Featurize, exclusive: bool, out: str = "probabilities", columns: list[str] | None = None) -> DataFrame:
+    """rows (of them ``columns``, where given) with an array of the classes' probabilities."""
     value = F.col(value) if isinstance(value, str) else value
-    keep = [c for c in rows.columns if c != out]
+    keep = [c for c in (rows.columns if columns is None else columns) if c != out]
     schema = rows.select(*keep).withColumn(out, F.array().cast("array<double>")).schema
     shared, names = rows.sparkSession.sparkContext.broadcast(model), [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = shared.value.probabilities(featurize(b.column(b.num_columns - 1).to_pylist()), exclusive)
-            yield pa.record_batch([*b.columns[:-1], pa.array(p.tolist(), pa.list_(pa.float64()))], names=names)
+            p = [x for part in stretches(b.column(b.num_columns - 1)) for x in shared.value.probabilities(featurize(part.to_pylist()), exclusive).tolist()]
+            yield pa.record_batch([*b.columns[:-1], pa.array(p, pa.list_(pa.float64()))], names=names)
 
     return rows.select(*keep, value.alias("__value")).mapInArrow(run, schema)
 

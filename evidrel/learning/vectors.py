@@ -1,4 +1,4 @@
-"""Sums of long vectors over tasks, in chunks, so that no task and no row holds them all."""
+"""Sums of long vectors over tasks, in chunks, so that no task and no row holds them all; stretches of columns, so that no task holds the features of a batch."""
 
 from __future__ import annotations
 
@@ -7,11 +7,27 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Numbers of a chunk; tasks that give a vector at most.
 CHUNK, MOST_TASKS = 4096, 256
 SCHEMA = "k long, c long, n double, w binary"
+#: Rows, and bytes of text, that a task turns into features at a time.
+STRETCH_ROWS, STRETCH_BYTES = 256, 1 << 20
+
+
+def stretches(column: pa.Array) -> Iterator[pa.Array]:
+    """A column of a batch in parts of at most STRETCH_ROWS rows and about STRETCH_BYTES bytes of text; a longer text is a part of its own."""
+    size = np.zeros(len(column), np.int64)
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, lo = np.cumsum(size), 0
+    while lo < len(column):
+        fits = int(np.searchsorted(ends, ends[lo] - size[lo] + STRETCH_BYTES, "right"))
+        hi = min(max(fits, lo + 1), lo + STRETCH_ROWS)
+        yield column.slice(lo, hi - lo)
+        lo = hi
 
 
 def chunks(k: int, vector: np.ndarray, n: float) -> Iterator[pa.RecordBatch]:

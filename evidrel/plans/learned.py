@@ -28,7 +28,7 @@ def ml2(spark, sf):
     known = turns.where("not held_out").withColumn("row_key", F.concat_ws("/", "conv_id", "turn"))
     model = linear.fit_classes(known, "row_key", "text", "role", hashed.TEXT_PLACES, hashed.texts)
     label, score = linear.best_class(model.classes, F.col("probabilities"))
-    return linear.predict(turns, model, "text", hashed.texts, exclusive=True).select("conv_id", "turn", "role", "held_out", label.alias("predicted"), score.alias("score"))
+    return linear.predict(turns, model, "text", hashed.texts, exclusive=True, columns=["conv_id", "turn", "role", "held_out"]).select("conv_id", "turn", "role", "held_out", label.alias("predicted"), score.alias("score"))
 
 
 LABELS = ["quality", "toxic"]
@@ -43,7 +43,7 @@ def scored_labels(spark, sf) -> tuple[DataFrame, dict[str, float]]:
     """Probabilities of the labels of all labelled documents (several may hold at once), and tuned thresholds."""
     docs = labelled_documents(spark, sf)
     model = linear.fit(docs.where("part > 1"), "doc_id", "text", {c: F.col(c) for c in LABELS}, hashed.TEXT_PLACES, hashed.texts)
-    scored = written(linear.predict(docs, model, "text", hashed.texts, exclusive=False).drop("text"), "scored-labels")
+    scored = written(linear.predict(docs, model, "text", hashed.texts, exclusive=False, columns=["doc_id", *LABELS, "part"]), "scored-labels")
     return scored, linear.tuned_thresholds(scored.where("part = 1"), LABELS, {c: F.col(c) for c in LABELS})
 
 

@@ -263,3 +263,24 @@ def test_evaluation_ranks_every_pool_and_the_metrics_follow(spark):
         assert math.isclose(r.ndcg, np.mean(gains), abs_tol=1e-6)
     assert all(quality["learned", h].ndcg >= quality["baseline", h].ndcg for h in (True, False) if ("learned", h) in quality)
     assert S.FEATURE_NAMES == learned.fitted_ranker(spark, SF).names
+
+
+def test_features_of_a_batch_are_made_a_stretch_at_a_time(spark):
+    import pyarrow as pa
+
+    from evidrel.learning import vectors
+
+    texts = ["a b", None, "x" * (vectors.STRETCH_BYTES + 5), "", *["words " * 1000] * 1000]
+    parts = list(vectors.stretches(pa.array(texts, pa.string())))
+    assert pa.concat_arrays(parts).to_pylist() == texts
+    assert all(len(p) <= vectors.STRETCH_ROWS and (len(p) == 1 or sum(len(t or "") for t in p.to_pylist()) <= vectors.STRETCH_BYTES) for p in parts)
+    assert list(vectors.stretches(pa.array([], pa.string()))) == [] and [len(p) for p in vectors.stretches(pa.array([[1.0]] * 300))] == [256, 44]
+
+    def featurize(values):
+        assert len(values) <= 256
+        return [(np.array([len(v) % 4]), np.array([1.0])) for v in values]
+
+    rows = spark.range(2000).selectExpr("id", "repeat('a', cast(id % 4 as int)) AS text", "id % 4 = 1 AS y").coalesce(1)
+    model = linear.fit(rows, "id", "text", {"y": F.col("y")}, 4, featurize)
+    got = linear.predict(rows, model, "text", featurize, exclusive=False, columns=["id"])
+    assert got.columns == ["id", "probabilities"] and all((r.probabilities[0] > 0.5) == (r.id % 4 == 1) for r in got.collect())
