@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from evidrel.learning.hashed import Featurize, Row
 from evidrel.learning.vectors import MOST_TASKS, SCHEMA, chunks, stretches, summed
+from evidrel.sources.batches import small_batches
 from evidrel.sources.scratch import dropped, written
 
 #: Penalty of squared weights, first step, passes over the rows.
@@ -106,6 +107,7 @@ def fit(rows: DataFrame, key: str | Column, value: str | Column, targets: dict[s
     y = F.array(*[F.coalesce(targets[c].cast("double"), F.lit(0.0)) for c in names])
     given = lambda c: F.when(targets[c].isNotNull(), F.coalesce((weights or {}).get(c, F.lit(1.0)).cast("double"), F.lit(0.0))).otherwise(0.0)
     key, value = (F.col(c) if isinstance(c, str) else c for c in (key, value))
+    small_batches(rows.sparkSession)
     table = written(rows.select(key.alias("key"), value.alias("value"), y.alias("y"), F.array(*map(given, names)).alias("weight")), "linear-rows")
     n = table.count()
     if not n:
@@ -139,6 +141,7 @@ def fit_classes(rows: DataFrame, key: str | Column, value: str | Column, label:
 
 def predict(rows: DataFrame, model: Linear, value: str | Column, featurize: Featurize, exclusive: bool, out: str = "probabilities", columns: list[str] | None = None) -> DataFrame:
     """rows (of them ``columns``, where given) with an array of the classes' probabilities."""
+    small_batches(rows.sparkSession)
     value = F.col(value) if isinstance(value, str) else value
     keep = [c for c in (rows.columns if columns is None else columns) if c != out]
     schema = rows.select(*keep).withColumn(out, F.array().cast("array<double>")).schema

@@ -14,15 +14,19 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from evidrel.functions.text import word_bound_grams
+from evidrel.sources.batches import small_batches
 
 DOCUMENT_SOURCES = ["news", "announcement", "faq", "product_doc", "research_note"]
 #: Documents and queries multiplied at a time, queries sent to the tasks at a time, and grams that a task counts before it sums them.
-DOCUMENT_BLOCK, QUERY_BLOCK, MOST_QUERIES, GRAMS_HELD = 128, 256, 8192, 4_000_000
+DOCUMENT_BLOCK, QUERY_BLOCK, MOST_QUERIES, GRAMS_HELD = 128, 256, 8192, 1_000_000
+#: Bytes of text of a block of documents, unless one document has more.
+BLOCK_BYTES = 2 << 20
 #: Gram counts sent to the tasks at most (16 bytes each); beyond them document norms come from a join.
 MOST_GRAMS = 8_000_000
 #: A key that no gram has.
@@ -41,6 +45,11 @@ def spaced(text: Column) -> Column:
     return F.when(words != "", F.concat(F.lit(" "), words, F.lit(" ")))
 
 
+def has_words(text: Column) -> Column:
+    """Whether ``spaced`` is not null, told without spacing the text out a second time."""
+    return text.rlike(r"\S")
+
+
 def gram_keys(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The word-bound 2- to 4-grams of a spaced text as sorted 64-bit keys, and how often each is there.
 
@@ -57,18 +66,34 @@ def gram_keys(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([two | np.uint64(0x1FFFFF << 42), three, four]).view(np.int64), return_counts=True)
 
 
+def blocks_of(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches in blocks of at most DOCUMENT_BLOCK rows and about BLOCK_BYTES bytes of text, so that a task holds no batch as Python values."""
+    for b in batches:
+        ends, lo = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while lo < b.num_rows:
+            fits = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BLOCK_BYTES, "right"))
+            hi = min(max(fits, lo + 1), lo + DOCUMENT_BLOCK)
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
+def norms_of(block: pa.RecordBatch) -> np.ndarray:
+    """The column norm; null is not a number."""
+    return pc.fill_null(block.column("norm"), float("nan")).to_numpy(zero_copy_only=False)
+
+
 def document_counts(texts: DataFrame) -> DataFrame:
     """(key, df) of the grams of spaced texts, and the number of texts at DOCUMENTS; each task sums before it hands on."""
 
-    def summed(held: list[np.ndarray]) -> pd.DataFrame:
+    def summed(held: list[np.ndarray]) -> pa.RecordBatch:
         keys, n = np.unique(np.concatenate(held), return_counts=True)
-        return pd.DataFrame({"key": keys, "df": n})
+        return pa.record_batch({"key": keys, "df": n.astype(np.int64)})
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for f in frames:
-            held.append(np.full(len(f), DOCUMENTS))
-            for t in f["text"]:
+        for b in blocks_of(batches):
+            held.append(np.full(b.num_rows, DOCUMENTS))
+            for t in b.column("text").to_pylist():
                 held.append(gram_keys(t)[0])
                 size += len(held[-1])
                 if size >= GRAMS_HELD:
@@ -77,7 +102,7 @@ def document_counts(texts: DataFrame) -> DataFrame:
         if held:
             yield summed(held)
 
-    return texts.mapInPandas(run, "key long, df long").groupBy("key").agg(F.sum("df").alias("df"))
+    return texts.mapInArrow(run, "key long, df long").groupBy("key").agg(F.sum("df").alias("df"))
 
 
 @dataclass
@@ -87,7 +112,7 @@ class Asked:
     known: np.ndarray
     idf: np.ndarray
     single: float  # idf of a gram that one document holds
-    blocks: list[tuple[np.ndarray, np.ndarray, list[int]]]  # grams, (gram, query) weights, places of the queries
+    blocks: list[tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray], list[int]]]  # grams, (gram, query, weight) of those that are there, places of the queries
     norms: DataFrame | None = None  # (doc, norm), where the counts of all grams are too many to send
 
     def with_norms(self, texts: DataFrame, key: str = "doc") -> DataFrame:
@@ -101,13 +126,13 @@ class Asked:
 def document_norms(texts: DataFrame, counts: DataFrame, total: int) -> DataFrame:
     """(doc, norm) of the TF-IDF vectors of spaced texts (doc, text), joined gram by gram with their counts (key, df)."""
 
-    def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for doc, text in zip(f["doc"], f["text"], strict=True):
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks_of(batches):
+            for i, text in enumerate(b.column("text").to_pylist()):
                 keys, n = gram_keys(text)
-                yield pd.DataFrame({"doc": doc, "key": keys, "tf": n})
+                yield pa.record_batch({"doc": b.column("doc").take(pa.array(np.full(len(keys), i))), "key": keys, "tf": n.astype(np.int64)})
 
-    rows = texts.select("doc", "text").mapInPandas(grams, f"doc {texts.schema['doc'].dataType.simpleString()}, key long, tf long")
+    rows = texts.select("doc", "text").mapInArrow(grams, f"doc {texts.schema['doc'].dataType.simpleString()}, key long, tf long")
     w = F.col("tf") * (F.log((1 + F.lit(total)) / (1 + F.coalesce("df", F.lit(1)))) + 1)
     return rows.join(counts, "key", "left").groupBy("doc").agg(F.sqrt(F.sum(w * w)).alias("norm"))
 
@@ -136,27 +161,34 @@ def asked_vectors(texts: DataFrame, asked: list[str]) -> Asked:
             i, here = places(known, k)
             table[np.searchsorted(own, k[here]), j] = n[here] * out.idf[i[here]]
         norm = np.sqrt((table * table).sum(axis=0))
-        out.blocks.append((own, table / np.where(norm > 0, norm, 1), list(range(at, at + len(part)))))
+        table /= np.where(norm > 0, norm, 1)
+        g, q = np.nonzero(table)
+        out.blocks.append((own, (g.astype(np.int32), q.astype(np.int32), table[g, q]), list(range(at, at + len(part)))))
     return out
 
 
-def block_cosines(asked: Asked, texts: list[str | None], norms: np.ndarray) -> Iterator[tuple[list[int], np.ndarray]]:
-    """For each block of queries their places and the (text, query) cosines; a text without words has 0."""
-    rows = [np.zeros((len(texts), len(own))) for own, _, _ in asked.blocks]
-    for r, text in enumerate(texts):
-        if not text:
-            continue
-        keys, n = gram_keys(text)
-        i, here = places(asked.known, keys)
-        w = n * np.where(here, asked.idf[i], asked.single)
-        w /= np.sqrt(w @ w) if np.isnan(norms[r]) else norms[r]
-        for (own, _, _), out in zip(asked.blocks, rows, strict=True):
+def block_cosines(asked: Asked, keyed: list[tuple[np.ndarray, np.ndarray] | None], norms: np.ndarray) -> Iterator[tuple[list[int], np.ndarray]]:
+    """For each block of queries their places and the (text, query) cosines of texts given by their gram keys; a text without words (None) has 0."""
+    vectors = []
+    for r, made in enumerate(keyed):
+        if made is not None:
+            keys, n = made
+            i, here = places(asked.known, keys)
+            w = n * np.where(here, asked.idf[i], asked.single)
+            vectors.append((r, keys, w / (np.sqrt(w @ w) if np.isnan(norms[r]) else norms[r])))
+    for own, (g, q, weight), at in asked.blocks:
+        table, weights = np.zeros((len(own), len(at))), np.zeros((len(keyed), len(own)))
+        table[g, q] = weight
+        for r, keys, w in vectors:
             i, here = places(own, keys)
-            out[r, i[here]] = w[here]
-    for (_, table, at), weights in zip(asked.blocks, rows, strict=True):
+            weights[r, i[here]] = w[here]
         yield at, weights @ table
 
 
+def keyed_texts(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    return [gram_keys(t) if t else None for t in texts]
+
+
 def query_groups(queries: DataFrame) -> Iterator[DataFrame]:
     """The queries in groups of about MOST_QUERIES, so what goes to every task is bounded."""
     groups = max(1, -(-queries.count() // MOST_QUERIES))
@@ -213,7 +245,8 @@ def cosine(queries: DataFrame, docs: DataFrame, query_text: Column, doc_text: Co
     so pairs with common grams need no join.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(doc_key).alias("doc"), spaced(doc_text).alias("text")).where("text is not null")
+    small_batches(spark)
+    texts = docs.where(has_words(doc_text)).select(F.col(doc_key).alias("doc"), spaced(doc_text).alias("text"))
     kinds = {query_key: queries.schema[query_key].dataType.simpleString(), doc_key: docs.schema[doc_key].dataType.simpleString()}
     schema, parts = f"{query_key} {kinds[query_key]}, {doc_key} {kinds[doc_key]}, cosine double", []
     for group in query_groups(queries.select(F.col(query_key).alias("query"), spaced(query_text).alias("text")).where("text is not null")):
@@ -221,38 +254,72 @@ def cosine(queries: DataFrame, docs: DataFrame, query_text: Column, doc_text: Co
         vectors = asked_vectors(texts, asked["text"])
         shared = spark.sparkContext.broadcast((vectors.sent(), np.array(asked["query"])))
 
-        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             vectors, ids = shared.value
             best = Running(len(ids), top) if top is not None else None
-            for f in frames:
-                for at in range(0, len(f), DOCUMENT_BLOCK):
-                    part = f.iloc[at : at + DOCUMENT_BLOCK]
-                    for mine, got in block_cosines(vectors, part["text"].tolist(), part["norm"].to_numpy(float)):
-                        d, q = np.nonzero((got > 0) & (got >= least))
-                        if best is not None:
-                            best.add(np.asarray(mine)[q], part["doc"].to_numpy()[d], got[d, q])
-                        else:
-                            yield pd.DataFrame({query_key: ids[mine][q], doc_key: part["doc"].to_numpy()[d], "cosine": got[d, q]})
-            if best is not None:
-                q, d, score = best.rows()
-                yield pd.DataFrame({query_key: ids[q], doc_key: d, "cosine": score})
-
-        parts.append(vectors.with_norms(texts).mapInPandas(run, schema))
+            for part in blocks_of(batches):
+                docs = part.column("doc").to_numpy(zero_copy_only=False)
+                for mine, got in block_cosines(vectors, keyed_texts(part.column("text").to_pylist()), norms_of(part)):
+                    d, q = np.nonzero((got > 0) & (got >= least))
+                    if best is not None:
+                        best.add(np.asarray(mine)[q], docs[d], got[d, q])
+                    elif len(d):
+                        yield pa.record_batch({query_key: ids[mine][q], doc_key: docs[d], "cosine": got[d, q]})
+            q, d, score = best.rows() if best is not None else ([], [], [])
+            if len(q):
+                yield pa.record_batch({query_key: ids[q], doc_key: d, "cosine": score})
+
+        parts.append(vectors.with_norms(texts).mapInArrow(run, schema))
     return reduce(DataFrame.unionByName, parts)
 
 
+def bonus_terms(r: dict) -> list[str]:
+    """The terms of a request that can give a bonus, repeated ones again."""
+    return [t for t in [*(r["industry_terms"] or []), *(r["keywords"] or []), *(r["entity_names"] or [])] if t is not None and len(t.strip()) >= 2]
+
+
+class Terms:
+    """The distinct bonus terms of all requests, and which of them texts hold.
+
+    A text that holds an ASCII term without white space has all the term's grams
+    in its own lower-cased ones, so only such terms are looked for in it; other
+    terms are looked for in every text.
+    """
+
+    def __init__(self, requests: list[dict]):
+        self.terms = sorted({t for r in requests for t in bonus_terms(r)})
+        self.place = {t: i for i, t in enumerate(self.terms)}
+        sure = [t.isascii() and not any(c.isspace() for c in t) for t in self.terms]
+        made = [gram_keys(t.lower())[0] for t, ok in zip(self.terms, sure, strict=True) if ok]
+        self.gramed, self.plain = np.flatnonzero(sure), [i for i, ok in enumerate(sure) if not ok]
+        self.keys, self.own = np.unique(np.concatenate([np.zeros(0, np.int64), *made]), return_inverse=True)
+        self.begins = np.cumsum([0, *map(len, made)])[:-1].astype(np.int64)
+
+    def held(self, keyed: list[tuple[np.ndarray, np.ndarray] | None], texts: list[str]) -> np.ndarray:
+        """(text, term): whether the whole text has the term in it; ``keyed`` are the texts' gram keys."""
+        out = np.zeros((len(texts), len(self.terms)), bool)
+        for row, (made, text) in enumerate(zip(keyed, texts, strict=True)):
+            likely = self.plain
+            if made is not None and len(self.gramed):
+                there = places(made[0], self.keys)[1]
+                likely = [*self.gramed[np.logical_and.reduceat(there[self.own], self.begins)], *likely]
+            for i in likely:
+                out[row, i] = self.terms[i] in text
+        return out
+
+
 class Rules:
     """The predicates and bonus of a block of requests against a block of documents, as matrices (document, request)."""
 
-    def __init__(self, requests: list[dict]):
+    def __init__(self, requests: list[dict], terms: Terms):
         self.plans = np.array([[r["source_plan"] is None or s in r["source_plan"] for r in requests] for s in DOCUMENT_SOURCES], bool).reshape(len(DOCUMENT_SOURCES), len(requests))
-        self.symbols, self.terms = {}, {}
+        self.symbols, pairs = {}, []
         for j, r in enumerate(requests):
             for s in r["symbols"] or []:
                 self.symbols.setdefault(s, []).append(j)
-            for t in [*(r["industry_terms"] or []), *(r["keywords"] or []), *(r["entity_names"] or [])]:
-                if t is not None and len(t.strip()) >= 2:
-                    self.terms.setdefault(t, []).append(j)
+            pairs += [(terms.place[t], j) for t in bonus_terms(r)]
+        term, self.asks = np.array(pairs, np.int64).reshape(-1, 2).T
+        self.own, self.term = np.unique(term, return_inverse=True)
         self.about = np.array([bool(r["symbols"]) for r in requests])
         self.bound = np.array([self.skips_bound(r) for r in requests])
 
@@ -279,14 +346,11 @@ class Rules:
         ok &= ~(strict[:, None] & self.about & ~meets)
         return ok & ~(~self.about & has[:, None] & self.bound)
 
-    def bonus(self, texts: list[str]) -> np.ndarray:
-        """.06 for each term of two characters or more that the whole text holds, at most .18; repeated terms count again."""
-        hits = np.zeros((len(texts), len(self.about)), np.int64)
-        for term, who in self.terms.items():
-            there = np.fromiter((term in t for t in texts), bool, len(texts))
-            for j in who:
-                hits[there, j] += 1
-        return np.minimum(0.06 * hits, 0.18)
+    def bonus(self, held: np.ndarray) -> np.ndarray:
+        """.06 for each term of two characters or more that the whole text holds (see ``Terms.held``), at most .18; repeated terms count again."""
+        counts = np.zeros((len(self.own), len(self.about)))
+        np.add.at(counts, (self.term, self.asks), 1)
+        return np.minimum(0.06 * (held[:, self.own] @ counts), 0.18)
 
 
 REQUEST_FIELDS = ["keywords", "entity_names", "symbols", "industry_terms", "source_plan", "product_type", "intent_labels", "topic_labels"]
@@ -306,6 +370,7 @@ def scan(requests: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     its best k of each request and source.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     whole = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")), F.coalesce("body", F.lit("")))
     rows = docs.select("doc_id", "source_type", "entity_symbols", whole.alias("whole"), spaced(whole).alias("text"))
     words = lambda c: F.coalesce(F.array_join(c, " "), F.lit(""))
@@ -313,29 +378,31 @@ def scan(requests: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     schema, parts = "query_id long, doc_id long, source_type string, score double", []
     for group in query_groups(requests.select("query_id", text.alias("text"), *REQUEST_FIELDS).where("text is not null")):
         asked = group.toArrow().to_pylist()
-        vectors = asked_vectors(rows.where("text is not null").withColumnRenamed("doc_id", "doc"), [r["text"] for r in asked])
-        shared = spark.sparkContext.broadcast((vectors.sent(), np.array([r["query_id"] for r in asked]), [Rules([asked[j] for j in at]) for *_, at in vectors.blocks]))
+        vectors = asked_vectors(rows.where(has_words(F.col("whole"))).withColumnRenamed("doc_id", "doc"), [r["text"] for r in asked])
+        terms = Terms(asked)
+        shared = spark.sparkContext.broadcast((vectors.sent(), np.array([r["query_id"] for r in asked]), terms, [Rules([asked[j] for j in at], terms) for *_, at in vectors.blocks]))
 
-        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            vectors, ids, rules = shared.value
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            vectors, ids, terms, rules = shared.value
             least = np.array([LEAST_SCORE[s] for s in DOCUMENT_SOURCES])
             code = {s: i for i, s in enumerate(DOCUMENT_SOURCES)}
             best = Running(len(DOCUMENT_SOURCES) * len(ids), k)
-            for f in frames:
-                for at in range(0, len(f), DOCUMENT_BLOCK):
-                    part = f.iloc[at : at + DOCUMENT_BLOCK]
-                    kinds = np.array([code.get(s, -1) for s in part["source_type"]])
-                    for (mine, got), rule in zip(block_cosines(vectors, part["text"].tolist(), part["norm"].to_numpy(float)), rules, strict=True):
-                        score = np.round(np.maximum(got + rule.bonus(part["whole"].tolist()), 0), 4)
-                        score[~rule.allowed(kinds, part["entity_symbols"].tolist())] = -1
-                        score[score < least[kinds][:, None]] = -1
-                        d, q = np.nonzero(score >= 0)
-                        best.add(kinds[d] * len(ids) + np.asarray(mine)[q], part["doc_id"].to_numpy()[d], score[d, q])
+            for part in blocks_of(batches, "whole"):
+                kinds = np.array([code.get(s, -1) for s in part.column("source_type").to_pylist()])
+                docs, symbols = part.column("doc_id").to_numpy(zero_copy_only=False), part.column("entity_symbols").to_pylist()
+                keyed = keyed_texts(part.column("text").to_pylist())
+                held = terms.held(keyed, part.column("whole").to_pylist())
+                for (mine, got), rule in zip(block_cosines(vectors, keyed, norms_of(part)), rules, strict=True):
+                    score = np.round(np.maximum(got + rule.bonus(held), 0), 4)
+                    score[~rule.allowed(kinds, symbols)] = -1
+                    score[score < least[kinds][:, None]] = -1
+                    d, q = np.nonzero(score >= 0)
+                    best.add(kinds[d] * len(ids) + np.asarray(mine)[q], docs[d], score[d, q])
             group, d, score = best.rows()
             if len(group):
-                yield pd.DataFrame({"query_id": ids[group % len(ids)], "doc_id": d, "source_type": np.array(DOCUMENT_SOURCES)[group // len(ids)], "score": score})
+                yield pa.record_batch({"query_id": ids[group % len(ids)], "doc_id": d, "source_type": np.array(DOCUMENT_SOURCES)[group // len(ids)].tolist(), "score": score})
 
-        parts.append(vectors.with_norms(rows, "doc_id").mapInPandas(run, schema))
+        parts.append(vectors.with_norms(rows, "doc_id").mapInArrow(run, schema))
     return reduce(DataFrame.unionByName, parts)
 
 

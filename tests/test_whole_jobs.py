@@ -3,6 +3,8 @@
 import math
 from collections import Counter
 
+import numpy as np
+
 from evidrel import plans
 
 
@@ -132,3 +134,33 @@ def test_norms_by_join_are_the_same(spark, tmp_path, monkeypatch):
     assert rows() == want and found() == hits
     monkeypatch.setattr(R, "MOST_QUERIES", 2)
     assert rows() == want and found() == hits
+
+
+def test_terms_are_found_through_grams_as_by_search():
+    from evidrel.operators import retrieval as R
+
+    terms = ["of", "Tidal", "idal tur", "abcdabcd", "İx", "ß", "aß", "a", "😀x", "bcdab", "-1.", "ZZ", "tidal", "nowhere"]
+    texts = ["", "  \n", "A Tidal turbine of İx", "abcdab bcdabcd", "xabcdabcdx", "tidal\tturbine", "idal turbine -1.5 maß 😀xy", "zz ZZz O F of", "TIDAL " * 50]
+    requests = [{"industry_terms": [terms[i], None], "keywords": [terms[i - 1], terms[i - 1]], "entity_names": None, "symbols": [], "source_plan": None, "product_type": "fund", "intent_labels": [], "topic_labels": []} for i in range(len(terms))]
+    keyed = R.keyed_texts([" " + " ".join(t.lower().split()) + " " if t.split() else None for t in texts])
+    table = R.Terms(requests)
+    held = table.held(keyed, texts)
+    assert {(i, t) for i in range(len(texts)) for t in table.terms if held[i, table.place[t]]} == {(i, t) for i, x in enumerate(texts) for t in terms if len(t) >= 2 and t in x}
+    got = R.Rules(requests, table).bonus(held)
+    for j, r in enumerate(requests):
+        for i, x in enumerate(texts):
+            n = sum(t is not None and len(t) >= 2 and t in x for t in [*r["industry_terms"], *r["keywords"]])
+            assert got[i, j] == min(0.06 * n, 0.18)
+    assert R.Rules([{**requests[0], "industry_terms": [], "keywords": None}], R.Terms([])).bonus(np.zeros((2, 0), bool)).tolist() == [[0.0], [0.0]]
+
+
+def test_blocks_of_documents_are_bounded():
+    import pyarrow as pa
+
+    from evidrel.operators import retrieval as R
+
+    texts = [None, "x" * (R.BLOCK_BYTES + 1), "", *["words " * 20_000] * 60, *["a"] * 300]
+    batch = pa.record_batch({"doc": list(range(len(texts))), "text": pa.array(texts, pa.string())})
+    parts = list(R.blocks_of(iter([batch, batch.slice(0, 0), batch])))
+    assert [d for p in parts for d in p.column("doc").to_pylist()] == 2 * list(range(len(texts)))
+    assert all(p.num_rows <= R.DOCUMENT_BLOCK and (p.num_rows == 1 or sum(len(t or "") for t in p.column("text").to_pylist()) <= R.BLOCK_BYTES) for p in parts)
