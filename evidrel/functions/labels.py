@@ -86,6 +86,7 @@ INDUSTRY_TERMS = ["白酒", "保险", "券商", "消费", "银行", "科技", "
 BUCKET_WORDS, SECTOR_MARKERS = ["行业", "板块", "大盘"], ["板块", "行业", "赛道", "方向", "主题"]
 TARGET_SUFFIXES = ["估值", "风险", "波动", "价格", "行情", "新闻", "基本面", "费率", "回撤"]
 TARGET = "[^，。? ]+?"
+JOINING = ["和", "与", "跟"]
 COMPARED = "哪个|谁更|更稳|更好|有什么区别|有何区别|有什么不同|差别"
 PAIR_PATTERN, THAN_PATTERN, OTHER_PATTERN = f"({TARGET})(?:和|与|跟)({TARGET})(?:比|相比|{COMPARED})", f"(?:和|与|跟)({TARGET})(?:比|相比)", f"(?:和|与|跟)({TARGET})(?:{COMPARED})"
 
@@ -202,7 +203,9 @@ def comparison_targets(text: Column) -> Column:
     """Both sides of a comparison, else what stands behind 和, 与 or 跟 and before a word of comparison."""
     pair = F.array(F.regexp_extract(text, PAIR_PATTERN, 1), F.regexp_extract(text, PAIR_PATTERN, 2))
     than, other = (F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (THAN_PATTERN, OTHER_PATTERN))
-    return F.when(text.rlike(PAIR_PATTERN), pair).when(F.size(than) > 0, than).otherwise(F.coalesce(other, strings([])))
+    # the patterns try every start of a word; a text without a joining word and one of comparison has no match
+    never = ~(any_of(text, JOINING) & any_of(text, ["比", *COMPARED.split("|")]))
+    return F.when(never, strings([])).when(text.rlike(PAIR_PATTERN), pair).when(F.size(than) > 0, than).otherwise(F.coalesce(other, strings([])))
 
 
 def target_name(target: Column) -> Column:

@@ -142,7 +142,18 @@ def char_overlap(text: Column, query: Column) -> Column:
 
 
 def count_of(text: Column, char_class: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{char_class}]", ""))
+    """Characters of a class; the others go a run at a time."""
+    return F.length(F.regexp_replace(text, f"[^{char_class}]+", ""))
+
+
+def once(value: Column, use) -> Column:
+    """use(value), the value being made once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def script_counts(text: Column) -> Column:
+    """struct(cjk, latin): CJK characters and Latin letters of a text."""
+    return F.struct(count_of(text, CJK).alias("cjk"), count_of(text, "A-Za-z").alias("latin"))
 
 
 def detect_language(text: Column) -> Column:
@@ -151,24 +162,30 @@ def detect_language(text: Column) -> Column:
     Without such a part, by twice the stopwords that the text holds and its
     punctuation, of which the larger must be two at least.
     """
-    total = F.length(F.trim(text))
-    cjk, latin = count_of(text, CJK) / total, count_of(text, "A-Za-z") / total
-    zh, en = cjk > 0.10, latin > 0.10
     held = lambda t, words: sum(F.contains(t, F.lit(w)).cast("int") for w in words)
     zh_signal = held(text, ZH_STOPWORDS) * 2 + count_of(text, ZH_PUNCT)
-    en_signal = held(F.lower(text), EN_STOPWORDS) * 2 + count_of(text, EN_PUNCT)
-    both = (latin > 0.05) & (cjk > 0.05)
-    signal = F.when((zh_signal > en_signal) & (zh_signal >= 2), F.when(both, "mixed").otherwise("zh")).when((en_signal > zh_signal) & (en_signal >= 2), F.when(both, "mixed").otherwise("en")).otherwise("unknown")
-    return F.when(F.coalesce(total, F.lit(0)) == 0, "unknown").when(zh & en, "mixed").when(zh, "zh").when(en, "en").otherwise(signal)
+    en_signal = once(F.lower(text), lambda t: held(t, EN_STOPWORDS)) * 2 + count_of(text, EN_PUNCT)
+
+    def by_signal(both: Column, x: Column) -> Column:
+        one = lambda label: F.when(both, "mixed").otherwise(label)
+        return F.when((x["zh"] > x["en"]) & (x["zh"] >= 2), one("zh")).when((x["en"] > x["zh"]) & (x["en"] >= 2), one("en")).otherwise("unknown")
+
+    def told(c: Column) -> Column:
+        cjk, latin = c["n"]["cjk"] / c["total"], c["n"]["latin"] / c["total"]
+        zh, en, both = cjk > 0.10, latin > 0.10, (latin > 0.05) & (cjk > 0.05)
+        signal = once(F.struct(zh_signal.alias("zh"), en_signal.alias("en")), lambda x: by_signal(both, x))
+        return F.when(F.coalesce(c["total"], F.lit(0)) == 0, "unknown").when(zh & en, "mixed").when(zh, "zh").when(en, "en").otherwise(signal)
+
+    return once(F.struct(F.length(F.trim(text)).alias("total"), script_counts(text).alias("n")), told)
 
 
 def chat_language(text: Column) -> Column:
-    cjk, latin = count_of(F.coalesce(text, F.lit("")), CJK), count_of(F.coalesce(text, F.lit("")), "A-Za-z")
-    return F.when((cjk > 0) & (cjk >= F.greatest(F.lit(2.0), latin * 0.4)), "zh").when(latin > 0, "en").otherwise("zh")
+    told = lambda n: F.when((n["cjk"] > 0) & (n["cjk"] >= F.greatest(F.lit(2.0), n["latin"] * 0.4)), "zh").when(n["latin"] > 0, "en").otherwise("zh")
+    return once(script_counts(F.coalesce(text, F.lit(""))), told)
 
 
 def eval_language(text: Column) -> Column:
-    return F.when(count_of(text, "A-Za-z") > count_of(text, CJK), "en").otherwise("zh")
+    return once(script_counts(text), lambda n: F.when(n["latin"] > n["cjk"], "en").otherwise("zh"))
 
 
 def normalize_text(text: Column) -> Column:

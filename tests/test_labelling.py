@@ -51,3 +51,14 @@ def test_rules_of_nulls_and_edges(spark):
     assert [r["b"] for r in got] == [False, False, False, True, True, False, False, False]
     assert got[0]["p"] == "unknown" and got[0]["h"] == "" and got[5]["c"] == ["M2_CN", "CN10Y"]
     assert [r["n"] for r in got[6:]] == ["估值", "茅台"]
+
+
+def test_texts_without_a_comparison_are_not_searched(spark):
+    """A word of 200 000 characters takes the patterns a step for each pair of its places; no joining word, no match."""
+    import time
+
+    cases = [("x" * 200_000, []), ("茅台和五粮液哪个好", ["茅台", "五粮液"]), ("跟黄金风险谁更稳", ["黄金风险"]), ("茅台和五粮液", []), ("比 哪个", []), ("", [])]
+    df = spark.createDataFrame(cases, "t string, want array<string>")
+    began = time.time()
+    assert all(list(r.got) == list(r.want) for r in df.select("want", L.comparison_targets(F.col("t")).alias("got")).collect())
+    assert time.time() - began < 20
