@@ -156,11 +156,12 @@ def script_counts(text: Column) -> Column:
     return F.struct(count_of(text, CJK).alias("cjk"), count_of(text, "A-Za-z").alias("latin"))
 
 
-def detect_language(text: Column) -> Column:
+def detect_language(text: Column, counts: Column | None = None) -> Column:
     """zh, en, mixed or unknown by the parts of CJK and Latin letters above a tenth.
 
     Without such a part, by twice the stopwords that the text holds and its
-    punctuation, of which the larger must be two at least.
+    punctuation, of which the larger must be two at least. counts: the text's
+    ``script_counts``, where they are there already.
     """
     held = lambda t, words: sum(F.contains(t, F.lit(w)).cast("int") for w in words)
     zh_signal = held(text, ZH_STOPWORDS) * 2 + count_of(text, ZH_PUNCT)
@@ -176,16 +177,16 @@ def detect_language(text: Column) -> Column:
         signal = once(F.struct(zh_signal.alias("zh"), en_signal.alias("en")), lambda x: by_signal(both, x))
         return F.when(F.coalesce(c["total"], F.lit(0)) == 0, "unknown").when(zh & en, "mixed").when(zh, "zh").when(en, "en").otherwise(signal)
 
-    return once(F.struct(F.length(F.trim(text)).alias("total"), script_counts(text).alias("n")), told)
+    return once(F.struct(F.length(F.trim(text)).alias("total"), (script_counts(text) if counts is None else counts).alias("n")), told)
 
 
-def chat_language(text: Column) -> Column:
+def chat_language(text: Column, counts: Column | None = None) -> Column:
     told = lambda n: F.when((n["cjk"] > 0) & (n["cjk"] >= F.greatest(F.lit(2.0), n["latin"] * 0.4)), "zh").when(n["latin"] > 0, "en").otherwise("zh")
-    return once(script_counts(F.coalesce(text, F.lit(""))), told)
+    return once(script_counts(text) if counts is None else counts, told)
 
 
-def eval_language(text: Column) -> Column:
-    return once(script_counts(text), lambda n: F.when(n["latin"] > n["cjk"], "en").otherwise("zh"))
+def eval_language(text: Column, counts: Column | None = None) -> Column:
+    return once(script_counts(text) if counts is None else counts, lambda n: F.when(n["latin"] > n["cjk"], "en").otherwise("zh"))
 
 
 def normalize_text(text: Column) -> Column:

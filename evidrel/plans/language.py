@@ -43,7 +43,8 @@ def held(words: list[str], text: str) -> str:
   CASE WHEN z > 0 AND z >= greatest(2, l * 0.4) THEN 'zh' WHEN l > 0 THEN 'en' ELSE 'zh' END AS chat, CASE WHEN l > z THEN 'en' ELSE 'zh' END AS eval FROM c""")
 def s20(spark, sf):
     a = fixture(spark).select(F.col("id").cast("long").alias("id"), "t").unionByName(read(spark, sf, "documents").select((F.col("doc_id") + 100).alias("id"), F.col("text").alias("t")))
-    return a.select("id", X.detect_language(F.col("t")).alias("lang"), X.chat_language(F.col("t")).alias("chat"), X.eval_language(F.col("t")).alias("eval"))
+    a, t, n = a.withColumn("n", X.script_counts(F.col("t"))), F.col("t"), F.col("n")
+    return a.select("id", X.detect_language(t, n).alias("lang"), X.chat_language(t, n).alias("chat"), X.eval_language(t, n).alias("eval"))
 
 
 @query("s24_sentences", f"WITH {EVIDENCE} SELECT doc_id, len(s) AS n, s[1] AS head FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(body, '([.!?])\\s+', '\\1\x01', 'g'), '\x01'), lambda x: trim(x)), lambda x: x <> '') AS s FROM evidence)")
