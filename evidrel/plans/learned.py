@@ -68,15 +68,15 @@ def ml3_f1(spark, sf):
 FIELD_ROWS, FIELD_STEPS = 3000, 30
 
 
-def annotated(spark, sf) -> DataFrame:
-    """Questions with the place of their mention; those about every fifth entity are held out."""
-    q = C.questions(spark, sf).withColumn("held_out", F.coalesce(F.col("entity_id") % 5 == 0, F.col("query_id") % 5 == 0))
+def annotated(spark, sf, questions: DataFrame | None = None) -> DataFrame:
+    """Questions (those given, if any) with the place of their mention; those about every fifth entity are held out."""
+    q = (C.questions(spark, sf) if questions is None else questions).withColumn("held_out", F.coalesce(F.col("entity_id") % 5 == 0, F.col("query_id") % 5 == 0))
     spans = F.when(F.col("entity_id").isNotNull(), F.array(F.struct("start", "stop"))).otherwise(F.array().cast("array<struct<start:int,stop:int>>"))
     return q.withColumn("spans", spans)
 
 
-def fitted_field(spark, sf):
-    known = annotated(spark, sf).where("not held_out").select("query_id", "query", "spans")
+def fitted_field(spark, sf, questions: DataFrame | None = None):
+    known = annotated(spark, sf, questions).where("not held_out").select("query_id", "query", "spans")
     n = known.count()
     some = known.where(F.pmod(F.xxhash64("query_id", F.lit(7)), F.lit(1 << 20)) < int(min(1.0, FIELD_ROWS / max(n, 1)) * (1 << 20)))
     return crf.fit(some, "query", "spans", iterations=FIELD_STEPS)[0]

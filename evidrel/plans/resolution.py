@@ -9,6 +9,7 @@ from evidrel.operators import fuzzy, linking
 from evidrel.plans import catalog as C
 from evidrel.plans.learned import fitted_field
 from evidrel.plans.registry import query, read
+from evidrel.sources.scratch import dropped, written
 
 
 @query("er2_j13_exact_hits", f"""WITH {C.CATALOG}, {C.QUESTIONS} SELECT query_id, alias_id, position AS start, position + length(alias_text) AS stop
@@ -52,7 +53,10 @@ def er1(spark, sf):
     """The entities of every question: by exact aliases, near ones, whole names, or mentions of the field."""
     entities = C.entities(spark, sf)
     aliases = C.aliases(spark, sf)
-    return linking.cascade(C.questions(spark, sf).select("query_id", "query"), aliases, entities, linking.fit_linker(aliases, entities), fitted_field(spark, sf))
+    questions = written(C.questions(spark, sf), "questions")  # made once: the field is fitted on some, the cascade reads all
+    out = linking.cascade(questions.select("query_id", "query"), aliases, entities, linking.fit_linker(aliases, entities), fitted_field(spark, sf, questions))
+    dropped(questions)
+    return out
 
 
 def er_quality(spark, sf):

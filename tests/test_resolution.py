@@ -160,6 +160,21 @@ def test_cascade_keeps_its_guards(spark, tables):
     assert 99 not in got and linking.cascade(q.limit(0), aliases, entities).count() == 0
 
 
+def test_cascade_resolves_a_text_once(spark, tables, monkeypatch):
+    aliases, entities = tables
+    asked, tier = [], linking.exact_tier
+    monkeypatch.setattr(linking, "exact_tier", lambda q, a, e: (asked.append(q.count()), tier(q, a, e))[1])
+    texts = ["茅台和五粮液哪个好", "贵州毛台怎么样", "510300 沪深300ETF", "没有"]
+    q = spark.createDataFrame([(f"q{k}", texts[k % 4]) for k in range(80)], "query_id string, query string")
+    rows = linking.cascade(q, aliases, entities)
+    got = {}
+    for r in rows.collect():
+        got.setdefault(r.query_id, set()).add((r.entity_id, r.mention, r.match_type))
+    assert asked == [4] and rows.schema["query_id"].dataType.simpleString() == "string"
+    assert sorted(got) == sorted(f"q{k}" for k in range(80) if k % 4 != 3) and rows.count() == 80  # 20 of each, two entities in the first
+    assert {e for e, *_ in got["q0"]} == {1, 2} and all(got[f"q{k}"] == got[f"q{k % 4}"] for k in range(80) if k % 4 != 3)
+
+
 def test_the_linker_prefers_the_name_in_the_query(spark, tables):
     aliases, entities = tables
     linker = linking.fit_linker(aliases, entities)
