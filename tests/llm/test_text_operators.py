@@ -74,6 +74,25 @@ def test_toxicity_finds_planted_words_and_roots(spark):
     assert toxicity.fit(docs.select("doc_id", "text", "lang"), docs.where("toxic = 0").select("doc_id", "toxic")) is None
 
 
+def test_toxicity_learns_from_all_labels_in_shards(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD_DOCS", 150)
+    rng, rows, seen = random.Random(8), [], {}
+    for i in range(600):
+        words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(rng.randint(5, 40))]
+        toxic = i % 3 == 0
+        rows.append((i, " ".join(words + ["zorgus", "vexmo"] if toxic else words), "aa" if i % 2 else "bb", int(toxic)))
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, lang string, toxic int")
+    counts, bins = toxicity.language_counts, toxicity.logit_bins
+    monkeypatch.setattr(toxicity, "language_counts", lambda t, n: seen.setdefault("words", counts(t, n)))
+    monkeypatch.setattr(toxicity, "logit_bins", lambda t, *m: seen.setdefault("bins", (t.select("shard").distinct().count(), bins(t, *m)))[1])
+    model = toxicity.fit(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    shards, table = seen["bins"]
+    assert shards == 4 and table["n"].sum() == 600 and table["pos"].sum() == 200  # each document once, none left out
+    assert seen["words"].sum(axis=0).tolist() == [sum(len(t.split()) for _, t, lang, _ in rows if lang == x) for x in ("aa", "bb")]
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
+    assert sum(got[i] == y for i, *_, y in rows) >= 0.95 * len(rows)
+
+
 def brute_lines(rows, min_chars=40, min_docs=5):
     key = lambda x: x.strip(" \t\n\x0b\f\r").translate({c: c + 32 for c in range(65, 91)})
     held = {}
