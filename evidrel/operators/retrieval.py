@@ -29,6 +29,8 @@ DOCUMENT_BLOCK, QUERY_BLOCK, MOST_QUERIES, GRAMS_HELD = 128, 256, 8192, 1_000_00
 BLOCK_BYTES = 2 << 20
 #: Gram counts sent to the tasks at most (16 bytes each); beyond them document norms come from a join.
 MOST_GRAMS = 8_000_000
+#: Numbers in a dense table of weights, of documents or of queries; and characters of queries sent to the tasks at a time, unless one query has more.
+TABLE_CELLS, MOST_ASKED = 1 << 22, 4_000_000
 #: A key that no gram has.
 DOCUMENTS = 0x1FFFFE << 42
 LEAST_SCORE = {"news": 0.02, "announcement": 0.02, "research_note": 0.05, "faq": 0.05, "product_doc": 0.05}
@@ -154,21 +156,24 @@ def asked_vectors(texts: DataFrame, asked: list[str]) -> Asked:
     if few:
         counts.unpersist()
     for at in range(0, len(grams), QUERY_BLOCK):
-        part = grams[at : at + QUERY_BLOCK]
-        own = np.intersect1d(np.concatenate([k for k, _ in part]), known)
-        table = np.zeros((len(own), len(part)))
+        part, made = grams[at : at + QUERY_BLOCK], []
         for j, (k, n) in enumerate(part):
             i, here = places(known, k)
-            table[np.searchsorted(own, k[here]), j] = n[here] * out.idf[i[here]]
-        norm = np.sqrt((table * table).sum(axis=0))
-        table /= np.where(norm > 0, norm, 1)
-        g, q = np.nonzero(table)
-        out.blocks.append((own, (g.astype(np.int32), q.astype(np.int32), table[g, q]), list(range(at, at + len(part)))))
+            w = n[here] * out.idf[i[here]]
+            made.append((k[here], np.full(len(w), j, np.int32), w / np.sqrt(w @ w) if len(w) else w))
+        keys, q, weight = (np.concatenate(c) for c in zip(*made, strict=True))
+        own, g = np.unique(keys, return_inverse=True)
+        order = np.lexsort((q, g))
+        out.blocks.append((own, (g[order].astype(np.int32), q[order], weight[order]), list(range(at, at + len(part)))))
     return out
 
 
 def block_cosines(asked: Asked, keyed: list[tuple[np.ndarray, np.ndarray] | None], norms: np.ndarray) -> Iterator[tuple[list[int], np.ndarray]]:
-    """For each block of queries their places and the (text, query) cosines of texts given by their gram keys; a text without words (None) has 0."""
+    """For each block of queries their places and the (text, query) cosines of texts given by their gram keys; a text without words (None) has 0.
+
+    The grams are taken a stretch at a time, so that no table has more than
+    TABLE_CELLS numbers however many grams the queries hold.
+    """
     vectors = []
     for r, made in enumerate(keyed):
         if made is not None:
@@ -177,12 +182,19 @@ def block_cosines(asked: Asked, keyed: list[tuple[np.ndarray, np.ndarray] | None
             w = n * np.where(here, asked.idf[i], asked.single)
             vectors.append((r, keys, w / (np.sqrt(w @ w) if np.isnan(norms[r]) else norms[r])))
     for own, (g, q, weight), at in asked.blocks:
-        table, weights = np.zeros((len(own), len(at))), np.zeros((len(keyed), len(own)))
-        table[g, q] = weight
-        for r, keys, w in vectors:
-            i, here = places(own, keys)
-            weights[r, i[here]] = w[here]
-        yield at, weights @ table
+        got, wide = np.zeros((len(keyed), len(at))), max(1, TABLE_CELLS // max(1, len(keyed), len(at)))
+        for lo in range(0, len(own), wide):
+            some = own[lo : lo + wide]
+            a, b = np.searchsorted(g, np.array([lo, lo + len(some)], g.dtype))
+            table, weights = np.zeros((len(some), len(at))), np.zeros((len(keyed), len(some)))
+            table[g[a:b] - lo, q[a:b]] = weight[a:b]
+            for r, keys, w in vectors:
+                first, last = np.searchsorted(keys, some[0]), np.searchsorted(keys, some[-1], "right")
+                i, here = places(some, keys[first:last])
+                weights[r, i[here]] = w[first:last][here]
+            got += weights @ table
+            del table, weights  # before the next ones are made
+        yield at, got
 
 
 def keyed_texts(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
@@ -190,8 +202,9 @@ def keyed_texts(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] |
 
 
 def query_groups(queries: DataFrame) -> Iterator[DataFrame]:
-    """The queries in groups of about MOST_QUERIES, so what goes to every task is bounded."""
-    groups = max(1, -(-queries.count() // MOST_QUERIES))
+    """The queries (text and more) in groups of about MOST_QUERIES and MOST_ASKED characters, so what goes to every task is bounded."""
+    n, characters = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    groups = max(1, -(-n // MOST_QUERIES), -(-characters // MOST_ASKED))
     for g in range(groups):
         yield queries if groups == 1 else queries.where(F.pmod(F.xxhash64(*queries.columns[:1]), F.lit(groups)) == g)
 

@@ -164,3 +164,51 @@ def test_blocks_of_documents_are_bounded():
     parts = list(R.blocks_of(iter([batch, batch.slice(0, 0), batch])))
     assert [d for p in parts for d in p.column("doc").to_pylist()] == 2 * list(range(len(texts)))
     assert all(p.num_rows <= R.DOCUMENT_BLOCK and (p.num_rows == 1 or sum(len(t or "") for t in p.column("text").to_pylist()) <= R.BLOCK_BYTES) for p in parts)
+
+
+def test_long_requests_make_no_large_tables():
+    """Cosines of 64 requests that hold 300 000 grams, as by a walk over each request's own."""
+    import tracemalloc
+
+    from evidrel.operators import retrieval as R
+
+    rng = np.random.default_rng(3)
+    own = np.unique(rng.integers(0, 1 << 62, 300_000))
+    mine = [np.sort(rng.choice(len(own), 2000, replace=False)) for _ in range(64)]
+    weight = [rng.random(2000) for _ in mine]
+    g, q, w = np.concatenate(mine), np.repeat(np.arange(64), 2000), np.concatenate(weight)
+    order = np.lexsort((q, g))
+    asked = R.Asked(own, 1 + rng.random(len(own)), 3.0, [(own, (g[order].astype(np.int32), q[order].astype(np.int32), w[order]), list(range(64)))])
+    strange = np.setdiff1d(rng.integers(0, 1 << 62, 500), own)
+    keyed = [None if i % 9 == 4 else (np.union1d(rng.choice(own, 3000, replace=False), strange), rng.integers(1, 4, 3000 + len(strange))) for i in range(64)]
+    tracemalloc.start()
+    ((at, got),) = R.block_cosines(asked, keyed, np.full(64, np.nan))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert at == list(range(64)) and peak < 100 << 20
+    for i, made in enumerate(keyed):
+        if made is None:
+            assert not got[i].any()
+            continue
+        idf = dict(zip(own.tolist(), asked.idf.tolist()))
+        doc = {k: n * idf.get(k, 3.0) for k, n in zip(made[0].tolist(), made[1].tolist())}
+        norm = sum(x * x for x in doc.values()) ** 0.5
+        for j in range(0, 64, 7):
+            want = sum(x * doc.get(k, 0.0) for k, x in zip(own[mine[j]].tolist(), weight[j].tolist())) / norm
+            assert abs(got[i, j] - want) < 1e-9
+
+
+def test_long_requests_are_sent_in_groups(spark, tmp_path, monkeypatch):
+    from evidrel.operators import retrieval as R
+    from evidrel.plans import evidence as E
+
+    sf = tables(spark, tmp_path, documents=documents(SEARCHED, 3), benchmark=(list(enumerate(ASKED)), "item_id long, text string"))
+    rows = lambda: {(r.query_id, r.doc_id, round(r.cosine, 9)) for r in plans.search.cosines(spark, sf).collect()}
+    found = lambda: {tuple(r) for r in E.candidates(spark, sf).collect()}
+    want, hits = rows(), found()
+    long = spark.createDataFrame([(i, "word " * 600_000) for i in range(8)], "query long, text string")
+    parts = [sorted(r.query for r in p.select("query").collect()) for p in R.query_groups(long)]
+    assert len(parts) > 1 and sorted(sum(parts, [])) == list(range(8))
+    monkeypatch.setattr(R, "MOST_ASKED", 30)
+    monkeypatch.setattr(R, "TABLE_CELLS", 50)
+    assert rows() == want and found() == hits
