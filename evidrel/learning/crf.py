@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidrel.learning.vectors import MOST_TASKS, SCHEMA, chunks, summed
+from evidrel.sources.batches import small_batches
 from evidrel.sources.scratch import dropped, written
 
 TAGS = ["O", "B-ENT", "I-ENT"]
@@ -131,21 +132,21 @@ class Chain:
         return out
 
 
-def loss_and_slope(chain: Chain, places: np.ndarray, sizes: np.ndarray, tags: list[np.ndarray]) -> tuple[float, np.ndarray]:
-    """Negative log-likelihood of tagged texts (without penalties) and its gradient by all weights."""
-    k = len(TAGS)
+def loss_and_slope(chain: Chain, places: np.ndarray, sizes: np.ndarray, tags: list[np.ndarray], times: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+    """Negative log-likelihood of tagged texts (without penalties), each as often as ``times`` says (else once), and its gradient by all weights."""
+    k, times = len(TAGS), np.ones(len(sizes)) if times is None else times
     u = chain.batch(places, sizes)
     z, one, both = chain.marginals(u, sizes)
     live = np.arange(u.shape[1]) < sizes[:, None]
     y, at = np.zeros(live.shape, np.int64), np.nonzero(live)
     y[live] = np.concatenate([np.zeros(0, np.int64), *tags])
     one[at[0], at[1], y[live]] -= 1
-    loss = float(z.sum()) - u[at[0], at[1], y[live]].sum()
+    loss = float(times @ z) - times[at[0]] @ u[at[0], at[1], y[live]]
     pairs = np.nonzero(live[:, 1:])
-    steps = np.bincount(y[pairs[0], pairs[1]] * k + y[pairs[0], pairs[1] + 1], minlength=k * k).reshape(k, k)
-    move = both.sum(axis=(0, 1)) - steps
+    steps = np.bincount(y[pairs[0], pairs[1]] * k + y[pairs[0], pairs[1] + 1], times[pairs[0]], k * k).reshape(k, k)
+    move = np.tensordot(times, both.sum(axis=1), 1) - steps
     loss -= (chain.move * steps).sum()
-    over, grid = one[live], np.empty((BUCKETS + 1, k))
+    over, grid = one[live] * times[at[0], None], np.empty((BUCKETS + 1, k))
     for tag in range(k):
         grid[:, tag] = np.bincount(places.ravel(), np.repeat(over[:, tag], places.shape[1]), BUCKETS + 1)
     return loss, np.concatenate([grid[:BUCKETS].ravel(), move.ravel()])
@@ -166,21 +167,21 @@ def _blocks(lengths: list[int]) -> Iterator[tuple[int, int]]:
 
 
 def evaluated(rows: DataFrame, w: np.ndarray) -> tuple[float, np.ndarray]:
-    """Loss and gradient over all rows (text, spans: array of start and stop)."""
+    """Loss and gradient over all rows (text, spans: array of start and stop, times: how many rows they stand for)."""
     shared = rows.sparkSession.sparkContext.broadcast(w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain, total, loss = Chain.of(shared.value), np.zeros(SIZE), 0.0
         for b in batches:
-            texts, spans = b.column("text").to_pylist(), b.column("spans").to_pylist()
+            texts, spans, times = b.column("text").to_pylist(), b.column("spans").to_pylist(), np.array(b.column("times").to_pylist(), float)
             for lo, hi in _blocks([len(t or "") for t in texts]):
                 places, sizes = features([t or "" for t in texts[lo:hi]])
                 tags = [tags_of(n, [(x["start"], x["stop"]) for x in s or []]) for n, s in zip(sizes, spans[lo:hi], strict=True)]
-                more, slope = loss_and_slope(chain, places, sizes, tags)
+                more, slope = loss_and_slope(chain, places, sizes, tags, times[lo:hi])
                 loss, total = loss + more, total + slope
         yield from chunks(0, total, loss)
 
-    total, loss = summed(rows.select("text", "spans").mapInArrow(run, SCHEMA))
+    total, loss = summed(rows.select("text", "spans", "times").mapInArrow(run, SCHEMA))
     shared.unpersist()
     return (loss, total[0]) if len(total) else (0.0, np.zeros(SIZE))
 
@@ -240,9 +241,12 @@ def fit(rows: DataFrame, text: str | Column, spans: str | Column, iterations: in
     """A chain from rows with a text and its mentions (array of start and stop); and the objective step by step.
 
     Null and empty texts count for nothing, null spans are none. Without rows all weights are 0.
+    Rows of one text and the same spans are taken through the chain once and count as often as they are there.
     """
     text, spans = (F.col(c) if isinstance(c, str) else c for c in (text, spans))
-    table = written(rows.select(text.alias("text"), F.transform(spans, lambda s: F.struct(s["start"].cast("int").alias("start"), s["stop"].cast("int").alias("stop"))).alias("spans")).where(F.length("text") > 0), "crf-rows")
+    small_batches(rows.sparkSession)
+    each = rows.select(text.alias("text"), F.transform(spans, lambda s: F.struct(s["start"].cast("int").alias("start"), s["stop"].cast("int").alias("stop"))).alias("spans")).where(F.length("text") > 0)
+    table = written(each.groupBy("text", "spans").agg(F.count(F.lit(1)).alias("times")), "crf-rows")
     dealt = written(table.repartition(int(min(MOST_TASKS, max(1, -(-table.count() // TASK_ROWS))))), "crf-dealt").coalesce(MOST_TASKS)
     dropped(table)
     w, trace = minimised(lambda w: evaluated(dealt, w), np.zeros(SIZE), c1, c2, iterations, tolerance)

@@ -64,8 +64,8 @@ def ml3_f1(spark, sf):
     return rows.groupBy("label", "threshold").agg(F.count(F.lit(1)).alias("n"), true.alias("n_true"), F.when(said > 0, hit / said).alias("precision"), F.when(true > 0, hit / true).alias("recall"), F.when(said + true > 0, 2 * hit / (said + true)).alias("f1"))
 
 
-#: Questions that the field of mentions is fitted on at most (in expectation; a share by hash), and steps of its fit.
-FIELD_ROWS, FIELD_STEPS = 3000, 30
+#: Steps of the fit of the field of mentions.
+FIELD_STEPS = 30
 
 
 def annotated(spark, sf, questions: DataFrame | None = None) -> DataFrame:
@@ -76,10 +76,8 @@ def annotated(spark, sf, questions: DataFrame | None = None) -> DataFrame:
 
 
 def fitted_field(spark, sf, questions: DataFrame | None = None):
-    known = annotated(spark, sf, questions).where("not held_out").select("query_id", "query", "spans")
-    n = known.count()
-    some = known.where(F.pmod(F.xxhash64("query_id", F.lit(7)), F.lit(1 << 20)) < int(min(1.0, FIELD_ROWS / max(n, 1)) * (1 << 20)))
-    return crf.fit(some, "query", "spans", iterations=FIELD_STEPS)[0]
+    """The field of mentions, from all questions that are not held out."""
+    return crf.fit(annotated(spark, sf, questions).where("not held_out"), "query", "spans", iterations=FIELD_STEPS)[0]
 
 
 @query("er7_ml11_mentions")

@@ -53,7 +53,7 @@ def er1(spark, sf):
     """The entities of every question: by exact aliases, near ones, whole names, or mentions of the field."""
     entities = C.entities(spark, sf)
     aliases = C.aliases(spark, sf)
-    questions = written(C.questions(spark, sf), "questions")  # made once: the field is fitted on some, the cascade reads all
+    questions = written(C.questions(spark, sf), "questions")  # made once: the field is fitted on them, the cascade reads them
     out = linking.cascade(questions.select("query_id", "query"), aliases, entities, linking.fit_linker(aliases, entities), fitted_field(spark, sf, questions))
     dropped(questions)
     return out

@@ -168,6 +168,25 @@ def test_the_minimum_has_no_descent_left():
     assert np.allclose(g[w != 0], -8.0 * np.sign(w[w != 0]), atol=1e-3) and (np.abs(g[w == 0]) <= 8.0 + 1e-3).all()
 
 
+def test_texts_that_repeat_count_as_often_as_they_are_there():
+    w = np.random.default_rng(6).normal(size=crf.SIZE) * 0.3
+    texts, tags, times = ["a B1", "", "xyz", "q"], [np.array([0, 0, 1, 2]), np.zeros(0, int), np.array([1, 2, 2]), np.array([0])], [3, 2, 1, 5]
+    again = [i for i, n in enumerate(times) for _ in range(n)]
+    loss, slope = crf.loss_and_slope(crf.Chain.of(w), *crf.features([texts[i] for i in again]), [tags[i] for i in again])
+    got, weighed = crf.loss_and_slope(crf.Chain.of(w), *crf.features(texts), tags, np.array(times, float))
+    assert math.isclose(got, loss) and np.allclose(weighed, slope)
+
+
+def test_the_field_is_fitted_on_all_questions(spark, monkeypatch):
+    """Without weights each character costs log 3; half of the questions are one text."""
+    questions = spark.range(20_000).selectExpr("id as query_id", "if(id % 2 = 0, 'why did it fall', concat('news of ', id)) as query", "8 as start", "10 as stop", "id % 7 as entity_id")
+    losses = []
+    monkeypatch.setattr(crf, "minimised", lambda f, w, *_: (w, losses.append(f(w)[0])))
+    learned.fitted_field(spark, SF, questions)
+    known = questions.where("entity_id % 5 != 0")
+    assert math.isclose(losses[0], known.agg(F.sum(F.length("query"))).first()[0] * math.log(3), rel_tol=1e-9)
+
+
 def test_the_field_finds_names_it_never_saw(spark):
     rng = random.Random(7)
     name = lambda: "".join(rng.choices("abcdefgh", k=4)).title() + " " + "".join(rng.choices("mnopq", k=3)).title()
