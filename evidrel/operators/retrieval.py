@@ -29,6 +29,8 @@ DOCUMENT_BLOCK, QUERY_BLOCK, MOST_QUERIES, GRAMS_HELD = 128, 256, 8192, 1_000_00
 BLOCK_BYTES = 2 << 20
 #: Gram counts sent to the tasks at most (16 bytes each); beyond them document norms come from a join.
 MOST_GRAMS = 8_000_000
+#: Grams of a block of queries that are looked for first: those that most of its queries hold.
+FIRST_GRAMS = 64
 #: Numbers in a dense table of weights, of documents or of queries; and characters of queries sent to the tasks at a time, unless one query has more.
 TABLE_CELLS, MOST_ASKED = 1 << 22, 4_000_000
 #: A key that no gram has.
@@ -68,6 +70,13 @@ def gram_keys(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([two | np.uint64(0x1FFFFF << 42), three, four]).view(np.int64), return_counts=True)
 
 
+def run_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of all runs of two and three characters of a text, by place."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    two = (c[:-1] << np.uint64(21)) | c[1:]
+    return np.concatenate([two | np.uint64(0x1FFFFF << 42), (two[:-1] << np.uint64(21)) | c[2:]]) * np.uint64(0x9E3779B97F4A7C15)
+
+
 def blocks_of(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """Batches in blocks of at most DOCUMENT_BLOCK rows and about BLOCK_BYTES bytes of text, so that a task holds no batch as Python values."""
     for b in batches:
@@ -288,15 +297,16 @@ def cosine(queries: DataFrame, docs: DataFrame, query_text: Column, doc_text: Co
 
 def bonus_terms(r: dict) -> list[str]:
     """The terms of a request that can give a bonus, repeated ones again."""
-    return [t for t in [*(r["industry_terms"] or []), *(r["keywords"] or []), *(r["entity_names"] or [])] if t is not None and len(t.strip()) >= 2]
+    return [t for t in [*(r["industry_terms"] or []), *(r["keywords"] or []), *(r["entity_names"] or [])] if t is not None and len(t.strip(" ")) >= 2]
 
 
 class Terms:
     """The distinct bonus terms of all requests, and which of them texts hold.
 
     A text that holds an ASCII term without white space has all the term's grams
-    in its own lower-cased ones, so only such terms are looked for in it; other
-    terms are looked for in every text.
+    in its own lower-cased ones, so only such terms are looked for in it; and a
+    text that holds any term has all its runs of two and three characters as they
+    are written, of which a table of their hashes misses none.
     """
 
     def __init__(self, requests: list[dict]):
@@ -307,6 +317,16 @@ class Terms:
         self.gramed, self.plain = np.flatnonzero(sure), [i for i, ok in enumerate(sure) if not ok]
         self.keys, self.own = np.unique(np.concatenate([np.zeros(0, np.int64), *made]), return_inverse=True)
         self.begins = np.cumsum([0, *map(len, made)])[:-1].astype(np.int64)
+        runs = [run_hashes(t) for t in self.terms]
+        self.runs, self.first_run = np.concatenate([np.zeros(0, np.uint64), *runs]), np.cumsum([0, *map(len, runs)])[:-1].astype(np.int64)
+
+    def paired(self, text: str) -> np.ndarray:
+        """Which terms have their runs in a table of the text's runs; of those that the text holds, all."""
+        runs = run_hashes(text)
+        size = min((8 * len(runs) + 1024).bit_length(), TABLE_CELLS.bit_length() - 1)  # 8 to 16 places a run, until the table is full
+        bits, table = np.uint64(64 - size), np.zeros(1 << size, bool)
+        table[runs >> bits] = True
+        return np.logical_and.reduceat(table[self.runs >> bits], self.first_run)
 
     def held(self, keyed: list[tuple[np.ndarray, np.ndarray] | None], texts: list[str]) -> np.ndarray:
         """(text, term): whether the whole text has the term in it; ``keyed`` are the texts' gram keys."""
@@ -316,8 +336,9 @@ class Terms:
             if made is not None and len(self.gramed):
                 there = places(made[0], self.keys)[1]
                 likely = [*self.gramed[np.logical_and.reduceat(there[self.own], self.begins)], *likely]
-            for i in likely:
-                out[row, i] = self.terms[i] in text
+            likely = np.asarray(likely, np.int64)
+            if len(likely):
+                out[row, [i for i in likely[self.paired(text)[likely]].tolist() if self.terms[i] in text]] = True
         return out
 
 
@@ -419,6 +440,70 @@ def scan(requests: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+class Sharing:
+    """Which requests of a block share a gram with texts, told without weights.
+
+    Nearly every text shares one of the few grams that most requests hold; only
+    where these leave a request open are the others looked for.
+    """
+
+    def __init__(self, grams: list[np.ndarray]):
+        keys, q = np.concatenate([np.zeros(0, np.int64), *grams]), np.repeat(np.arange(len(grams), dtype=np.int32), [len(k) for k in grams])
+        self.own, g, n = np.unique(keys, return_inverse=True, return_counts=True)
+        self.q, self.ends = q[np.argsort(g, kind="stable")], np.cumsum(n)
+        self.begins = self.ends - n
+        first = np.sort(np.argsort(-n, kind="stable")[:FIRST_GRAMS])
+        self.first, self.by_first = self.own[first], np.zeros((len(first), len(grams)), bool)
+        for row, i in enumerate(first):
+            self.by_first[row, self.q[self.begins[i] : self.ends[i]]] = True
+
+    def shared(self, keyed: list[tuple[np.ndarray, np.ndarray] | None]) -> np.ndarray:
+        """(text, request): whether they share a gram; ``keyed`` are the texts' gram keys, None without words."""
+        out = np.zeros((len(keyed), self.by_first.shape[1]), bool)
+        for row, made in enumerate(keyed):
+            if made is None:
+                continue
+            out[row] = self.by_first[places(made[0], self.first)[1]].any(axis=0)
+            if not out[row].all():
+                i, here = places(self.own, made[0])
+                begins, n = self.begins[i[here]], (self.ends - self.begins)[i[here]]
+                out[row, self.q[np.repeat(begins - np.cumsum(n) + n, n) + np.arange(n.sum())]] = True
+        return out
+
+
+def bonuses(requests: DataFrame, docs: DataFrame, doc_text: Column) -> DataFrame:
+    """(query_id, doc_id, bonus): the term bonus of requests (query_id, query, REQUEST_FIELDS) for every document whose text shares a gram with the query.
+
+    Requests go to every task in groups, as for ``cosine``; documents are read
+    once a group, and neither they nor the pairs are joined. Texts of requests
+    that repeat an id count together.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = docs.where(has_words(doc_text) & F.col("doc_id").isNotNull()).select("doc_id", doc_text.alias("whole"), spaced(doc_text).alias("text"))
+    schema, parts = f"query_id long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, bonus double", []
+    for group in query_groups(requests.where("query_id is not null").select("query_id", spaced(F.col("query")).alias("text"), *REQUEST_FIELDS)):
+        asked, own = group.toArrow().to_pylist(), {}
+        for r in asked:
+            own.setdefault(r["query_id"], []).append(gram_keys(r["text"])[0] if r["text"] else np.zeros(0, np.int64))
+        blocks, terms = [asked[at : at + QUERY_BLOCK] for at in range(0, len(asked), QUERY_BLOCK)], Terms(asked)
+        made = [(np.array([r["query_id"] for r in block]), Sharing([np.unique(np.concatenate(own[r["query_id"]])) for r in block]), Rules(block, terms)) for block in blocks]
+        shared = spark.sparkContext.broadcast((terms, made))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            terms, made = shared.value
+            for part in blocks_of(batches, "whole"):
+                docs, keyed = part.column("doc_id").to_numpy(zero_copy_only=False), keyed_texts(part.column("text").to_pylist())
+                held = terms.held(keyed, part.column("whole").to_pylist())
+                for ids, sharing, rules in made:
+                    d, q = np.nonzero(sharing.shared(keyed))
+                    if len(d):
+                        yield pa.record_batch({"query_id": ids[q], "doc_id": docs[d], "bonus": rules.bonus(held)[d, q]})
+
+        parts.append(rows.mapInArrow(run, schema))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def places(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where keys would be in a sorted table, and which are there."""
     i = np.searchsorted(table, keys)

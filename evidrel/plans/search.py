@@ -148,7 +148,7 @@ BONUS = f"least(0.06 * len(list_filter({TERMS}, lambda k: length(trim(k)) >= 2 A
 
 @query("f9_term_bonus", f"WITH {PAIRS} SELECT query_id, doc_id, {BONUS} AS bonus FROM p")
 def f9(spark, sf):
-    return pairs(spark, sf).select("query_id", "doc_id", S.term_bonus(F.concat("industry_terms", "keywords", "entity_names"), F.concat_ws(" ", "title", "summary", "body")).alias("bonus"))
+    return R.bonuses(requests(spark, sf), evidence(spark, sf), F.concat_ws(" ", "title", "summary", "body"))
 
 
 @query("s10_s12_gram_jaccard", f"""WITH {HITS}, g AS (SELECT query_id, doc_id, list_distinct([substr(query, i, 3) FOR i IN range(1, greatest(length(query) - 2, 1) + 1)]) AS a, list_distinct([substr(title, i, 3) FOR i IN range(1, greatest(length(title) - 2, 1) + 1)]) AS b, length(title) AS n FROM p)

@@ -212,3 +212,35 @@ def test_long_requests_are_sent_in_groups(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(R, "MOST_ASKED", 30)
     monkeypatch.setattr(R, "TABLE_CELLS", 50)
     assert rows() == want and found() == hits
+
+
+def test_bonuses_are_those_of_the_sql_without_joins(spark, tmp_path):
+    """Odd requests and documents: repeated ids, terms with white space at an end, words that no request holds, no words."""
+    import duckdb
+
+    asked = [(1, "a\n bc it 😀x Bc dd ee"), (2, "qq"), (2, "tidal of On the land"), (3, "É éa maß ÉA éa ß É"), (4, ""), (5, None), (6, "  x  "), (7, "x\ty zz ZZ x\ty it zz It")]
+    texts = ["qq", "a\nb", "Of tidal land\nbc 😀xy it", "éa maß", "ZZ x\ty", "", None, "\n ", "vvv", "It " * 300 + "x\ty", "land a\n x"]
+    docs = [(i, t, "en", f"src{i % 20}", len(t or "")) for i, t in enumerate(texts)]
+    sf = tables(spark, tmp_path, documents=(docs, documents([])[1]), benchmark=(asked, "item_id long, text string"))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet/*.parquet'")
+    made = plans.QUERIES["f9_term_bonus"](spark, sf)
+    rows = lambda found: Counter((q, d, round(b, 9)) for q, d, b in found)
+    want = rows(con.sql(plans.ORACLE["f9_term_bonus"]).fetchall())
+    assert len({b for *_, b in want}) > 2 and rows(made.collect()) == want
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Scan parquet") == 1
+
+
+def test_shared_grams_are_those_of_the_sets(monkeypatch):
+    from evidrel.operators import retrieval as R
+
+    rng = np.random.default_rng(9)
+    grams = [np.unique(rng.integers(0, 60, n)) for n in (30, 12, 3, 1, 0, 25, 2)]
+    keyed = [None if n is None else (np.unique(rng.integers(0, 70, n)), None) for n in (1, 0, None, 2, 5, 40, 3, 8)]
+    for first in (64, 2):
+        monkeypatch.setattr(R, "FIRST_GRAMS", first)
+        got = R.Sharing(grams).shared(keyed)
+        assert got.tolist() == [[k is not None and bool(np.isin(k[0], g).any()) for g in grams] for k in keyed]
+    assert R.Sharing([]).shared(keyed).shape == (len(keyed), 0)
